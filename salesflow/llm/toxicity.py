@@ -6,7 +6,8 @@ capitals, punctuation and obfuscation rates. The trees are Spark ML's; an isoton
 rows that the trees have not seen maps their margins to probabilities.
 
 Fitting uses at most `train_rows` labelled rows (those of smallest hashed doc_id among the rows
-allowed: a documented bound), dealt by hash into three parts: lexicon, trees, calibration. Every
+allowed: a documented bound), dealt by hash of the text into two folds and a calibration part; trees see each fold through the
+lexicon learnt from the other one. Every
 document is scored from its whole text; labels, lang, source and doc_id are no inputs.
 
 Defined results: null text scores as empty text; without labels of both kinds every score is the
@@ -128,29 +129,39 @@ def _featured(columns: list[str], lexicon: dict[bytes, float]):
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, labels = [], []
-        for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+        found, folds, labels = [], [], []
+        for fold, y, text in zip(*(batch.column(c).to_pylist() for c in ("fold", "y", "text"))):
             own = {k for w in set(_WORD.findall(text.encode().lower())) for k in keys(w)}
             found += own
+            folds += [fold] * len(own)
             labels += [y] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(labels, pa.int64())], ["k", "y"])
-
-
-def learn_lexicon(sample: DataFrame, size: int, least_docs: int, least_odds: float) -> dict[bytes, float]:
-    """Words and beginnings much likelier in toxic documents, with their log odds: at most `size`."""
-    texts = sample.groupBy("text").agg(F.max("y").alias("y"))  # copies count once
-    n, ones = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counts = texts.mapInArrow(_occurrences, "k binary, y long").groupBy("k").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    odds = F.log(((F.col("toxic") + 0.1) / (ones + 0.2)) / ((F.col("n") - F.col("toxic") + 0.1) / (n - ones + 0.2)))
-    top = counts.filter(F.col("toxic") >= least_docs).withColumn("odds", odds).filter(F.col("odds") >= least_odds)
-    return {bytes(r["k"]): float(r["odds"]) for r in top.orderBy(F.desc("toxic"), F.desc("odds"), "k").limit(size).collect()}
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(folds, pa.int64()), pa.array(labels, pa.int64())], ["k", "fold", "y"])
+
+
+def learn_lexicons(sample: DataFrame, size: int, least_docs: int, least_odds: float) -> list[dict[bytes, float]]:
+    """Words and beginnings much likelier in toxic documents, with their log odds, at most `size`: learnt
+    from fold 0, from fold 1 and from both."""
+    texts = sample.groupBy("text", "fold").agg(F.max("y").alias("y"))  # copies count once
+    n = {(r["fold"], r["y"]): r["n"] for r in texts.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic = [F.sum(F.when(F.col("fold") == f, F.col("y")).otherwise(0)).alias(f"toxic{f}") for f in (0, 1)]
+    clean = [F.sum(F.when(F.col("fold") == f, 1 - F.col("y")).otherwise(0)).alias(f"clean{f}") for f in (0, 1)]
+    counts = texts.mapInArrow(_occurrences, "k binary, fold long, y long").groupBy("k").agg(*toxic, *clean).filter(F.col("toxic0") + F.col("toxic1") >= least_docs)
+    counts = saved(counts)
+    out = []
+    for folds in ((0,), (1,), (0, 1)):
+        total = lambda kind: sum((F.col(f"{kind}{f}") for f in folds), F.lit(0))  # noqa: E731, B023
+        ones, zeros = (sum(n.get((f, y), 0) for f in folds) for y in (1, 0))
+        odds = F.log(((total("toxic") + 0.1) / (ones + 0.2)) / ((total("clean") + 0.1) / (zeros + 0.2)))
+        top = counts.select("k", total("toxic").alias("toxic"), odds.alias("odds")).filter((F.col("toxic") >= least_docs) & (F.col("odds") >= least_odds))
+        out.append({bytes(r["k"]): float(r["odds"]) for r in top.orderBy(F.desc("toxic"), F.desc("odds"), "k").limit(size).collect()})
+    return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 5, remainder: int = 0, train_rows: int = 12_000, lexicon_size: int = 2_000, least_docs: int = 6, least_odds: float = 2.5, trees: int = 16, depth: int = 3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 5, remainder: int = 0, train_rows: int = 12_000, lexicon_size: int = 2_000, least_docs: int = 4, least_odds: float = 2.5, trees: int = 16, depth: int = 3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus, remainder).alias("held_out"), whole_text().alias("text"))
-    sample = saved(labelled_sample(docs, labels, label, modulus, remainder, train_rows).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(5))))
+    sample = saved(labelled_sample(docs, labels, label, modulus, remainder, train_rows).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(5))).withColumn("fold", F.floor(F.col("part") / 2)))
     counts = {(r["part"], r["y"]): r["n"] for r in sample.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, ones = sum(counts.values()), sum(v for (_, y), v in counts.items() if y == 1)
     prior = (ones + 1) / (n + 2)
@@ -158,8 +169,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulu
     if not both:  # too few rows of a kind to learn from
         score: Column = F.lit(prior)
         return rows.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
-    lexicon = learn_lexicon(sample.filter("part < 2"), lexicon_size, least_docs if n >= 1000 else 2, least_odds)
-    numbers = saved(sample.filter("part >= 2").mapInArrow(_featured(["part", "y"], lexicon), "part long, y int, x array<double>"))
+    lexicons = learn_lexicons(sample.filter("part < 4"), lexicon_size, least_docs if n >= 1000 else 2, least_odds)
+    # trees learn from each fold with the lexicon of the other; calibration and scoring use the whole lexicon
+    parts = [sample.filter(F.col("fold") == fold).mapInArrow(_featured(["part", "y"], lexicons[use]), "part long, y int, x array<double>") for fold, use in ((0, 1), (1, 0), (2, 2))]
+    numbers = saved(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     vectors = numbers.select("part", F.col("y").cast("double").alias("label"), array_to_vector("x").alias("features"))
     gbt = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=17)
     model = gbt.fit(vectors.filter("part < 4"))
@@ -169,7 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulu
     ends = docs.sparkSession.createDataFrame([(0.0, 1e3, 0.02), (1.0, -1e3, 0.02)], "label double, margin double, weight double")
     iso = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(seen.unionByName(ends))
     lows, ps = [float(v) for v in iso.boundaries.toArray()], [float(v) for v in iso.predictions.toArray()]
-    x = rows.mapInArrow(_featured(["doc_id", "held_out"], lexicon), "doc_id long, held_out boolean, x array<double>")
+    x = rows.mapInArrow(_featured(["doc_id", "held_out"], lexicons[2]), "doc_id long, held_out boolean, x array<double>")
     scored = model.transform(x.select("doc_id", "held_out", array_to_vector("x").alias("features"))).select("doc_id", "held_out", margin.alias("margin"))
     calibrated = _between(F.col("margin"), lows, ps)
     # margins break ties inside a calibrated step without crossing it

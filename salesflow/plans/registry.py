@@ -1,4 +1,6 @@
 """All registered queries of the library proper."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from salesflow.plans import analytics  # noqa: F401  registers its queries
+from salesflow.plans.domain import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

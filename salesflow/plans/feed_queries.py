@@ -300,3 +300,62 @@ def w8_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last run of each pipeline."""
     runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("pipeline"), F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), F.col("user_id").alias("run"))
     return control.latest_runs(runs).select("pipeline", "run")
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes, in the cluster's shared folder."""
+    import uuid
+
+    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/salesflow-{name}/{uuid.uuid4().hex}"
+
+
+@query("""SELECT f.format, s.rows, s.value FROM (SELECT unnest(['csv', 'parquet', 'orc']) AS format) f, (SELECT count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS value FROM orders) s""")
+def q15_format_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows written as CSV, Parquet and ORC read back alike."""
+    from salesflow.sources.sinks import write_formats
+
+    path, schema = _place(spark, "formats"), "order_id long, total decimal(12,2), order_year int"
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), domain.money("o_totalprice").alias("total"), F.year("o_orderdate").alias("order_year"))
+    write_formats(rows.repartition("order_year"), path, ["order_year"])
+    out = None
+    for fmt in ("csv", "parquet", "orc"):
+        own = spark.read.schema(schema).option("header", True).format(fmt).load(f"{path}/{fmt}")
+        part = own.agg(F.count(F.lit(1)).alias("rows"), F.sum("total").cast("double").alias("value")).select(F.lit(fmt).alias("format"), "rows", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""WITH ok AS (SELECT date_trunc('minute', ts) AS m, 'svc' || user_id % 3 AS service, CAST(floor(abs(value)) AS INT) AS latency_ms FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 23 <> 0)
+SELECT strftime(m, '%Y-%m-%d %H:%M') AS minute_start, service, count(*) AS request_count, round(sum(latency_ms)::DOUBLE / count(*), 3) AS avg_latency_ms, CAST(max(latency_ms) AS BIGINT) AS max_latency_ms FROM ok GROUP BY m, service""")
+def t10_epoch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs, the second of which breaks after its raw write and is tried again, and a replay: each event counts once."""
+    from salesflow.streaming.service_logs import epoch_writer, live_report
+
+    base, raw = _place(spark, "epochs"), domain.raw_logs(spark, sf_dir)
+    broken = []
+
+    def fail(step: str, epoch: int) -> None:
+        if step == "raw" and epoch == 1 and not broken:
+            broken.append(epoch)
+            raise RuntimeError("lost after the raw write")
+
+    process = epoch_writer(spark, base, "g1", max_delay_seconds=100 * 366 * 86_400, fail=fail)
+    for epoch in (0, 1, 1, 1):
+        try:
+            process(raw.filter(F.col("offset") % 2 == epoch), epoch)
+        except RuntimeError:
+            pass
+    return live_report(spark, base, ["g1"]).select(text("minute_start"), "service", "request_count", "avg_latency_ms", big("max_latency_ms"))
+
+
+@query("SELECT 'first' AS run, 'published' AS outcome, count(*) AS rows FROM nation UNION ALL SELECT 'again', 'already', count(*) FROM nation")
+def k18_atomic_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A staged report published by one rename; a second try finds it done."""
+    from salesflow.sources.sinks import publish_artifact
+
+    base = _place(spark, "artifact")
+    for part in ("minutes", "statuses"):
+        table(spark, sf_dir, "nation").write.parquet(f"{base}/staging/{part}")
+    outcomes = [(run, publish_artifact(spark, f"{base}/staging", f"{base}/published/run")) for run in ("first", "again")]
+    rows = spark.read.parquet(f"{base}/published/run/minutes").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.createDataFrame(outcomes, "run string, outcome string").crossJoin(rows)

@@ -64,6 +64,11 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns of a frame as one struct `row`, so that added columns cannot clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def slices(batch, column: str = "text"):
     """(first, last) row bounds of an Arrow batch with about SLICE_CHARS of text each."""
     import numpy as np

@@ -15,7 +15,8 @@ source's remaining budget is not used up (the document that crosses the budget i
 Running sums go over blocks first and then inside a block, so that no task sees a whole source.
 
 Defined results: a null source is a source of its own; null or empty text counts no tokens and is
-kept once; repeated rows count each; extra columns are kept; no rows give no rows.
+kept once; repeated rows count each; extra columns are kept, those named as added ones are replaced; no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import saved, whole_text
+from salesflow.llm.common import as_row, saved, whole_text
 
 #: Documents of a block, on average.
 BLOCK_DOCS = 2048
+#: Columns that `mix` adds; columns of these names are replaced.
+ADDED = ["n_tokens", "weight", "copies", "draw"]
 #: Exponents that one aggregation evaluates, and how often the bracket is narrowed.
 GRID, NARROWINGS = 32, 4
 
@@ -82,15 +85,14 @@ def mix(docs: DataFrame, *, target_entropy: float | None = 0.98, max_repeats: fl
 
     budget_share: tokens wanted, as a part of all tokens.
     """
-    own = docs.columns
-    sized = docs.withColumns({"_tokens": n_tokens(), "_source": F.col("source").cast("string"), "_key": F.xxhash64("doc_id", whole_text(), F.lit(seed))})
-    small = saved(sized.select("_source", "_key", F.col("_tokens").alias("n_tokens"), F.col("doc_id").cast("long").alias("doc_id")))
-    drawn = draw(small.withColumnRenamed("_source", "source"), target_entropy=target_entropy, max_repeats=max_repeats, budget_share=budget_share, seed=seed)
+    rows = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens().alias("n_tokens"), F.xxhash64("doc_id", whole_text(), F.lit(seed)).alias("key"))
+    small = saved(rows.select("source", F.col("key").alias("_key"), "n_tokens", "doc_id"))
+    drawn = draw(small, target_entropy=target_entropy, max_repeats=max_repeats, budget_share=budget_share, seed=seed)
     # repeated rows are alike in both columns and share one decision
-    found = drawn.groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), F.col("source").alias("_s")).agg(*(F.min(c).alias(f"_{c}") for c in ("weight", "copies", "draw")))
-    met = sized.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")))
-    taken = [c for c in own if c not in ("n_tokens", "weight", "copies", "draw")]
-    return met.select(*taken, F.col("_tokens").alias("n_tokens"), *(F.col(f"_{c}").alias(c) for c in ("weight", "copies", "draw")))
+    found = drawn.groupBy(F.col("doc_id").alias("d"), F.col("_key").alias("k"), F.col("source").alias("s")).agg(*(F.min(c).alias(c) for c in ("weight", "copies", "draw")))
+    met = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & rows["source"].eqNullSafe(F.col("s")))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    return met.select(*kept, *ADDED)
 
 
 def draw(sized: DataFrame, *, target_entropy: float | None, max_repeats: float, budget_share: float, seed: int) -> DataFrame:
@@ -121,5 +123,7 @@ def draw(sized: DataFrame, *, target_entropy: float | None, max_repeats: float,
 
 def mixed_documents(docs: DataFrame, **limits) -> DataFrame:
     """The drawn documents with the columns of `docs`: a row for each copy."""
-    drawn = mix(docs, **limits).filter("copies > 0")
-    return drawn.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    held = docs.select(as_row(docs), "doc_id", "text", "source")
+    drawn = mix(held, **limits).filter("copies > 0")
+    times = drawn.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return times.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

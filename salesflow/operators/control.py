@@ -144,3 +144,18 @@ def alerts(metrics: DataFrame) -> DataFrame:
     """pipeline, alert for each condition that holds."""
     fired = F.array_compact(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in ALERTS.items())))
     return metrics.select("pipeline", F.explode(fired).alias("alert"))
+
+
+def stream_metrics(batches: DataFrame, queries: DataFrame) -> DataFrame:
+    """Figures of each known query's last batch, 0 on a cold start."""
+    last = latest_of(batches, "query").select(
+        "query", F.col("lag_seconds").cast("long").alias("lag_seconds"), F.unix_seconds("updated_at").alias("last_batch_at"), (F.col("status") == "success").cast("long").alias("last_batch_success"), F.col("invalid").cast("long").alias("invalid_records")
+    )
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("lag_seconds", "last_batch_at", "last_batch_success", "invalid_records")}
+    return queries.join(last, "query", "left").withColumns(zero)
+
+
+def settled(events: DataFrame, column: str, as_of: str, settlement: int = SETTLEMENT) -> DataFrame:
+    """Rows before the 5-minute slot of as_of less the settlement, so that late but valid events are already there."""
+    end = F.timestamp_seconds(F.floor((F.unix_seconds(F.lit(as_of).cast("timestamp")) - settlement) / 300) * 300)
+    return events.filter(F.col(column) < end)

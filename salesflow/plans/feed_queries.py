@@ -359,3 +359,61 @@ def k18_atomic_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = [(run, publish_artifact(spark, f"{base}/staging", f"{base}/published/run")) for run in ("first", "again")]
     rows = spark.read.parquet(f"{base}/published/run/minutes").agg(F.count(F.lit(1)).alias("rows"))
     return spark.createDataFrame(outcomes, "run string, outcome string").crossJoin(rows)
+
+
+_GENERATIONS = "generations AS (SELECT DISTINCT user_id AS generation, user_id % 10 AS lineage, user_id = 7 AS is_active FROM events)"
+
+
+@query(f"""WITH {_GENERATIONS}, {LOGS} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS minute_start, count(*) AS request_count FROM events WHERE user_id IN (SELECT generation FROM generations WHERE lineage IN (SELECT lineage FROM generations WHERE is_active)) GROUP BY date_trunc('day', ts)""")
+def j12_active_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions of every generation in the lineage of the active one."""
+    events = table(spark, sf_dir, "events")
+    u = F.col("user_id")
+    generations = events.select(u.alias("generation"), (u % 10).alias("lineage"), (u == 7).alias("is_active")).distinct()
+    rows = events.groupBy(u.alias("generation"), F.date_trunc("day", "ts").alias("minute_start")).agg(F.count(F.lit(1)).alias("n"))
+    return control.active_contributions(rows, generations).groupBy(text("minute_start")).agg(F.sum("n").alias("request_count"))
+
+
+@query(f"""SELECT count(*) AS raw_count, count(*) FILTER (WHERE reason IS NULL) AS valid_count, strftime(max(ts) FILTER (WHERE k % 11 <> 0 AND k % 13 <> 0), '%Y-%m-%d %H:%M') AS max_event_time, strftime(min(ts) FILTER (WHERE reason IS NULL), '%Y-%m-%d %H:%M') AS oldest_valid_event FROM (SELECT ts, k, {_FIRST} AS reason FROM (SELECT ts, event_id AS k FROM events))""")
+def a19_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw and valid counts, latest event, oldest valid event."""
+    rows = log_ops.batch_stats(log_ops.classify_v1(domain.raw_logs(spark, sf_dir)))
+    return rows.select("raw_count", "valid_count", text("max_event_time"), text("oldest_valid_event"))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def w6_duplicate_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of duplicates, the lowest id stays."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return merge.latest(rows, ["user_id", "event_type"], [F.col("event_id")])
+
+
+@query("""WITH b AS (SELECT event_type AS query, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type <> 'view'), q AS (SELECT DISTINCT event_type AS query FROM events)
+SELECT q.query, coalesce(event_id % 100, 0) AS lag_seconds, coalesce(CAST(floor(epoch(ts)) AS BIGINT), 0) AS last_batch_at, coalesce(CAST(event_id % 2 = 0 AS BIGINT), 0) AS last_batch_success, coalesce(event_id % 7, 0) AS invalid_records FROM q LEFT JOIN b ON q.query = b.query AND r = 1""")
+def c7_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last-batch figures of each query, 0 for one that never ran."""
+    events, k = table(spark, sf_dir, "events"), F.col("event_id")
+    batches = events.filter("event_type <> 'view'").select(F.col("event_type").alias("query"), k.alias("batch_id"), F.col("ts").alias("updated_at"), (k % 100).alias("lag_seconds"), F.when(k % 2 == 0, "success").otherwise("failed").alias("status"), (k % 7).alias("invalid"))
+    return control.stream_metrics(batches, events.select(F.col("event_type").alias("query")).distinct())
+
+
+@query("SELECT event_type, count(*) AS events FROM events WHERE ts < TIMESTAMP '2024-01-10 10:05:00' GROUP BY 1")
+def c3_settled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events before the settled 5-minute slot."""
+    return control.settled(table(spark, sf_dir, "events"), "ts", "2024-01-10 10:09:59").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("SELECT count(*) AS source_rows, count(DISTINCT (o_custkey, o_orderpriority)) AS kept FROM orders")
+def a13_copies_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows equal in all source columns count once."""
+    from salesflow.operators.sales import drop_copies
+
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer_id"), F.col("o_orderpriority").alias("category"))
+    return rows.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(drop_copies(rows).agg(F.count(F.lit(1)).alias("kept")))
+
+
+@query("""WITH e AS (SELECT event_id % 400 AS event_id, 'svc' || user_id % 3 AS service, date_trunc('hour', ts) AS h FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09') SELECT count(DISTINCT event_id) AS request_count FROM e""")
+def t16_closed_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed window counts each event_id once."""
+    rows = domain.logs(spark, sf_dir).withColumns({"event_id": F.col("event_id") % 400, "is_valid": F.lit(True)})
+    return log_ops.closed_window(rows, "2024-01-03", "2024-01-09").agg(F.count(F.lit(1)).alias("request_count"))

@@ -127,3 +127,13 @@ def file_metrics(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     shown = files.filter(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]"))
     return shown.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files"), F.min("length").alias("smallest"), F.max("length").alias("largest"))
+
+
+def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with inferred types: for small report inputs only, as it reads the file twice."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def missing_tables(spark: SparkSession, base: str, required: list[str]) -> list[str]:
+    """The required tables that have no folder under `base` and no entry in the catalog."""
+    return [t for t in required if not glob(spark, f"{base.rstrip('/')}/{t}") and not spark.catalog.tableExists(t)]

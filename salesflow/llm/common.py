@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ WHITE = " \t\n\x0b\x0c\r"
 SLICE_CHARS = 4_000_000
 
 _SHIPPED: dict[str, str] = {}
+_SCRATCH: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,12 +39,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared folder that the cluster names in spark.checkpoint.dir."""
+    """A new folder name in the shared folder that the cluster names in spark.checkpoint.dir; the application's
+    folder is deleted when its driver ends."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
         base = tempfile.mkdtemp(prefix="salesflow-scratch-")  # single machine: tests
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/salesflow/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/salesflow/{spark.sparkContext.applicationId}"
+    if own not in _SCRATCH:
+        _SCRATCH.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended before
+        context = spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def saved(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -52,13 +66,6 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def whole_text(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

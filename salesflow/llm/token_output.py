@@ -43,7 +43,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, spaces_lead: bool, diction
     """A zstandard dictionary; empty when there is too little to train on."""
     import zstandard
 
-    picked = docs.select(F.xxhash64("doc_id").alias("h"), whole_text().alias("text")).orderBy("h", "text").limit(dictionary_docs).collect()
+    # numbers first, then the few texts: no task sends more than it must
+    ids = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(dictionary_docs)
+    texts = docs.select(F.xxhash64("doc_id").alias("h"), whole_text().alias("text")).join(F.broadcast(ids.distinct()), "h")
+    picked = texts.orderBy("h", "text").limit(dictionary_docs).collect()
     library = encoder(tokenizer, spaces_lead)
     samples = [_narrow(library.encode(r["text"]), end_id, width)[0] for r in picked]
     try:

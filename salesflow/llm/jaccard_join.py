@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesflow.llm.common import saved, ship, slices, whole_text
@@ -37,8 +37,14 @@ from salesflow.llm.shingles import WordHashes, mixed, shingle_set, word_hashes
 
 #: Shingles that a task combines before it sends them on.
 HELD = 1_500_000
-#: Min-hash rounds that merge copies before lists are scanned.
-PIVOT_ROUNDS = 3
+#: Fewest partitions of the prefix hashes.
+LEAST_PARTITIONS = 96
+#: Min-hashes of a round that merges copies, and most rounds (they end when one merges nothing).
+PIVOT_HASHES, PIVOT_ROUNDS = 6, 2
+#: Sets of a list that meet at once; longer lists are dealt into blocks.
+LIST_BLOCK = 2048
+#: Bits of a set's parity map.
+MAP_BITS = 1024
 #: Largest size that the choice of the boundary considers.
 LIGHT_MOST = 12
 
@@ -201,7 +207,9 @@ def _known(texts: DataFrame, rule: Rule, k: int) -> DataFrame:
     """g, known: how many of a class's prefix hashes another class holds too, or more: a class whose
     copies lie in several tasks may be credited in each, which lets in more and loses none."""
     sent = texts.mapInArrow(_send(rule, k), "h long, g long, credit long")
-    runs = sent.repartition("h").sortWithinPartitions("h", "g")
+    # more, smaller partitions than usual: each holds the sorted rows of many hashes
+    parts = max(LEAST_PARTITIONS, 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    runs = sent.repartition(parts, "h").sortWithinPartitions("h", "g")
     return runs.mapInArrow(_credit, "g long, known long").groupBy("g").agg(F.sum("known").alias("known"))
 
 
@@ -229,21 +237,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(own, "a").join(other, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(rule), "a long, b long")
 
 
-def _min_hashes(rounds: int):
+def _min_hashes(seeds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [[int(mixed(np.frombuffer(x.as_buffer(), np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64)).min().view(np.int64)) for r in range(rounds)] for x in batch.column("hashes")]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(keys, pa.list_(pa.int64()))], ["cid", "keys"])
+            keys = [[int(mixed(np.frombuffer(x.as_buffer(), np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64)).min().view(np.int64)) for r in seeds] for x in batch.column("hashes")]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("component"), pa.array(keys, pa.list_(pa.int64()))], ["cid", "component", "keys"])
 
     return run
 
 
-def _pivot_links(sets: DataFrame, rule: Rule, rounds: int) -> DataFrame:
-    """Verified links of sets to the smallest set of their min-hash groups."""
-    keys = sets.mapInArrow(_min_hashes(rounds), "cid long, keys array<long>").select("cid", F.posexplode("keys").alias("r", "m"))
-    keys = saved(keys)
-    pivots = keys.groupBy("r", "m").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    pairs = keys.join(pivots, ["r", "m"]).filter("cid != b").select(F.col("cid").alias("a"), "b").distinct()
+def _pivot_links(sets: DataFrame, rule: Rule, seeds: list[int]) -> DataFrame:
+    """Verified links between components of one min-hash group: each component sends one set, and meets the
+    group's first component and the component before it, so the pairs are as many as the sets at most."""
+    keys = sets.mapInArrow(_min_hashes(seeds), "cid long, component long, keys array<long>").select("cid", "component", F.posexplode("keys").alias("r", "m"))
+    # one set for each component and group, another one in each round
+    turn = F.struct(F.xxhash64("cid", F.lit(seeds[0])), F.col("cid"))
+    one = keys.groupBy("r", "m", "component").agg(F.min(turn).getField("cid").alias("cid"))
+    order = Window.partitionBy("r", "m").orderBy("component")
+    met = saved(one.withColumns({"first": F.first("cid").over(order), "before": F.lag("cid").over(order)}).filter("before IS NOT NULL"))
+    pairs = met.select(F.col("cid").alias("a"), F.explode(F.array("first", "before")).alias("b")).filter("a != b").distinct()
     return _verified(pairs, sets, rule)
 
 
@@ -299,21 +311,89 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _list_links(sets: DataFrame, rule: Rule, boundary: int) -> DataFrame:
     """Verified links between components, from inverted lists of each set's rarest shingles."""
-    from pyspark.sql import Window
-
     elements = saved(sets.filter(F.col("n") >= rule.least(boundary + 1)).mapInArrow(_explode, "h long, cid long, n long, component long"))
-    # how many components hold a shingle; a shingle of one component pairs nothing
+    # how many components hold a shingle; a shingle of one component only pairs nothing
     lists = elements.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.sum("k").alias("df"), F.count(F.lit(1)).alias("comps"))
-    ranked = elements.join(lists, "h").withColumn("at", F.row_number().over(Window.partitionBy("cid").orderBy(F.col("comps"), F.col("df"), F.col("h"))))
+    per_set = Window.partitionBy("cid")
+    ranked = elements.join(lists, "h").withColumns({"at": F.row_number().over(per_set.orderBy(F.col("comps"), F.col("df"), F.col("h"))), "c": F.count_if(F.col("comps") > 1).over(per_set)})
+    # a set shares no more with another component than c, its shingles that others hold: too few for any partner, and it leaves
+    able = ranked.filter(F.lit(rule.den) * F.col("c") >= F.lit(rule.num) * F.col("n"))
     # the first n - least + 1 shingles in one global order: two linked sets share one of them
-    index = saved(ranked.filter((F.col("at") <= F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1) & (F.col("comps") > 1)).select("h", "cid", "n", "component"))
-    other = index.withColumnsRenamed({c: f"o_{c}" for c in index.columns})
-    far = (F.col("component") < F.col("o_component")) & (F.lit(rule.den) * F.least("n", "o_n") >= F.lit(rule.num) * F.greatest("n", "o_n"))
-    heavy = F.greatest("n", "o_n") > boundary
-    pairs = index.join(other, (F.col("h") == F.col("o_h")) & far & heavy).select(F.col("cid").alias("a"), F.col("o_cid").alias("b")).distinct()
+    index = saved(able.filter((F.col("at") <= F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1) & (F.col("comps") > 1)).select("h", "cid", "n", "c", "component"))
+    maps = sets.mapInArrow(_parity_maps, "cid long, bits binary")
+    blocks = index.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"), F.countDistinct("component").alias("met")).filter("met > 1").drop("met")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = index.join(blocks, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(maps, "cid")
+    runs = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    pairs = runs.mapInArrow(_scan(rule, boundary), "a long, b long").distinct()
     return _verified(pairs, sets, rule)
 
 
+def _parity_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parity of each set's hashes in MAP_BITS places: two maps differ in no more places than the sets in elements."""
+    for batch in batches:
+        maps = [np.packbits(np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1 == 1).tobytes() for x in batch.column("hashes")]
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(maps, pa.binary())], ["cid", "bits"])
+
+
+def _scan(rule: Rule, boundary: int):
+    """Scan lists (or pairs of their blocks): pairs of different components whose sizes, shared counts and parity maps allow a link."""
+
+    def candidates(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        left = np.flatnonzero(rows["own"] == rows["i"])
+        right = np.flatnonzero(rows["own"] == rows["j"])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        n, c, comp, bits, cid = (rows[k] for k in ("n", "c", "component", "bits", "cid"))
+        same_block = rows["i"][0] == rows["j"][0]
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64, None]
+            y = right[None, :]
+            total, fewest = n[x] + n[y], np.minimum(c[x], c[y])
+            ok = (comp[x] != comp[y]) & (rule.den * np.minimum(n[x], n[y]) >= rule.num * np.maximum(n[x], n[y])) & (rule.den * fewest >= rule.num * (total - fewest)) & (np.maximum(n[x], n[y]) > boundary)
+            if same_block:
+                ok &= cid[x] < cid[y]
+            u, v = np.nonzero(ok)
+            a, b = left[at + u], right[v]
+            for k in range(0, len(a), 50_000):
+                p, q = a[k : k + 50_000], b[k : k + 50_000]
+                apart = np.bitwise_count(bits[p] ^ bits[q]).sum(1)
+                total = n[p] + n[q]
+                # |A ^ B| = a + b - 2 |A & B|, and a link needs |A & B| >= num (a + b) / (den + num)
+                good = apart * (rule.den + rule.num) <= total * (rule.den - rule.num)
+                found.append((cid[p[good]], cid[q[good]]))
+        return tuple(np.concatenate(z) if found else np.zeros(0, np.int64) for z in (zip(*found) if found else ((), ())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+
+        def settle(rows: dict[str, np.ndarray], last: bool) -> tuple[dict | None, list]:
+            key = np.stack([rows["h"], rows["i"].astype(np.int64), rows["j"].astype(np.int64)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            done = cuts if last else cuts[:-1]
+            out = [candidates({k: v[p:q] for k, v in rows.items()}) for p, q in zip(done, done[1:]) if q - p > 1]
+            return (None if last else {k: v[cuts[-2] :] for k, v in rows.items()}), out
+
+        def told(out: list) -> pa.RecordBatch:
+            a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)  # once for a batch
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "i", "j", "own", "cid", "n", "c", "component")}
+            rows["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            if held is not None:
+                rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
+            held, out = settle(rows, False)
+            yield told(out)
+        if held is not None:
+            yield told(settle(held, True)[1])
+
+    return run
+
+
 def _prefixes(rule: Rule):
     """Distinct (h, component) of a task's prefixes."""
 
@@ -348,7 +428,7 @@ def _least_known(rule: Rule):
 
 def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).withColumnRenamed("node", "cid")
-    return sets.drop("component").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    return sets.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -366,8 +446,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     # repeated rows of a doc_id are alike here or belong to another class
     sets = saved(sets.join(classes.select(F.col("cid"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("cid")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).select("cid", "n", "hashes"))
     sizes = {r["n"]: r["c"] for r in sets.filter(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    links = saved(_pivot_links(sets, rule, PIVOT_ROUNDS))
-    merged = saved(_labelled(sets, links))
+    merged, links = sets.withColumn("component", F.col("cid")), None
+    for r in range(PIVOT_ROUNDS):
+        fresh = saved(_pivot_links(merged, rule, list(range(r * PIVOT_HASHES, (r + 1) * PIVOT_HASHES))))
+        if fresh.isEmpty():
+            break
+        links = fresh if links is None else saved(links.unionByName(fresh))
+        merged = saved(_labelled(sets, links))
+    if links is None:
+        links = sets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     reached, list_length = _reached(merged, rule)
     boundary = choose_boundary(sizes, list_length, rule)
     links = links.unionByName(_light_links(merged, rule, boundary)).unionByName(_list_links(reached, rule, boundary))

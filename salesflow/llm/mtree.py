@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from salesflow.llm.common import saved, ship
 
 #: Objects of a tree, objects of a leaf page and routing objects of an inner page, queries of a block.
-CELL, LEAF, FANOUT, BLOCK = 2048, 32, 8, 256
+CELL, LEAF, FANOUT, BLOCK = 4096, 128, 16, 256
 #: Most pivots: cells beyond it are dealt on by hash.
 PIVOTS = 1024
 #: Relative margin of distance bounds for rounding.
@@ -145,16 +145,19 @@ class Cell:
                         if dist - self.radius[kid] <= bound:
                             heapq.heappush(heap, (max(0.0, dist - self.radius[kid]), kid, dist))
                 continue
-            at = np.arange(self.first[page], self.last[page])
-            at = at[np.abs(to_centre - self.to_parent[at]) <= bound]
+            a, b = self.first[page], self.last[page]
+            at = a + np.flatnonzero(np.abs(to_centre - self.to_parent[a:b]) <= bound)
             if not len(at):
                 continue
-            scores = self.v[at] @ q  # whole numbers below 2^53: exact
+            # a page that loses nothing is read in place; whole numbers below 2^53: exact
+            scores = (self.v[a:b] if len(at) == b - a else self.v[at]) @ q
             computed += len(at)
             least = best[0][0] if len(best) >= k else -np.inf
-            for i in at[scores >= least].tolist():
-                score = int(self.v[i] @ q)
-                for vec in self.ids[i]:
+            if len(at) > k + 1:  # of one page, only its k+1 highest scores (and their ties) can enter
+                least = max(least, np.partition(scores, -k - 1)[-k - 1])
+            for j in np.flatnonzero(scores >= least).tolist():
+                score = int(scores[j])
+                for vec in self.ids[at[j]]:
                     if vec == own:
                         continue
                     item = (score, -vec)
@@ -218,7 +221,10 @@ def build(objects: DataFrame, norm2: float) -> DataFrame:
     """The written index: a row for each tree."""
     n = objects.count()
     wanted = min(PIVOTS, -(-2 * n // CELL))
-    picked = objects.orderBy("h").limit(wanted).select("v").collect()  # at most PIVOTS vectors
+    # a share of the hashes holds four times as many as are wanted, so that no task sends many; few objects are all taken
+    share = 1 << 20 if n <= 8 * wanted else -(-(4 * wanted << 20) // n)
+    picked = objects.filter(F.pmod("h", F.lit(1 << 20)) < share).orderBy("h").limit(wanted).select("v").collect()  # at most PIVOTS vectors
+    picked = picked or objects.limit(1).select("v").collect()
     pivots = np.array([r["v"] for r in picked], np.float64)
     dealt = saved(objects.mapInArrow(_assign(pivots), "v array<long>, ids array<long>, h long, pivot long"))
     sizes = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))

@@ -69,6 +69,20 @@ def test_passages_edges(odd):
     assert substring_dedup.repeated_passages(odd.limit(0)).count() == 0
 
 
+def _found(spark, *texts):
+    """The passages of documents 1, 2, ... as (doc_id, start, end, source_doc)."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts, 1)], "doc_id long, text string")
+    return [(r["doc_id"], r["start_word"], r["end_word"], r["source_doc"]) for r in substring_dedup.repeated_passages(docs).collect()]
+
+
+def test_passages_with_other_words_between_are_all_found(spark):
+    for k, (head, body, foot) in enumerate([(60, 100, 60), (50, 150, 55), (80, 300, 50), (60, 30, 60)]):
+        top, end = prose(900 + k, head), prose(950 + k, foot)
+        found = _found(spark, f"{top} {prose(1000 + k, body)} {end}", f"{top} {prose(1100 + k, body)} {end}")
+        for a, b in ((0, head), (head + body, head + body + foot)):
+            assert any(d == 2 and start <= a and b <= stop for d, start, stop, _ in found), (k, found)
+
+
 def test_chain_is_the_best_ordered_one():
     r = random.Random(5)
     for _ in range(30):

@@ -83,6 +83,16 @@ def test_passages_with_other_words_between_are_all_found(spark):
             assert any(d == 2 and start <= a and b <= stop for d, start, stop, _ in found), (k, found)
 
 
+def test_passages_repeated_inside_a_document_are_all_found(spark):
+    text, line = prose(800, 60), prose(801, 10)
+    found = _found(spark, f"{prose(810, 30)} {text}", " ".join(f"{prose(820 + k, 40)} {text}" for k in range(12)))
+    for k in range(12):
+        a = 100 * k + 40
+        assert any(d == 2 and start <= a and a + 60 <= b for d, start, b, _ in found), k
+    periodic = " ".join([line] * 10)  # a period shorter than a passage
+    assert any(d == 2 and b - a >= 95 for d, a, b, _ in _found(spark, periodic, f"{periodic} {prose(802, 50)}"))
+
+
 def test_chain_is_the_best_ordered_one():
     r = random.Random(5)
     for _ in range(30):

@@ -93,6 +93,27 @@ def test_passages_repeated_inside_a_document_are_all_found(spark):
     assert any(d == 2 and b - a >= 95 for d, a, b, _ in _found(spark, periodic, f"{periodic} {prose(802, 50)}"))
 
 
+def test_passages_whose_parts_first_occur_elsewhere_are_found(spark):
+    for k, (m, n) in enumerate([(30, 30), (35, 29), (40, 40), (20, 45)]):
+        x, y = prose(700 + k, m), prose(720 + k, n)
+        own = [prose(740 + 10 * k + j, 40) for j in range(8)]
+        found = _found(spark, f"{own[0]} {x} {own[1]}", f"{own[2]} {y} {own[3]}", f"{own[4]} {x} {y} {own[5]}", f"{own[6]} {x} {y} {own[7]}")
+        assert any(d == 4 and source == 3 and a <= 40 and 40 + m + n <= b for d, a, b, source in found), (k, found)
+
+
+def test_every_long_exact_run_holds_a_long_seed():
+    r = np.random.default_rng(8)
+    shared = r.integers(0, 2**63, 57).astype(np.uint64)
+    for _ in range(200):
+        both = []
+        for _ in range(2):
+            before = int(r.integers(0, 40))
+            words = np.concatenate([r.integers(0, 2**63, before), shared, r.integers(0, 2**63, int(r.integers(0, 40)))]).astype(np.uint64)
+            h, at = substring_dedup.long_seeds(words, 50)
+            both.append(set(zip(h.tolist(), (at - before).tolist())))
+        assert both[0] & both[1]
+
+
 def test_chain_is_the_best_ordered_one():
     r = random.Random(5)
     for _ in range(30):

@@ -5,8 +5,10 @@ shares, 0: equal ones). With `target_entropy` (a part of the entropy of equal sh
 largest that reaches it; otherwise it is the smallest that keeps every source within `max_repeats`
 passes of its own tokens at the wanted budget. It is found by bisection on a grid: each Spark
 aggregation over the table of sources evaluates a whole grid of exponents, so sources never come to
-the driver. Where the weights found would pass a source more than `max_repeats` times, the budget is
-lowered to what the limit allows.
+the driver. Where the weights found would pass a source more than `max_repeats` times, either (`fill`) that source
+is clipped at `max_repeats` passes and the others share the freed budget by their weights, so that a small source
+never lowers another's documents, or the whole budget is lowered until no source passes the limit, so that the
+drawn tokens keep the weights. With `fill`, one pass and the whole corpus as budget, everything is drawn.
 
 The weights are realised exactly, with a token budget per source, as block permutations: a
 source's documents lie in blocks by keyed hash; each epoch permutes the blocks; whole epochs give
@@ -79,15 +81,33 @@ def find_exponent(totals: DataFrame, *, target_entropy: float | None, max_repeat
     return exponent, budget * min(1.0, max_repeats / r["passes"])
 
 
-def mix(docs: DataFrame, *, target_entropy: float | None = 0.98, max_repeats: float = 1.0, budget_share: float = 1.0, seed: int = 17) -> DataFrame:
+def filled_level(totals: DataFrame, u: Column, *, max_repeats: float, budget: float) -> float:
+    """The level at which sources of min(max_repeats * tokens, level * u) tokens use up the budget.
+
+    Newton's steps on a sum that is concave and piecewise linear rise to it and end after finitely many, each one
+    aggregation over the sources.
+    """
+    cap, level = F.col("tokens") * F.lit(float(max_repeats)), 0.0
+    while True:
+        over = u * F.lit(level) >= cap
+        free, taken = totals.agg(F.sum(F.when(~over, u)), F.sum(F.when(over, cap))).first()
+        if not free:  # every source is clipped
+            return math.inf
+        risen = (budget - (taken or 0.0)) / free
+        if risen <= level * (1 + 1e-12):
+            return level
+        level = risen
+
+
+def mix(docs: DataFrame, *, target_entropy: float | None = 0.98, max_repeats: float = 1.0, budget_share: float = 1.0, seed: int = 17, fill: bool = False) -> DataFrame:
     """Every document with n_tokens, weight (of its source), copies (0 or more) and draw (its place
     among its source's permuted blocks, for the last, partial epoch).
 
-    budget_share: tokens wanted, as a part of all tokens.
+    budget_share: tokens wanted, as a part of all tokens. fill: clip sources over the limit, see the module's text.
     """
     rows = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens().alias("n_tokens"), F.xxhash64("doc_id", whole_text(), F.lit(seed)).alias("key"))
     small = saved(rows.select("source", F.col("key").alias("_key"), "n_tokens", "doc_id"))
-    drawn = draw(small, target_entropy=target_entropy, max_repeats=max_repeats, budget_share=budget_share, seed=seed)
+    drawn = draw(small, target_entropy=target_entropy, max_repeats=max_repeats, budget_share=budget_share, seed=seed, fill=fill)
     # repeated rows are alike in both columns and share one decision
     found = drawn.groupBy(F.col("doc_id").alias("d"), F.col("_key").alias("k"), F.col("source").alias("s")).agg(*(F.min(c).alias(c) for c in ("weight", "copies", "draw")))
     met = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & rows["source"].eqNullSafe(F.col("s")))
@@ -95,14 +115,18 @@ def mix(docs: DataFrame, *, target_entropy: float | None = 0.98, max_repeats: fl
     return met.select(*kept, *ADDED)
 
 
-def draw(sized: DataFrame, *, target_entropy: float | None, max_repeats: float, budget_share: float, seed: int) -> DataFrame:
+def draw(sized: DataFrame, *, target_entropy: float | None, max_repeats: float, budget_share: float, seed: int, fill: bool = False) -> DataFrame:
     """The decisions over rows (doc_id, source, n_tokens, _key): adds weight, copies, draw."""
     totals = saved(source_totals(sized))
     whole = totals.agg(F.sum("tokens")).first()[0] or 0
     exponent, budget = find_exponent(totals, target_entropy=target_entropy, max_repeats=max_repeats, budget=budget_share * whole)
     u = F.pow(F.col("tokens") / F.lit(float(whole or 1)), F.lit(exponent))
     z = totals.agg(F.sum(u)).first()[0] or 1.0
-    quota = F.floor(F.lit(budget) * u / F.lit(z) + F.lit(1e-6)).cast("long")
+    share = F.lit(budget) * u / F.lit(z)
+    if fill:
+        cap, level = F.col("tokens") * F.lit(float(max_repeats)), filled_level(totals, u, max_repeats=max_repeats, budget=float(budget_share * whole))
+        share = cap if math.isinf(level) else F.least(cap, F.lit(level) * u)
+    quota = F.floor(share + F.lit(1e-6)).cast("long")
     plan = totals.select(F.col("source").alias("_s"), (u / F.lit(z)).alias("weight"), F.floor(quota / F.col("tokens")).cast("int").alias("epochs"), (quota % F.col("tokens")).alias("left"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int").alias("blocks"))
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("_key", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int"))

@@ -33,7 +33,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, weight, copies, draw of every document: a whole corpus' budget, two passes at most."""
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), target_entropy=0.98, max_repeats=2.0).drop("text")
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), target_entropy=0.98, max_repeats=2.0, fill=True).drop("text")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

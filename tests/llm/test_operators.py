@@ -271,6 +271,25 @@ def test_mixing_repeats_and_limit(spark):
     assert out.filter("source = 'small'").agg(F.max("copies")).first()[0] == 3
 
 
+@pytest.mark.parametrize("share, repeats", [(1.0, 2.0), (1.0, 1.0), (0.5, 1.0)])
+def test_a_tiny_or_null_source_lowers_no_other(spark, share, repeats):
+    even = [(i, "a b c d", f"s{i % 10}" if i < 1000 else "hot") for i in range(1600)]
+    tiny = [*even, (5000, "a b", "tiny"), (5001, "a", None), (5002, "a b c", None)]
+    drawn = []
+    for rows in (even, tiny):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = mixing.mix(docs, target_entropy=0.98, max_repeats=repeats, budget_share=share, fill=True)
+        drawn.append({r["source"]: (r["n"], r["most"]) for r in out.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n"), F.max("copies").alias("most")).collect()})
+    assert all(most <= repeats for _, most in drawn[1].values())
+    wanted = share * sum(len(t.split()) for _, t, _ in tiny)
+    assert abs(sum(n for n, _ in drawn[1].values()) - wanted) <= 4 * 13
+    small = {s: n for s, (n, _) in drawn[1].items() if s in ("tiny", None)}
+    assert small == {"tiny": 2 * repeats, None: 4 * repeats}
+    # another exponent reaches the entropy of more sources; all in all the others lose what the small ones have
+    others = [sum(n for s, (n, _) in d.items() if s not in small) for d in drawn]
+    assert others[1] >= others[0] - 100
+
+
 def test_mixing_edges(odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r["copies"] == 1 for r in rows if r["n_tokens"] == 0)

@@ -13,11 +13,14 @@ link share a subset as large as their intersection, and of all that hold a subse
 set links first. Heavy sets scan inverted lists of their rarest shingles. The boundary is the size
 at which enumeration costs more than scanning, from the measured sizes and list lengths. Before
 the lists are scanned, verified links to the pivots of min-hash groups merge copies into
-components; lists then pair sets of different components only, so a group of near copies is not
-expanded into pairs, and no link between different components is lost.
-
-Defined results: null or empty text has an empty set and no link; rows repeated under one doc_id with
-the same set are one document; a null doc_id takes no part; extra columns are ignored.
+components. Lists that begin with the same set are scanned together, in blocks of bounded size: there
+each heavy set counts what it shares with the sets of other components, and a block sends on only
+verified links that join components, fewer than its sets, so a group of near copies is never expanded into
+pairs, and no link between different components is lost. Blocks of one component do not meet.
+
+Defined results: null or empty text has an empty set and no link; rows repeated under one doc_id with the
+same set are one document, with other sets one for each set; a null doc_id links with nothing and has a
+null component; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -39,10 +42,10 @@ from salesflow.llm.shingles import WordHashes, mixed, shingle_set, word_hashes
 HELD = 1_500_000
 #: Fewest partitions of the prefix hashes.
 LEAST_PARTITIONS = 96
-#: Min-hashes of a round that merges copies, and most rounds (they end when one merges nothing).
-PIVOT_HASHES, PIVOT_ROUNDS = 6, 2
-#: Sets of a list that meet at once; longer lists are dealt into blocks.
-LIST_BLOCK = 2048
+#: Min-hashes of a round that merges copies; another round follows while one finds links for this part of the sets.
+PIVOT_HASHES, WORTHWHILE = 6, 0.01
+#: Sets, and hashes, of a block: two of them meet at once.
+BLOCK_SETS, BLOCK_HASHES = 1024, 1 << 20
 #: Bits of a set's parity map.
 MAP_BITS = 1024
 #: Largest size that the choice of the boundary considers.
@@ -248,14 +251,15 @@ def _min_hashes(seeds: list[int]):
 
 def _pivot_links(sets: DataFrame, rule: Rule, seeds: list[int]) -> DataFrame:
     """Verified links between components of one min-hash group: each component sends one set, and meets the
-    group's first component and the component before it, so the pairs are as many as the sets at most."""
+    group's first and last one in an order drawn for the round, so the pairs are twice the sets at most.
+    The ends of a group are combined in each task first, and Spark splits the join of a hot one."""
     keys = sets.mapInArrow(_min_hashes(seeds), "cid long, component long, keys array<long>").select("cid", "component", F.posexplode("keys").alias("r", "m"))
-    # one set for each component and group, another one in each round
-    turn = F.struct(F.xxhash64("cid", F.lit(seeds[0])), F.col("cid"))
-    one = keys.groupBy("r", "m", "component").agg(F.min(turn).getField("cid").alias("cid"))
-    order = Window.partitionBy("r", "m").orderBy("component")
-    met = saved(one.withColumns({"first": F.first("cid").over(order), "before": F.lag("cid").over(order)}).filter("before IS NOT NULL"))
-    pairs = met.select(F.col("cid").alias("a"), F.explode(F.array("first", "before")).alias("b")).filter("a != b").distinct()
+    turn = F.struct(F.xxhash64("cid", F.lit(seeds[0])).alias("turn"), F.col("cid"))
+    one = keys.groupBy("r", "m", "component").agg(F.min(turn).alias("own"))
+    one = saved(one.select("r", "m", "component", "own"))
+    ends = one.groupBy("r", "m").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo != hi")
+    met = one.join(ends, ["r", "m"]).select(F.col("own.cid").alias("a"), F.explode(F.array("lo.cid", "hi.cid")).alias("b"))
+    pairs = met.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return _verified(pairs, sets, rule)
 
 
@@ -309,91 +313,126 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *rest], ["h", "cid", "n", "component"])
 
 
-def _list_links(sets: DataFrame, rule: Rule, boundary: int) -> DataFrame:
-    """Verified links between components, from inverted lists of each set's rarest shingles."""
+def _index(sets: DataFrame, rule: Rule, boundary: int) -> DataFrame:
+    """The inverted lists (h, cid, n, component) of each set's rarest shingles: two linked sets of different
+    components share one of them."""
     elements = saved(sets.filter(F.col("n") >= rule.least(boundary + 1)).mapInArrow(_explode, "h long, cid long, n long, component long"))
-    # how many components hold a shingle; a shingle of one component only pairs nothing
-    lists = elements.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.sum("k").alias("df"), F.count(F.lit(1)).alias("comps"))
+    # a shingle of one component only pairs nothing
+    lists = elements.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("h", "df")
     per_set = Window.partitionBy("cid")
-    ranked = elements.join(lists, "h").withColumns({"at": F.row_number().over(per_set.orderBy(F.col("comps"), F.col("df"), F.col("h"))), "c": F.count_if(F.col("comps") > 1).over(per_set)})
-    # a set shares no more with another component than c, its shingles that others hold: too few for any partner, and it leaves
-    able = ranked.filter(F.lit(rule.den) * F.col("c") >= F.lit(rule.num) * F.col("n"))
-    # the first n - least + 1 shingles in one global order: two linked sets share one of them
-    index = saved(able.filter((F.col("at") <= F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1) & (F.col("comps") > 1)).select("h", "cid", "n", "c", "component"))
-    maps = sets.mapInArrow(_parity_maps, "cid long, bits binary")
-    blocks = index.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"), F.countDistinct("component").alias("met")).filter("met > 1").drop("met")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    dealt = index.join(blocks, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(maps, "cid")
-    runs = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    pairs = runs.mapInArrow(_scan(rule, boundary), "a long, b long").distinct()
-    return _verified(pairs, sets, rule)
+    ranked = elements.join(lists, "h").withColumns({"at": F.row_number().over(per_set.orderBy("df", "h")), "c": F.count(F.lit(1)).over(per_set)})
+    # of its n shingles a set shares at most these c with other components: fewer than any partner needs, and it
+    # leaves; of n - least + 1 shingles in an order that puts the others first, c - least + 1 are shared
+    return saved(ranked.filter(F.col("at") <= F.col("c") - F.ceil(F.col("n") * rule.num / rule.den) + 1).select("h", "cid", "n", "component"))
+
+
+def _units(index: DataFrame) -> DataFrame:
+    """(unit, cid, n, component): the lists that begin with one set (the unit) are scanned together, so that a
+    set goes there once, not once for each list."""
+    firsts = index.groupBy("h").agg(F.min("cid").alias("unit"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("h", "unit")
+    return saved(index.join(firsts, "h").select("unit", "cid", "n", "component").distinct())
+
+
+def _meetings(units: DataFrame) -> DataFrame:
+    """(unit, i, j, own, cid): the blocks of each unit that meet, and the sets in them. A component that fills half a
+    block has blocks of its own, which do not meet each other; other components share mixed blocks."""
+    weight = F.greatest(F.lit(1.0 / BLOCK_SETS), F.col("n") / F.lit(float(BLOCK_HASHES)))
+    loads = units.groupBy("unit", "component").agg(F.sum(weight).alias("w")).withColumn("home", F.when(F.col("w") > 0.5, F.col("component").cast("string")).otherwise(F.lit("mixed")))
+    homes = saved(loads.groupBy("unit", "home").agg(F.ceil(F.sum("w")).cast("int").alias("many")))
+    placed = units.join(loads.drop("w"), ["unit", "component"]).join(homes, ["unit", "home"])
+    part = F.pmod(F.when(F.col("home") == "mixed", F.xxhash64("component")).otherwise(F.xxhash64("cid")), F.col("many"))
+    placed = placed.select("unit", "cid", "home", F.concat_ws("/", "home", part).alias("own"))
+    blocks = homes.select("unit", F.col("home").alias("to"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("k")).select("unit", "to", F.concat_ws("/", "to", "k").alias("other"))
+    met = placed.join(blocks, "unit").filter((F.col("home") != F.col("to")) | (F.col("home") == "mixed"))
+    return met.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
+
+
+def _list_links(sets: DataFrame, rule: Rule, boundary: int) -> DataFrame:
+    """Verified links between components, found by scanning inverted lists."""
+    met = _meetings(_units(_index(sets, rule, boundary))).join(sets.select("cid", "component", "hashes"), "cid")
+    runs = met.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "cid")
+    return runs.mapInArrow(_scan(rule, boundary), "a long, b long").distinct()
 
 
-def _parity_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parity_maps(sets: list[np.ndarray]) -> np.ndarray:
     """The parity of each set's hashes in MAP_BITS places: two maps differ in no more places than the sets in elements."""
-    for batch in batches:
-        maps = [np.packbits(np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1 == 1).tobytes() for x in batch.column("hashes")]
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(maps, pa.binary())], ["cid", "bits"])
+    maps = [np.packbits(np.bincount((x % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1 == 1) for x in sets]
+    return np.stack(maps).view(np.uint64)
+
+
+def spanning_links(rule: Rule, boundary: int, cid: np.ndarray, component: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Verified links from sets marked left to sets marked right, enough to join all components that such links
+    join: fewer than there are sets.
+
+    A set with partners that sizes and parity maps allow scans the lists of its shingles once, which counts what it
+    shares with every set; components that a link joined are not compared again.
+    """
+    n = np.array([len(x) for x in sets])
+    _, parent = np.unique(component, return_inverse=True)
+    # sizes alone part most small meetings
+    ok = (rule.den * np.minimum(n[:, None], n[None, :]) >= rule.num * np.maximum(n[:, None], n[None, :])) & (np.maximum(n[:, None], n[None, :]) > boundary)
+    ok &= (parent[:, None] != parent[None, :]) & left[:, None] & right[None, :]
+    if not ok.any():
+        return []
+    maps = _parity_maps(sets)
+    whole = np.concatenate(sets)
+    order = np.argsort(whole, kind="stable")
+    owner, ranked = np.repeat(np.arange(len(sets)), n)[order], whole[order]
+    found = []
+    for x in np.flatnonzero(ok.any(1)).tolist():
+        y = np.flatnonzero(ok[x] & (parent != parent[x]))
+        # |A ^ B| = a + b - 2 |A & B|, and a link needs |A & B| >= num (a + b) / (den + num)
+        y = y[np.bitwise_count(maps[y] ^ maps[x]).sum(1) * (rule.den + rule.num) <= (n[y] + n[x]) * (rule.den - rule.num)]
+        if not len(y):
+            continue
+        if len(y) <= 4:
+            shared = np.array([np.isin(sets[k], sets[x], assume_unique=True).sum() for k in y])
+        else:
+            first, last = np.searchsorted(ranked, sets[x], "left"), np.searchsorted(ranked, sets[x], "right")
+            many = last - first
+            lists = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+            shared = np.bincount(owner[lists], minlength=len(sets))[y]
+        for k in y[rule.links(n[x], n[y], shared)].tolist():
+            if parent[k] != parent[x]:
+                found.append((int(cid[x]), int(cid[k])))
+                parent[parent == parent[k]] = parent[x]
+    return found
 
 
 def _scan(rule: Rule, boundary: int):
-    """Scan lists (or pairs of their blocks): pairs of different components whose sizes, shared counts and parity maps allow a link."""
-
-    def candidates(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(rows["own"] == rows["i"])
-        right = np.flatnonzero(rows["own"] == rows["j"])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        n, c, comp, bits, cid = (rows[k] for k in ("n", "c", "component", "bits", "cid"))
-        same_block = rows["i"][0] == rows["j"][0]
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64, None]
-            y = right[None, :]
-            total, fewest = n[x] + n[y], np.minimum(c[x], c[y])
-            ok = (comp[x] != comp[y]) & (rule.den * np.minimum(n[x], n[y]) >= rule.num * np.maximum(n[x], n[y])) & (rule.den * fewest >= rule.num * (total - fewest)) & (np.maximum(n[x], n[y]) > boundary)
-            if same_block:
-                ok &= cid[x] < cid[y]
-            u, v = np.nonzero(ok)
-            a, b = left[at + u], right[v]
-            for k in range(0, len(a), 50_000):
-                p, q = a[k : k + 50_000], b[k : k + 50_000]
-                apart = np.bitwise_count(bits[p] ^ bits[q]).sum(1)
-                total = n[p] + n[q]
-                # |A ^ B| = a + b - 2 |A & B|, and a link needs |A & B| >= num (a + b) / (den + num)
-                good = apart * (rule.den + rule.num) <= total * (rule.den - rule.num)
-                found.append((cid[p[good]], cid[q[good]]))
-        return tuple(np.concatenate(z) if found else np.zeros(0, np.int64) for z in (zip(*found) if found else ((), ())))
+    """Rows come sorted by (unit, i, j): the spanning links of each meeting of two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-
-        def settle(rows: dict[str, np.ndarray], last: bool) -> tuple[dict | None, list]:
-            key = np.stack([rows["h"], rows["i"].astype(np.int64), rows["j"].astype(np.int64)], 1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-            done = cuts if last else cuts[:-1]
-            out = [candidates({k: v[p:q] for k, v in rows.items()}) for p, q in zip(done, done[1:]) if q - p > 1]
-            return (None if last else {k: v[cuts[-2] :] for k, v in rows.items()}), out
+        held: list[tuple] = []
+        key = None
 
-        def told(out: list) -> pa.RecordBatch:
-            a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)  # once for a batch
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+        def settled() -> list[tuple[int, int]]:
+            cid, component, own, data = zip(*held)
+            own = np.array(own)
+            left, right = own == key[1], own == key[2]
+            return spanning_links(rule, boundary, np.array(cid), np.array(component), [np.frombuffer(x, np.uint64) for x in data], left, right) if len(held) > 1 else []
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "i", "j", "own", "cid", "n", "c", "component")}
-            rows["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            if held is not None:
-                rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-            held, out = settle(rows, False)
-            yield told(out)
-        if held is not None:
-            yield told(settle(held, True)[1])
+            out: list[tuple[int, int]] = []
+            rows = [batch.column(c).to_pylist() for c in ("unit", "i", "j", "own", "cid", "component", "hashes")]
+            for unit, i, j, *row in zip(*rows):
+                if (unit, i, j) != key:
+                    if held:
+                        out += settled()
+                    held, key = [], (unit, i, j)
+                own, cid, component, data = row
+                held.append((cid, component, own, data))
+            yield _pairs(out)
+        if held:
+            yield _pairs(settled())
 
     return run
 
 
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def _prefixes(rule: Rule):
     """Distinct (h, component) of a task's prefixes."""
 
@@ -435,9 +474,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     """doc_id, n_shingles, component_id of every document."""
     ship(docs.sparkSession)
     rule = Rule(num, den)
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    own = saved(rows.mapInArrow(_sets(k, False), "doc_id long, n long, s1 long, s2 long").groupBy("doc_id", "n", "s1", "s2").agg(F.count(F.lit(1)).alias("n_rows")))
-    classes = saved(own.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n")))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = every.filter("doc_id IS NOT NULL")
+    own = saved(every.mapInArrow(_sets(k, False), "doc_id long, n long, s1 long, s2 long").groupBy("doc_id", "n", "s1", "s2").agg(F.count(F.lit(1)).alias("n_rows")))
+    classes = saved(own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n")))
     # classes that can link: enough of their prefix is known to others
     known = _known(rows.select("text"), rule, k)
     able = classes.join(known, F.col("s1") == F.col("g")).filter(F.col("known") >= _least_known(rule)).select("cid")
@@ -446,13 +486,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     # repeated rows of a doc_id are alike here or belong to another class
     sets = saved(sets.join(classes.select(F.col("cid"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("cid")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).select("cid", "n", "hashes"))
     sizes = {r["n"]: r["c"] for r in sets.filter(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    merged, links = sets.withColumn("component", F.col("cid")), None
-    for r in range(PIVOT_ROUNDS):
+    merged, links, n_sets, r = sets.withColumn("component", F.col("cid")), None, sets.count(), 0
+    while True:
         fresh = saved(_pivot_links(merged, rule, list(range(r * PIVOT_HASHES, (r + 1) * PIVOT_HASHES))))
-        if fresh.isEmpty():
+        if not (n := fresh.count()):
             break
         links = fresh if links is None else saved(links.unionByName(fresh))
-        merged = saved(_labelled(sets, links))
+        merged, r = saved(_labelled(sets, links)), r + 1
+        if n < WORTHWHILE * n_sets:
+            break
     if links is None:
         links = sets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     reached, list_length = _reached(merged, rule)
@@ -460,6 +502,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     links = links.unionByName(_light_links(merged, rule, boundary)).unionByName(_list_links(reached, rule, boundary))
     found = components(saved(links))
     labels = classes.join(found, F.col("cid") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cid").alias("component_id"))
-    # a doc_id repeated with different texts ties their classes
     labelled = own.join(labels, ["s1", "s2"], "left")
-    return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -195,11 +195,47 @@ def test_jaccard_join_keeps_a_group_of_near_copies_whole(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_join_of_a_large_group_around_the_limit(spark, monkeypatch):
+    # copies with random edits lie on both sides of the limit; blocks of few sets make many meetings
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
+    r, text, rows = random.Random(31), prose(78, 100).split(), []
+    for k in range(260):
+        own = list(text)
+        for at in r.sample(range(100), 2 + k % 3):
+            own[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(own)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = brute_components(rows)
+    assert got == wanted and 20 < len({c for _, c in wanted.values()}) < 250
+
+
+def test_spanning_links_join_what_links_join():
+    r, rule = np.random.default_rng(5), jaccard_join.Rule()
+    base = [np.unique(r.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(6)]
+    sets = []
+    for k in range(80):
+        own = base[k % 6].copy()
+        own[r.choice(len(own), int(r.integers(0, 9)), replace=False)] = r.integers(0, 2**63, 1).astype(np.uint64)
+        sets.append(np.unique(own))
+    ids, both = np.arange(80), np.ones(80, bool)
+    for component in (ids, ids // 3):
+        found = jaccard_join.spanning_links(rule, 4, ids, component, sets, both, both)
+        wanted = [(a, b) for a in range(80) for b in range(a) if component[a] != component[b] and rule.links(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))]
+
+        def classes(links):
+            label = component.copy()
+            for a, b in links:
+                label[label == label[a]] = label[b]
+            return {tuple(np.flatnonzero(label == x)) for x in label}
+
+        assert classes(found) == classes(wanted) and len(found) < len(set(component.tolist())) and wanted
+
+
 def test_jaccard_join_edges(odd):
     rows = [(x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard_join.near_duplicates(odd).collect()]
     got = {d: (n, c) for d, n, c in rows}
-    assert got[0] == (0, 0) and got[1] == (0, 1) and got[8] == (0, 8) and None not in got
-    assert got[3][1] == got[4][1] == got[2][1] == 2 and got[6] == (1, 5) and len(rows) == 13
+    assert got[0] == (0, 0) and got[1] == (0, 1) and got[8] == (0, 8) and got[None] == (86, None)
+    assert got[3][1] == got[4][1] == got[2][1] == 2 and got[6] == (1, 5) and len(rows) == 14
     assert jaccard_join.near_duplicates(odd.limit(0)).count() == 0
 
 

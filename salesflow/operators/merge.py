@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesflow.functions.scalar import BEGINNING, FOREVER
+from salesflow.session import shared_place
 
 
 def same_keys(left: str, right: str, keys: list[str]) -> Column:
@@ -38,8 +39,11 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[C
 
 def numbered(rows: DataFrame, order: list[str], key: str, start: int | Column) -> DataFrame:
     """Dense numbers from start + 1 along an order, without gathering rows in one task: ranges are numbered
-    each and shifted by the rows before them."""
+    each and shifted by the rows before them. The ranges are written once, as bounds drawn twice need not agree."""
     dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    spark, path = rows.sparkSession, shared_place(rows.sparkSession, "numbered")
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
     local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     # one row for each partition
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -10,6 +10,7 @@ from salesflow.operators import control, gates, merge, promotions
 from salesflow.operators import logs as log_ops
 from salesflow.plans import domain
 from salesflow.plans.domain import LOGS, PROMOTIONS, query, table
+from salesflow.session import shared_place
 from salesflow.sources.sinks import replace_window
 
 big = lambda c: F.col(c).cast("long").alias(c)
@@ -187,11 +188,9 @@ SELECT strftime(date_trunc('day', event_time), '%Y-%m-%d %H:%M') AS window_start
 def t5_stream_append_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream's windowed report in append mode: windows that the watermark has passed. The events table is read as a
     file stream, all available once, and the emitted windows are read back."""
-    import uuid
-
     from salesflow.streaming.service_logs import windowed
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/salesflow-stream/{uuid.uuid4().hex}"
+    base = shared_place(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # a file is a batch of the stream; the table's file is named by its folder and a glob
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -302,19 +301,12 @@ def w8_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.latest_runs(runs).select("pipeline", "run")
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    """A new folder for what a query writes, in the cluster's shared folder."""
-    import uuid
-
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/salesflow-{name}/{uuid.uuid4().hex}"
-
-
 @query("""SELECT f.format, s.rows, s.value FROM (SELECT unnest(['csv', 'parquet', 'orc']) AS format) f, (SELECT count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS value FROM orders) s""")
 def q15_format_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows written as CSV, Parquet and ORC read back alike."""
     from salesflow.sources.sinks import write_formats
 
-    path, schema = _place(spark, "formats"), "order_id long, total decimal(12,2), order_year int"
+    path, schema = shared_place(spark, "formats"), "order_id long, total decimal(12,2), order_year int"
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), domain.money("o_totalprice").alias("total"), F.year("o_orderdate").alias("order_year"))
     write_formats(rows.repartition("order_year"), path, ["order_year"])
     out = None
@@ -331,7 +323,9 @@ def t10_epoch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two epochs, the second of which breaks after its raw write and is tried again, and a replay: each event counts once."""
     from salesflow.streaming.service_logs import epoch_writer, live_report
 
-    base, raw = _place(spark, "epochs"), domain.raw_logs(spark, sf_dir)
+    # an epoch's events arrive together: its raw rows fall into one leaf of five minutes
+    arrived = F.timestamp_seconds(F.lit(1_767_225_600) + 600 * (F.col("offset") % 2))
+    base, raw = shared_place(spark, "epochs"), domain.raw_logs(spark, sf_dir).withColumn("timestamp", arrived)
     broken = []
 
     def fail(step: str, epoch: int) -> None:
@@ -345,20 +339,21 @@ def t10_epoch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
             process(raw.filter(F.col("offset") % 2 == epoch), epoch)
         except RuntimeError:
             pass
-    return live_report(spark, base, ["g1"]).select(text("minute_start"), "service", "request_count", "avg_latency_ms", big("max_latency_ms"))
+    return live_report(spark, base).select(text("minute_start"), "service", "request_count", "avg_latency_ms", big("max_latency_ms"))
 
 
-@query("SELECT 'first' AS run, 'published' AS outcome, count(*) AS rows FROM nation UNION ALL SELECT 'again', 'already', count(*) FROM nation")
+@query(f"""WITH {LOGS}, minutes AS (SELECT date_trunc('minute', event_time) AS m, service, count(*) AS request_count, max(latency_ms) AS max_latency_ms FROM logs GROUP BY 1, 2)
+SELECT strftime(m, '%Y-%m-%d %H:%M') AS minute_start, service, request_count, CAST(max_latency_ms AS BIGINT) AS max_latency_ms, 'published already' AS outcomes FROM minutes""")
 def k18_atomic_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A staged report published by one rename; a second try finds it done."""
+    """Both log reports of all events, staged and published by one rename; a second try finds it done. The published minutes."""
     from salesflow.sources.sinks import publish_artifact
 
-    base = _place(spark, "artifact")
-    for part in ("minutes", "statuses"):
-        table(spark, sf_dir, "nation").write.parquet(f"{base}/staging/{part}")
-    outcomes = [(run, publish_artifact(spark, f"{base}/staging", f"{base}/published/run")) for run in ("first", "again")]
-    rows = spark.read.parquet(f"{base}/published/run/minutes").agg(F.count(F.lit(1)).alias("rows"))
-    return spark.createDataFrame(outcomes, "run string, outcome string").crossJoin(rows)
+    base, logs = shared_place(spark, "artifact"), domain.logs(spark, sf_dir)
+    log_ops.minute_report(logs).write.parquet(f"{base}/staging/minutes")
+    log_ops.status_report(logs).write.parquet(f"{base}/staging/statuses")
+    outcomes = " ".join(publish_artifact(spark, f"{base}/staging", f"{base}/published/run") for _ in range(2))
+    rows = spark.read.parquet(f"{base}/published/run/minutes")
+    return rows.select(text("minute_start"), "service", "request_count", big("max_latency_ms"), F.lit(outcomes).alias("outcomes"))
 
 
 _GENERATIONS = "generations AS (SELECT DISTINCT user_id AS generation, user_id % 10 AS lineage, user_id = 7 AS is_active FROM events)"

@@ -1,7 +1,8 @@
 """Writers: partitioned files, load modes, idempotent partitions, gated and atomic publishing.
 
-Readers of a published table follow its pointer (`current`): data is written to a new folder first, the pointer is
-replaced last, so a crash leaves the old table. Parquet cannot overwrite what it reads from.
+A published table is a folder of versions and a folder of numbered pointers, empty files whose name holds a version: a
+new version is written first, then the next pointer is created, which a file system does in one step; readers
+take the highest one, so a crash leaves the old table. Parquet cannot overwrite what it reads from.
 """
 
 from __future__ import annotations
@@ -58,23 +59,27 @@ def clear_reports(spark: SparkSession, path: str) -> None:
         fs.delete(target, True)
 
 
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """Names `number.version` of the pointers, ascending."""
+    fs, folder = _fs(spark, f"{path}/pointers")
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
 def published(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table that the pointer names, None if nothing is published."""
-    if not exists(spark, f"{path}/current"):
-        return None
-    version = spark.read.text(f"{path}/current").first()["value"]
-    return spark.read.parquet(f"{path}/versions/{version}")
+    """The table that the highest pointer names, None if nothing is published."""
+    names = _pointers(spark, path)
+    return spark.read.parquet(f"{path}/versions/{names[-1].split('.')[1]}") if names else None
 
 
 def _point(spark: SparkSession, path: str, version: str) -> None:
-    """Replace the pointer by a rename: the step that publishes."""
-    staged = f"{path}/current.{version}"
-    spark.range(1).select(F.lit(version).alias("value")).coalesce(1).write.text(staged)
-    fs, old = _fs(spark, f"{path}/current")
-    new = _fs(spark, staged)[1]
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    """Create the next pointer: the step that publishes. Older ones but the last are dropped after it."""
+    old = _pointers(spark, path)
+    number = int(old[-1].split(".")[0]) + 1 if old else 0
+    fs, new = _fs(spark, f"{path}/pointers/{number:012d}.{version}")
+    if not fs.createNewFile(new):
         raise OSError(f"could not publish {path}")
+    for name in old[:-1]:
+        fs.delete(_fs(spark, f"{path}/pointers/{name}")[1], False)
 
 
 def publish(rows: DataFrame, path: str) -> int:
@@ -120,8 +125,22 @@ def replace_window(table: DataFrame, staged: DataFrame, column: str, start: str,
 
 
 def overwrite_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
-    """Replace only the partitions that `rows` has: a retried batch rewrites its own leaf."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Replace only the partitions that `rows` has: a retried batch rewrites its own leaf. Rows are dealt by leaf
+    first, so that each leaf is one file or few."""
+    rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def drop_partitions(spark: SparkSession, path: str, by: list[str], values: dict) -> None:
+    """Delete the leaves of some partition columns' values, whatever the other columns of `by` are."""
+    fs, pattern = _fs(spark, "/".join([path, *(f"{c}={values[c]}" if c in values else f"{c}=*" for c in by)]))
+    for leaf in fs.globStatus(pattern) or []:
+        fs.delete(leaf.getPath(), True)
+
+
+def replace_batch(rows: DataFrame, path: str, by: list[str], own: dict) -> None:
+    """Write a batch in place of all that it wrote before: leaves that a shrunk or emptied batch no longer has go too."""
+    drop_partitions(rows.sparkSession, path, by, own)
+    overwrite_partitions(rows, path, by)
 
 
 def publish_artifact(spark: SparkSession, staging: str, target: str, parts: tuple[str, ...] = ("minutes", "statuses")) -> str:

@@ -6,15 +6,17 @@ invalid, as it has no stateful operator. A window is emitted once, after the wat
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from salesflow.operators import logs
-from salesflow.operators.control import epoch_action
-from salesflow.sources.sinks import exists, overwrite_partitions
+from salesflow.operators.control import check_generation, epoch_action, lineage_of
+from salesflow.sources.sinks import drop_partitions, exists, overwrite_partitions
 
 
 def windowed(classified: DataFrame, delay: str = "1 minute", duration: str = "1 minute") -> DataFrame:
@@ -37,13 +39,12 @@ def start_three(source: DataFrame, base: str, *, delay: str = "1 minute", durati
         # one file for each epoch: a replay writes the same file again
         logs.acceptance(batch).withColumn("batch_id", F.lit(epoch)).coalesce(1).write.mode("overwrite").parquet(f"{base}/metrics/batch_{epoch:020d}")
 
-    rejected = classified.filter(~F.col("is_valid")).select("raw_json", "rejection_reason", "source_topic", "source_partition", "source_offset", "kafka_timestamp", F.current_timestamp().alias("quarantined_at"))
     writers = {
         "report": windowed(classified, delay, duration).writeStream.format("parquet").outputMode("append").option("path", f"{base}/report"),
-        "quarantine": rejected.writeStream.format("parquet").outputMode("append").option("path", f"{base}/quarantine"),
+        "quarantine": logs.quarantine(classified).writeStream.format("parquet").outputMode("append").option("path", f"{base}/quarantine"),
         "metrics": classified.writeStream.foreachBatch(metrics),
     }
-    return [w.queryName(f"logs_{name}_{abs(hash(base))}").option("checkpointLocation", f"{base}/checkpoints/{name}").trigger(**trigger(every)).start() for name, w in writers.items()]
+    return [w.queryName(f"logs_{name}_{zlib.crc32(base.encode())}").option("checkpointLocation", f"{base}/checkpoints/{name}").trigger(**trigger(every)).start() for name, w in writers.items()]
 
 
 def run_until_done(queries: list[StreamingQuery], seconds: float | None = None) -> None:
@@ -57,6 +58,52 @@ def run_until_done(queries: list[StreamingQuery], seconds: float | None = None)
                 q.stop()
 
 
+EPOCHS = "raw_count long, valid_count long, max_event_time timestamp, lag_seconds long, landed_at timestamp, status string, generation string, epoch long"
+GENERATIONS = "query string, checkpoint string, lineage string, status string, is_active boolean, generation string"
+CONTRIBUTIONS = "minute_start timestamp, service string, request_count long, latency_sum long, max_latency_ms int, generation string, epoch long"
+RAW_LEAF = ["ingest_date", "ingest_hour", "rotation_5m", "generation", "epoch"]
+
+
+class Generations:
+    """The registry of generations, a row for each: its query and checkpoint, its lineage, and whether it is the active one."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(GENERATIONS).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], GENERATIONS)
+
+    def _known(self) -> dict[str, dict]:
+        """The registry has a row for each checkpoint ever used, a few."""
+        return {r["generation"]: r.asDict() for r in self.rows().collect()}
+
+    def write(self, row: dict) -> None:
+        names = [c.split()[0] for c in GENERATIONS.split(", ")]
+        overwrite_partitions(self.spark.createDataFrame([tuple(row[n] for n in names)], GENERATIONS).coalesce(1), self.path, ["generation"])
+
+    def check(self, generation: str, query: str, checkpoint: str) -> None:
+        """Raise if the generation belongs to another query or checkpoint, or was superseded."""
+        check_generation(self._known(), generation, query, checkpoint)
+
+    def activate(self, generation: str, query: str, checkpoint: str, epoch: int, active_last: Callable[[str], int]) -> None:
+        """Make a generation the active one of its query from its first successful epoch on; the old one is superseded. It
+        keeps the old one's lineage if it goes on where that stopped (active_last: last epoch of a generation)."""
+        known = self._known()
+        if known.get(generation, {}).get("is_active"):
+            return
+        old = next((g for g in known.values() if g["query"] == query and g["is_active"]), None)
+        lineage = lineage_of(generation, epoch, active_last(old["generation"]) if old else None, old["lineage"] if old else None)
+        self.write({"generation": generation, "query": query, "checkpoint": checkpoint, "lineage": lineage, "status": "active", "is_active": True})
+        if old:
+            self.write(old | {"status": "superseded", "is_active": False})
+
+    def active_lineage(self, query: str) -> list[str]:
+        """Every generation in the lineage of the query's active one."""
+        known = [g for g in self._known().values() if g["query"] == query]
+        alive = {g["lineage"] for g in known if g["is_active"]}
+        return sorted(g["generation"] for g in known if g["lineage"] in alive)
+
+
 class EpochLog:
     """The record of epochs of one generation: a row for each, replaced by its key."""
 
@@ -66,46 +113,67 @@ class EpochLog:
     def rows(self) -> DataFrame | None:
         if not exists(self.spark, self.path):
             return None
-        return self.spark.read.schema("raw_count long, valid_count long, status string, generation string, epoch long").parquet(self.path).filter(F.col("generation") == self.generation)
+        return self.spark.read.schema(EPOCHS).parquet(self.path).filter(F.col("generation") == self.generation)
 
     def last_success(self) -> int:
         found = self.rows()
         top = None if found is None else found.filter("status = 'success'").agg(F.max("epoch")).first()[0]
         return -1 if top is None else top
 
-    def status(self, epoch: int) -> str | None:
+    def read(self, epoch: int) -> Row | None:
         found = self.rows()
-        row = None if found is None else found.filter(F.col("epoch") == epoch).select("status").first()
-        return row["status"] if row else None
-
-    def write(self, epoch: int, status: str, raw: int = 0, valid: int = 0) -> None:
-        row = self.spark.createDataFrame([(raw, valid, status, self.generation, epoch)], "raw_count long, valid_count long, status string, generation string, epoch long")
+        return None if found is None else found.filter(F.col("epoch") == epoch).first()
+
+    def reserve(self, epoch: int) -> tuple[datetime, bool]:
+        """When the epoch landed, and whether it was tried before: a retry keeps the first attempt's time, so that the same
+        events are judged late."""
+        if (row := self.read(epoch)) and row["landed_at"]:
+            landed = row["landed_at"]
+        else:
+            landed = datetime.now(timezone.utc)
+        self.write(epoch, "running", landed)
+        return landed, row is not None
+
+    def write(self, epoch: int, status: str, landed: datetime, stats: Row | None = None) -> None:
+        figures = (stats["raw_count"], stats["valid_count"], stats["max_event_time"], stats["lag_seconds"]) if stats else (0, 0, None, None)
+        row = self.spark.createDataFrame([(*figures, landed, status, self.generation, epoch)], EPOCHS)
         overwrite_partitions(row.coalesce(1), self.path, ["generation", "epoch"])
 
 
-def epoch_writer(spark: SparkSession, base: str, generation: str, *, max_delay_seconds: int = 120, fail: Callable[[str, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch of the second contract: reserve, raw rows, contribution, success. Each step replaces what the same
-    epoch wrote before, so a crash between steps and a replay end in the same tables; a finished epoch is skipped.
-    fail(step, epoch) lets tests break a step."""
-    record = EpochLog(spark, f"{base}/control/epochs", generation)
+def epoch_writer(
+    spark: SparkSession, base: str, generation: str, *, query: str = "service_logs", checkpoint: str | None = None, max_delay_seconds: int = 120, fail: Callable[[str, int], None] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """foreachBatch of the second contract: reserve, raw rows, contribution, success, activation. A retry judges events by
+    the time of the first attempt and replaces all that its epoch wrote before, so a crash between steps and a replay
+    end in the same tables; a finished epoch is skipped. fail(step, epoch) lets tests break a step."""
+    record, registry = EpochLog(spark, f"{base}/control/epochs", generation), Generations(spark, f"{base}/control/generations")
+    checkpoint = checkpoint or f"{base}/checkpoints/{generation}"
+    own = {"generation": generation}
 
     def process(batch: DataFrame, epoch: int) -> None:
-        if epoch_action(epoch, record.last_success(), record.status(epoch)) == "replay":
+        registry.check(generation, query, checkpoint)
+        known = record.read(epoch)
+        if epoch_action(epoch, record.last_success(), known["status"] if known else None) == "replay":
             return
-        record.write(epoch, "running")
-        classified = logs.classify_v2(batch, max_delay_seconds).withColumns({"generation": F.lit(generation), "epoch": F.lit(epoch).cast("long")}).persist()
+        landed, again = record.reserve(epoch)
+        numbers = {"generation": F.lit(generation), "epoch": F.lit(epoch).cast("long")}
+        classified = logs.classify_v2(batch, max_delay_seconds, F.lit(landed)).withColumns(numbers).persist()
         try:
-            stats = logs.batch_stats(classified).first()
-            overwrite_partitions(classified, f"{base}/raw", ["ingest_date", "ingest_hour", "rotation_5m", "generation", "epoch"])
+            if again:
+                for table, by in (("raw", RAW_LEAF), ("contributions", ["generation", "epoch"])):
+                    drop_partitions(spark, f"{base}/{table}", by, own | {"epoch": epoch})
+            overwrite_partitions(classified, f"{base}/raw", RAW_LEAF)
             if fail:
                 fail("raw", epoch)
-            part = logs.partials(classified.filter("is_valid")).withColumns({"generation": F.lit(generation), "epoch": F.lit(epoch).cast("long")})
+            part = logs.partials(classified.filter("is_valid")).withColumns(numbers)
             overwrite_partitions(part, f"{base}/contributions", ["generation", "epoch"])
             if fail:
                 fail("contributions", epoch)
-            record.write(epoch, "success", stats["raw_count"], stats["valid_count"])
+            stats = logs.ingestion_lag(logs.batch_stats(classified), F.current_timestamp()).first()
+            record.write(epoch, "success", landed, stats)
+            registry.activate(generation, query, checkpoint, epoch, lambda g: EpochLog(spark, record.path, g).last_success())
         except BaseException:
-            record.write(epoch, "failed")
+            record.write(epoch, "failed", landed)
             raise
         finally:
             classified.unpersist()
@@ -120,8 +188,9 @@ def start_epochs(source: DataFrame, base: str, generation: str, *, every: str |
     return writer.option("checkpointLocation", f"{base}/checkpoints/{generation}").trigger(**trigger(every)).start()
 
 
-def live_report(spark: SparkSession, base: str, generations: list[str]) -> DataFrame:
-    """The live report over the contributions of successful epochs of the given generations (a lineage)."""
-    done = spark.read.parquet(f"{base}/control/epochs").filter("status = 'success'").filter(F.col("generation").isin(generations)).select("generation", "epoch")
-    rows = spark.read.parquet(f"{base}/contributions").withColumns({"generation": F.col("generation").cast("string"), "epoch": F.col("epoch").cast("long")})
-    return logs.live_view(rows.join(done.withColumn("epoch", F.col("epoch").cast("long")), ["generation", "epoch"], "left_semi"))
+def live_report(spark: SparkSession, base: str, generations: list[str] | None = None, query: str = "service_logs") -> DataFrame:
+    """The live report over the contributions of successful epochs of the given generations, or of the query's active lineage."""
+    if generations is None:
+        generations = Generations(spark, f"{base}/control/generations").active_lineage(query)
+    done = spark.read.schema(EPOCHS).parquet(f"{base}/control/epochs").filter("status = 'success'").filter(F.col("generation").isin(generations)).select("generation", "epoch")
+    return logs.live_view(spark.read.schema(CONTRIBUTIONS).parquet(f"{base}/contributions").join(done, ["generation", "epoch"], "left_semi"))

@@ -131,3 +131,55 @@ def test_epoch_stream_resumes(spark, tmp_path):
         service_logs.start_epochs(log_stream(spark, landed), base, "g", max_delay_seconds=10**9).awaitTermination()
     row = service_logs.live_report(spark, base, ["g"]).first()
     assert (row["request_count"], row["avg_latency_ms"]) == (2, 10.0)
+
+
+def epoch_batch(spark, *times):
+    body = '{"event_id":"e%d","event_time":"%s","service":"a","method":"GET","path":"/","status_code":200,"latency_ms":10}'
+    return spark.createDataFrame([((body % (k, t)).encode(),) for k, t in enumerate(times)], "value binary")
+
+
+def test_a_retry_judges_events_by_the_first_attempt(spark, tmp_path, monkeypatch):
+    base, now = str(tmp_path), datetime(2026, 7, 1, 10, 0, 30, tzinfo=timezone.utc)
+
+    class Clock(datetime):
+        at = None
+
+        @classmethod
+        def now(cls, tz=None):
+            return cls.at
+
+    Clock.at = now
+    monkeypatch.setattr(service_logs, "datetime", Clock)
+    broken = []
+
+    def fail(step, epoch):
+        if step == "contributions" and not broken:
+            broken.append(step)
+            raise RuntimeError
+
+    process = service_logs.epoch_writer(spark, base, "g", max_delay_seconds=40, fail=fail)
+    batch = epoch_batch(spark, "2026-07-01T10:00:00Z", "yesterday")  # no queue time: a bad time falls into the leaf of the landing time
+    with pytest.raises(RuntimeError):
+        process(batch, 0)
+    Clock.at = now + timedelta(minutes=7)
+    process(batch, 0)
+    assert [(r["request_count"], r["avg_latency_ms"]) for r in service_logs.live_report(spark, base).collect()] == [(1, 10.0)]
+    record = service_logs.EpochLog(spark, f"{base}/control/epochs", "g").read(0)
+    assert (record["status"], record["raw_count"], record["valid_count"]) == ("success", 2, 1) and record["lag_seconds"] > 0
+    assert spark.read.parquet(f"{base}/raw").count() == 2
+
+
+def test_generations_are_registered_and_superseded(spark, tmp_path):
+    base = str(tmp_path)
+    times = [f"2026-07-01T10:0{k}:00Z" for k in range(4)]
+    late = {"max_delay_seconds": 10**9}
+    first = service_logs.epoch_writer(spark, base, "g1", **late)
+    first(epoch_batch(spark, times[0]), 0)
+    with pytest.raises(control.ContractError):  # a generation is bound to its checkpoint
+        service_logs.epoch_writer(spark, base, "g1", checkpoint="elsewhere", **late)(epoch_batch(spark, times[1]), 1)
+    service_logs.epoch_writer(spark, base, "g2", **late)(epoch_batch(spark, times[1]), 1)  # goes on: same lineage
+    assert service_logs.live_report(spark, base).count() == 2
+    with pytest.raises(control.ContractError):  # superseded
+        first(epoch_batch(spark, times[2]), 1)
+    service_logs.epoch_writer(spark, base, "g3", **late)(epoch_batch(spark, times[3]), 0)  # starts anew
+    assert [str(r["minute_start"])[11:16] for r in service_logs.live_report(spark, base).collect()] == ["10:03"]

@@ -132,3 +132,42 @@ def test_jdbc_round_trip(spark, tmp_path):
     feeds.write_jdbc(spark.range(50).selectExpr("id AS k", "cast(id AS string) AS v"), url, "stage", driver=driver)
     rows = feeds.read_jdbc(spark, url, "stage", '"k"', driver=driver)
     assert rows.rdd.getNumPartitions() == 4 and sorted(r["k"] for r in rows.collect()) == list(range(50))
+
+
+def test_a_crash_before_the_pointer_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    sinks.load(spark.range(3).selectExpr("id"), path, "replace")
+    point = sinks._point
+    monkeypatch.setattr(sinks, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        sinks.load(spark.range(9).selectExpr("id"), path, "append")
+    assert sinks.published(spark, path).count() == 3
+    monkeypatch.setattr(sinks, "_point", point)
+    for n in (5, 7, 9):
+        sinks.load(spark.range(2).selectExpr("id"), path, "append")
+        assert sinks.published(spark, path).count() == n
+    assert len(sinks._pointers(spark, path)) == 2
+
+
+def test_numbers_are_dense_under_adaptive_coalescing(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2000")
+    try:
+        rows = spark.range(4000).selectExpr("concat('k', id * 7919 % 4000) AS k").repartition(7)
+        got = [(r["n"], r["k"]) for r in merge.numbered(rows, ["k"], "n", 0).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == list(enumerate(sorted(f"k{i}" for i in range(4000)), 1))
+
+
+def test_an_emptied_batch_leaves_nothing(spark, tmp_path):
+    path, by = str(tmp_path / "b"), ["year", "batch"]
+    rows = spark.range(6).selectExpr("id", "2020 + id % 3 AS year", "'b1' AS batch")
+    sinks.replace_batch(rows, path, by, {"batch": "b1"})
+    sinks.replace_batch(rows.withColumn("batch", F.lit("b2")), path, by, {"batch": "b2"})
+    sinks.replace_batch(rows.filter("year = 2021"), path, by, {"batch": "b1"})
+    assert spark.read.parquet(path).groupBy("batch").count().orderBy("batch").collect() == [("b1", 2), ("b2", 6)]
+    sinks.replace_batch(rows.limit(0), path, by, {"batch": "b1"})
+    assert spark.read.parquet(path).count() == 6

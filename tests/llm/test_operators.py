@@ -526,24 +526,58 @@ def test_top_k_edges(spark):
     assert mtree.top_k(docs.filter("vec_id = 50")).count() == 0
 
 
+def _wanted(rows, k=5):
+    """Brute force in Python's whole numbers."""
+    own, out = {i: [math.floor(256 * x) for x in v] for i, v in rows}, []
+    for q in (i for i in own if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(own[q], v)), i) for i, v in own.items() if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def _answers(spark, rows):
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    return sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in mtree.top_k(docs).collect())
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    r = np.random.default_rng(18)
+    rows = [(i, r.normal(size=6)) for i in range(160)]
+    rows[7] = (7, np.array([2e6, 1, -3, 0.5, 2, 1]))
+    assert _answers(spark, rows) == _wanted(rows)
+    rows = [(i, r.normal(size=6) * 3e5) for i in range(160)]  # beyond 2^53
+    assert _answers(spark, rows) == _wanted(rows)
+    with pytest.raises(Exception, match="64 bits"):
+        _answers(spark, [(0, [1e300]), (1, [1.0])])
+    with pytest.raises(Exception, match="64 bits"):
+        _answers(spark, [(0, [1e12, 1.0]), (1, [1e12, 2.0])])
+
+
+def test_top_k_over_many_pages(spark, monkeypatch):
+    for name, value in (("CELL", 24), ("FANS", 5), ("LEAF", 4), ("MET", 7)):
+        monkeypatch.setattr(mtree, name, value)
+    r = np.random.default_rng(28)
+    rows = [(i, r.normal(r.integers(0, 3) * 4, 1, size=4)) for i in range(900)]
+    rows += [(900 + i, rows[i % 7][1]) for i in range(150)]  # equal vectors and ties
+    assert _answers(spark, rows) == _wanted(rows)
+
+
 def test_tree_bounds_hold_and_save_work():
     r = np.random.default_rng(2)
     v = np.concatenate([r.normal(c, 3, size=(300, 5)) for c in (0, 60, -60)]).round().astype(np.int64)
-    norm2 = float((v * v).sum(1).max())
+    lift = mtree.Lift(5, float((v * v).sum(1).max()), int(abs(v).max()))
     import pandas as pd
 
     frame = pd.DataFrame({"v": v.tolist(), "ids": [[i] for i in range(900)], "h": range(900)})
-    row = mtree._plant(norm2)((1,), frame).iloc[0].to_dict()
-    cell = mtree.Cell(row, 5)
-    work = 0
-    for q in range(0, 900, 90):
-        x = v[q].astype(float)
-        best: list = []
-        root = math.sqrt(max(0.0, x @ x + norm2 - 2 * float(np.array(row["root"][:5]) @ x)))
-        work += cell.search(x, q, 5, float(x @ x) + norm2, best, root)
-        wanted = sorted(((int(v[q] @ v[i]), -i) for i in range(900) if i != q), reverse=True)[:5]
-        assert sorted(best, reverse=True) == wanted
-    assert work < 9 * 900
+    cell = mtree.Cell(mtree._plant(lift.norm2)((1,), frame).iloc[0].to_dict(), lift)
+    own, work = np.arange(0, 900, 90), 0
+    for block in (own, *own[:, None]):
+        out, computed = cell.search(v[block], block, 5, np.full(len(block), -np.inf))
+        work += computed
+        for q in block.tolist():
+            wanted = sorted(((int(v[q] @ v[i]), -i) for i in range(900) if i != q), reverse=True)[:5]
+            assert sorted(((s, -i) for o, i, s in out if o == q), reverse=True)[:5] == wanted
+    assert work < 2 * 9 * 900
 
 
 # ---------------------------------------------------------------- pipeline

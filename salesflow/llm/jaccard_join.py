@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from salesflow.llm.common import saved, ship, slices, whole_text
 from salesflow.llm.components import components
-from salesflow.llm.shingles import WordHashes, mixed, shingle_set, word_hashes
+from salesflow.llm.shingles import mixed, shingle_sets
 
 #: Shingles that a task combines before it sends them on.
 HELD = 1_500_000
@@ -88,12 +88,10 @@ def _sets(k: int, with_set: bool):
     """doc_id, n, s1, s2 (and the set's bytes) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             for first, last in slices(batch):
                 rows, out = batch.slice(first, last - first), []
-                for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
-                    own = shingle_set(word_hashes(text, known), k)
+                for doc, own in zip(rows.column("doc_id").to_pylist(), shingle_sets(rows.column("text"), k)):
                     out.append((doc, len(own), *_fingerprint(own)) + ((own.tobytes(),) if with_set else ()))
                 names = ["doc_id", "n", "s1", "s2"] + ["hashes"] * with_set
                 types = [pa.int64()] * 4 + [pa.binary()] * with_set
@@ -148,11 +146,9 @@ def _send(rule: Rule, k: int):
 
 
 def _text_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[np.ndarray]:
-    known = WordHashes()
     for batch in batches:
         for first, last in slices(batch):
-            for text in batch.slice(first, last - first).column("text").to_pylist():
-                own = shingle_set(word_hashes(text, known), k)
+            for own in shingle_sets(batch.slice(first, last - first).column("text"), k):
                 if len(own):
                     yield own
 

@@ -33,11 +33,11 @@ from salesflow.llm.encode import encoder
 _PIECE = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
 
 
-def _cut(tokenizer: str, spaces_lead: bool, capacity: int, end_id: int):
+def _cut(tokenizer: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, part, seen = encoder(tokenizer, spaces_lead), TaskContext.get().partitionId(), {}
+        library, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
             for first, last in slices(batch):
                 rows, out = batch.slice(first, last - first), []
@@ -115,11 +115,11 @@ def _place(runs: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, spaces_lead: bool = False, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    pieces = saved(rows.mapInArrow(_cut(tokenizer, spaces_lead, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"))
+    pieces = saved(rows.mapInArrow(_cut(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"))
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))

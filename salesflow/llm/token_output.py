@@ -4,12 +4,13 @@ Format (two Parquet tables under a folder, written and read by Spark alone):
 - `dictionary`: one row with the dictionary's bytes and their SHA-256.
 - `segments`: rows of up to SEGMENT_BYTES of frames: `part` (range of doc_id, ascending), `segment`,
   `first_token` (ids before it in its part), `n_tokens`, `doc_ids`, `counts` (ids of each
-  document), `offsets` (n+1 byte offsets), `payload` (the frames) and `dictionary_sha256`.
-A frame is one document's ids, little-endian, 16 bits each if the vocabulary fits, else 32.
+  document), `offsets` (n+1 byte offsets), `payload` (the frames), `dictionary_sha256`, and
+  `first_doc` and `last_doc`, by which readers skip segments.
+A frame is one document's ids, little-endian, 16 bits each if the vocabulary's ids fit, else 32.
 A document is read by its offset without touching its neighbours (`read_documents`).
 
-The dictionary is trained on serialized ids of `dictionary_docs` documents, those of smallest
-hashed doc_id: a documented, bounded fit that changes sizes only, never what is read back.
+The dictionary is trained on the first SAMPLE_BYTES of the serialized ids of `dictionary_docs` documents, those of
+smallest hashed doc_id: a documented, bounded fit that changes sizes only, never what is read back.
 
 Defined results: null text is empty (its end id alone); a null doc_id comes first; repeated rows are
 written each; extra columns are ignored; without rows there are no segments.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,29 +34,41 @@ from salesflow.llm.encode import encoder
 
 SEGMENT_BYTES = 1 << 20
 SEGMENT_DOCS = 4096
+#: Bytes of a document's ids that the dictionary is trained on.
+SAMPLE_BYTES = 32_768
 
 _SEGMENT = pa.schema(
-    [("part", pa.int64()), ("segment", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary()), ("width", pa.int32()), ("dictionary_sha256", pa.string())]
+    [("part", pa.int64()), ("segment", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary()), ("width", pa.int32()), ("dictionary_sha256", pa.string()), ("first_doc", pa.int64()), ("last_doc", pa.int64())]
 )
-_SEGMENT_DDL = "part long, segment long, first_token long, n_tokens long, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary, width int, dictionary_sha256 string"
+_SEGMENT_DDL = "part long, segment long, first_token long, n_tokens long, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary, width int, dictionary_sha256 string, first_doc long, last_doc long"
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, spaces_lead: bool, dictionary_docs: int, dictionary_bytes: int, width: int, end_id: int) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, dictionary_docs: int, dictionary_bytes: int, width: int, end_id: int) -> bytes:
     """A zstandard dictionary; empty when there is too little to train on."""
     import zstandard
 
     # numbers first, then the few texts: no task sends more than it must
     ids = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(dictionary_docs)
     texts = docs.select(F.xxhash64("doc_id").alias("h"), whole_text().alias("text")).join(F.broadcast(ids.distinct()), "h")
-    picked = texts.orderBy("h", "text").limit(dictionary_docs).collect()
-    library = encoder(tokenizer, spaces_lead)
-    samples = [_narrow(library.encode(r["text"]), end_id, width)[0] for r in picked]
+    # at most dictionary_docs rows of SAMPLE_BYTES reach the driver
+    picked = texts.mapInArrow(_samples(tokenizer, width, end_id), "h long, sample binary").orderBy("h", "sample").limit(dictionary_docs).collect()
+    samples = [bytes(r["sample"]) for r in picked]
     try:
         return zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
 
+def _samples(tokenizer: str, width: int, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = encoder(tokenizer)
+        for batch in batches:
+            own = [_narrow(library.encode(t), end_id, width)[0][:SAMPLE_BYTES] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(own, pa.binary())], ["h", "sample"])
+
+    return run
+
+
 def _narrow(ids: bytes, end_id: int, width: int) -> tuple[bytes, int]:
     """Serialized ids with the end id, and their number."""
     x = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
@@ -67,13 +81,13 @@ def _zdict(data: bytes):
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def _write(tokenizer: str, spaces_lead: bool, dictionary: bytes, width: int, end_id: int, level: int):
+def _write(tokenizer: str, dictionary: bytes, width: int, end_id: int, level: int):
     sha = hashlib.sha256(dictionary).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        library, part = encoder(tokenizer, spaces_lead), TaskContext.get().partitionId()
+        library, part = encoder(tokenizer), TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=level, dict_data=_zdict(dictionary), write_checksum=False, write_content_size=True, write_dict_id=False)
         segment = before = size = 0
         ids: list = []
@@ -82,7 +96,8 @@ def _write(tokenizer: str, spaces_lead: bool, dictionary: bytes, width: int, end
 
         def cut() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).tolist()
-            row = [part, segment, before, sum(counts), ids, counts, offsets, b"".join(frames), width, sha]
+            known = [i for i in ids if i is not None]
+            row = [part, segment, before, sum(counts), ids, counts, offsets, b"".join(frames), width, sha, min(known, default=None), max(known, default=None)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SEGMENT)], schema=_SEGMENT)
 
         for batch in batches:
@@ -103,16 +118,16 @@ def _write(tokenizer: str, spaces_lead: bool, dictionary: bytes, width: int, end
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, spaces_lead: bool = True, end_id: int = 0, vocabulary_size: int = 50_257, dictionary_docs: int = 400, dictionary_bytes: int = 65_536, level: int = 3) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, dictionary_docs: int = 400, dictionary_bytes: int = 65_536, level: int = 3) -> None:
     """Encode every whole text and write the tables of the format under `path`, in doc_id order."""
     spark = docs.sparkSession
     ship(spark)
-    width = 2 if vocabulary_size <= 1 << 16 else 4
-    dictionary = train_dictionary(docs, tokenizer, spaces_lead, dictionary_docs, dictionary_bytes, width, end_id)
+    width = 2 if max(encoder(tokenizer).largest_id, end_id) < 1 << 16 else 4
+    dictionary = train_dictionary(docs, tokenizer, dictionary_docs, dictionary_bytes, width, end_id)
     spark.createDataFrame([(dictionary, hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(_write(tokenizer, spaces_lead, dictionary, width, end_id, level), _SEGMENT_DDL).write.option("compression", "none").parquet(f"{path}/segments")
+    ordered.mapInArrow(_write(tokenizer, dictionary, width, end_id, level), _SEGMENT_DDL).write.option("compression", "none").parquet(f"{path}/segments")
 
 
 def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, bytes, str]:
@@ -162,7 +177,9 @@ def read_tokens(spark: SparkSession, path: str, wanted: list[int] | None = None,
     for r in totals:
         bases[r["part"]], before = before, before + r["n"]
     if wanted is not None:
-        segments = segments.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(w).cast("long") for w in wanted])))
+        # plain comparisons that Parquet's statistics can answer: other segments are not read
+        inside = [(F.col("first_doc") <= w) & (F.col("last_doc") >= w) for w in wanted]
+        segments = segments.filter(reduce(lambda a, b: a | b, inside, F.lit(False)))
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     return segments.mapInArrow(_read(dictionary, sha, bases, None if wanted is None else frozenset(wanted), with_ids), out)
 

@@ -2,7 +2,7 @@
 
 A text's bytes are cut into chunks (one row each); a chunk's hash is a polynomial of its bytes under
 two primes, and hashes combine by length-shifted arithmetic: H(xy) = H(x) * B^|y| + H(y). So the
-chunks of a huge document are hashed in parallel and only hashes meet. Documents with equal
+chunks of a huge document are dealt to many tasks, hashed in parallel, and only hashes meet. Documents with equal
 fingerprint and length are then compared with their group's largest doc_id chunk by chunk; those
 that differ (a collision) are grouped anew until none is left.
 
@@ -87,8 +87,12 @@ def _chunks(docs: DataFrame, *carried: Column | str, chunk: int = CHUNK) -> Data
 def fingerprints(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, sha, n_bytes, f1, f2 of each row of documents; sha: SHA-256 of the text, binary."""
     ship(docs.sparkSession)
-    rows = _chunks(docs, F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.encode(whole_text(), "UTF-8"), 256)).alias("sha"), F.monotonically_increasing_id().alias("row"), chunk=chunk)
-    hashed = rows.mapInArrow(_hash_chunks, "doc_id long, sha binary, row long, c int, n_bytes long, f1 long, f2 long, s1 long, s2 long")
+    rows = docs.withColumns({"_sha": F.unhex(F.sha2(F.encode(whole_text(), "UTF-8"), 256)), "_row": F.monotonically_increasing_id()})
+    carried, form = (F.col("doc_id").cast("long").alias("doc_id"), F.col("_sha").alias("sha"), F.col("_row").alias("row")), "doc_id long, sha binary, row long, c int, n_bytes long, f1 long, f2 long, s1 long, s2 long"
+    long = F.octet_length(whole_text()) > chunk
+    # a short text is hashed where it is read; chunks of long ones are dealt out first, to be hashed side by side
+    dealt = _chunks(rows.filter(long), *carried, chunk=chunk).repartition("row", "c")
+    hashed = _chunks(rows.filter(~long), *carried, chunk=chunk).mapInArrow(_hash_chunks, form).unionByName(dealt.mapInArrow(_hash_chunks, form))
     parts = hashed.groupBy("row", "doc_id", "sha", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("c", "f1", "s1", "f2", "s2"))).alias("parts"))
 
     def combined(k: int) -> Column:

@@ -11,7 +11,7 @@ import pytest
 from parity import assert_parity, connect
 from pyspark.sql import functions as F
 
-from salesflow.llm import encode, exact_dedup, jaccard_join, line_dedup, mixing, mtree, packing, quality, queries, substring_dedup, token_output, toxicity
+from salesflow.llm import encode, exact_dedup, jaccard_join, line_dedup, mixing, mtree, packing, quality, queries, shingles, substring_dedup, token_output, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -114,6 +114,33 @@ def test_every_long_exact_run_holds_a_long_seed():
         assert both[0] & both[1]
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(shingles, "PIECE", 16)
+    r = random.Random(4)
+    pool = ["a", "b", "ab", "ba", "aB", "A", "", " ", "\n", "\t", "\x0b", "é", "\u00a0", "日本", "x" * 40, "\x00", "-"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(9))) for _ in range(3000)]
+    array = pa.array([*texts, "", "tail"]).slice(1, 3000)
+    own, seen = texts[1:] + [""], {}
+    for text, words in zip(own, shingles.each_text(array)):
+        plain = text.encode().lower().split()
+        assert len(plain) == len(words)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(plain, words.tolist()))
+    assert len(set(seen.values())) == len(seen) > 500
+    for large, text in ((True, ["x y", None, "y  x"]), (False, [])):
+        array = pa.array(text, pa.large_string() if large else pa.string()).fill_null("")
+        assert [len(w) for w in shingles.each_text(array)] == [len((t or "").split()) for t in text]
+
+
+def test_winnowing_chooses_the_first_smallest():
+    r = np.random.default_rng(3)
+    for n, wide in ((1, 12), (5, 12), (12, 12), (200, 12), (200, 8), (90, 1)):
+        grams = r.integers(0, 50, n).astype(np.uint64) << np.uint64(40)
+        view = np.lib.stride_tricks.sliding_window_view(grams, min(wide, n))
+        assert shingles.winnowed(grams, wide).tolist() == np.unique(view.argmin(1) + np.arange(len(view))).tolist()
+
+
 def test_chain_is_the_best_ordered_one():
     r = random.Random(5)
     for _ in range(30):
@@ -356,6 +383,14 @@ def test_chunk_hashes_compose():
     assert exact_dedup.chunk_hash(data[:5000])[0] == slow
 
 
+def test_chunks_of_one_long_text_are_hashed_in_several_tasks(spark):
+    text = "abcdefghij" * 5000
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text[:-1] + "x"), (4, "short"), (4, "short")], "doc_id long, text string").coalesce(1)
+    assert "REPARTITION_BY_COL" in exact_dedup.fingerprints(docs, 1000)._jdf.queryExecution().toString()
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup_exact(docs, chunk=1000).collect()}
+    assert got == {(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 4, 2, True)}
+
+
 def test_exact_dedup_in_small_chunks_and_under_collisions(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     wanted = sorted(map(tuple, exact_dedup.dedup_exact(docs).collect()))
@@ -498,13 +533,42 @@ def test_token_output_edges(odd, spark, tmp_path):
     assert token_output.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
 
-@pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_encoding_by_words_equals_the_library(name, lead):
-    e, r = encode.PieceEncoder(queries.vocabulary(name), lead), random.Random(6)
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoding_by_words_equals_the_library(name):
+    from tokenizers import Tokenizer
+
+    e, r, fresh = encode.PieceEncoder(queries.vocabulary(name)), random.Random(6), Tokenizer.from_file(queries.vocabulary(name))
+    assert e.cut and list(np.frombuffer(e.encode("a <|endoftext|> b"), "<u4")) == fresh.encode("a <|endoftext|> b", add_special_tokens=False).ids
     pool = ["the", "Straße", "it's", "we'LL", "don't", "x'd", " ", "  ", "\n", "\t", " \n ", "!!", "...", "12345", "½²", "É", "naïve", "µ", "ª", "日本", "é", " ", "\u0085", "<|endoftext|>", "İ", "Σς", "-", "'", "a_b", "😀", "\x1f", "\x00", "¿", "ﬁ"]
     for _ in range(3000):
         text = "".join(r.choice(pool) for _ in range(r.randrange(12)))
-        assert e.encode(text) == e.whole(text), repr(text)
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_encoding_under_another_form_goes_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(queries.vocabulary("byte_bpe_50k.json"), encoding="utf-8") as file:
+        told = json.load(file)
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (path := tmp_path / "other.json").write_text(json.dumps(told))
+    e = encode.PieceEncoder(str(path))
+    assert e.cut is None and np.frombuffer(e.encode("the cat"), "<u4").tolist() == Tokenizer.from_file(str(path)).encode("the cat", add_special_tokens=False).ids
+
+
+def test_tokens_of_documents_with_added_tokens(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|ENDOFTEXT|>", "plain", "<|startoftext|>x", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encode_, at, wanted = library("byte_bpe_50k.json"), 0, {}
+    for d, t in enumerate(texts):
+        wanted[d] = (at, len(encode_(t)), crc(encode_(t)))
+        at += len(encode_(t))
+    token_output.write_tokens(docs, str(tmp_path / "x"), queries.vocabulary("byte_bpe_50k.json"))
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_output.read_tokens(spark, str(tmp_path / "x")).collect()} == wanted
+    encode_ = library("word_bpe_49k.json")
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(docs, queries.vocabulary("word_bpe_49k.json")).collect()} == {d: (len(encode_(t)), crc(encode_(t))) for d, t in enumerate(texts)}
 
 
 # ---------------------------------------------------------------- 8 exact top-k

@@ -3,8 +3,8 @@
 A source's weight is its token share to a power, normalised; the exponent lies in [0, 1] (1: natural
 shares, 0: equal ones). With `target_entropy` (a part of the entropy of equal shares) it is the
 largest that reaches it; otherwise it is the smallest that keeps every source within `max_repeats`
-passes of its own tokens at the wanted budget. It is found by bisection on a grid: each Spark
-aggregation over the table of sources evaluates a whole grid of exponents, so sources never come to
+passes of its own tokens at the wanted budget. It is bisected until its bracket is as narrow as a float: each Spark
+aggregation over the table of sources evaluates the ends of five halvings at once, so sources never come to
 the driver. Where the weights found would pass a source more than `max_repeats` times, either (`fill`) that source
 is clipped at `max_repeats` passes and the others share the freed budget by their weights, so that a small source
 never lowers another's documents, or the whole budget is lowered until no source passes the limit, so that the
@@ -14,7 +14,8 @@ The weights are realised exactly, with a token budget per source, as block permu
 source's documents lie in blocks by keyed hash; each epoch permutes the blocks; whole epochs give
 whole copies, and the last, partial epoch takes documents along the permuted order while the
 source's remaining budget is not used up (the document that crosses the budget is taken).
-Running sums go over blocks first and then inside a block, so that no task sees a whole source.
+Blocks lie in super-blocks: running sums go over a source's super-blocks, over the blocks of one, then inside a
+block, so that no task sees a whole source.
 
 Defined results: a null source is a source of its own; null or empty text counts no tokens and is
 kept once; repeated rows count each; extra columns are kept, those named as added ones are replaced; no rows
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 
 from salesflow.llm.common import as_row, saved, whole_text
 
-#: Documents of a block, on average.
-BLOCK_DOCS = 2048
+#: Documents of a block, and blocks of a super-block, on average.
+BLOCK_DOCS, SUPER_BLOCKS = 2048, 1024
 #: Columns that `mix` adds; columns of these names are replaced.
 ADDED = ["n_tokens", "weight", "copies", "draw"]
-#: Exponents that one aggregation evaluates, and how often the bracket is narrowed.
-GRID, NARROWINGS = 32, 4
+#: Parts of the bracket that one aggregation tells apart: five halvings. It is narrowed to the spacing of floats below 1.
+GRID, NARROWEST = 32, 2.0**-53
 
 
 def n_tokens(column: str = "text") -> Column:
@@ -68,11 +69,11 @@ def find_exponent(totals: DataFrame, *, target_entropy: float | None, max_repeat
         goal = target_entropy * math.log(sources)
         wanted = lambda r: r["entropy"] >= goal - 1e-12  # noqa: E731  as the exponent falls, entropy grows
     low, high = 0.0, 1.0
-    for _ in range(NARROWINGS):
+    while high - low > NARROWEST:
         step = (high - low) / GRID
-        rows = _evaluate(totals, [low + step * k for k in range(GRID + 1)], budget, whole)
+        rows = _evaluate(totals, sorted({*(low + step * k for k in range(GRID)), high}), budget, whole)
         last = max((k for k, r in enumerate(rows) if wanted(r)), default=None)
-        if last is None or last == GRID:  # only at the ends of [0, 1]
+        if last is None or last == len(rows) - 1:  # only at the ends of [0, 1]
             low = high = rows[last or 0]["a"]
             break
         low, high = rows[last]["a"], rows[last + 1]["a"]
@@ -130,19 +131,23 @@ def draw(sized: DataFrame, *, target_entropy: float | None, max_repeats: float,
     plan = totals.select(F.col("source").alias("_s"), (u / F.lit(z)).alias("weight"), F.floor(quota / F.col("tokens")).cast("int").alias("epochs"), (quota % F.col("tokens")).alias("left"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int").alias("blocks"))
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("_key", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int"))
-    # the permutation of the last epoch: blocks by keyed hash, then documents of a block by theirs
-    turn = F.xxhash64("source", "block", F.lit(seed), F.lit(2))
-    before_block = F.sum("block_tokens").over(Window.partitionBy("source").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("turn", "block")) - 1
-    blocks = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens")).withColumn("turn", turn)
-    blocks = blocks.select(F.col("source").alias("_bs"), F.col("block").alias("_b"), F.coalesce(before_block, F.lit(0)).alias("block_before"), place.alias("block_place"))
+    # the permutation of the last epoch: super-blocks by keyed hash, then their blocks, then documents of a block
+    supers = F.ceil(F.coalesce(F.max("blocks"), F.lit(1)) / SUPER_BLOCKS)
+    blocks = saved(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"), supers.alias("supers")).withColumns({"super": F.pmod(F.xxhash64("block", F.lit(seed), F.lit(3)), "supers"), "turn": F.xxhash64("source", "block", F.lit(seed), F.lit(2))}))
+    whole_ones = blocks.groupBy("source", "super").agg(F.sum("block_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    in_source = Window.partitionBy("source").orderBy(F.xxhash64("source", "super", F.lit(seed), F.lit(4)), "super").rowsBetween(Window.unboundedPreceding, -1)
+    bases = whole_ones.select(F.col("source").alias("_ss"), F.col("super").alias("_sb"), F.coalesce(F.sum("t").over(in_source), F.lit(0)).alias("t"), F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("n"))
+    in_super = Window.partitionBy("source", "super").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns({"before": F.coalesce(F.sum("block_tokens").over(in_super), F.lit(0)), "place": F.count(F.lit(1)).over(in_super)})
+    blocks = blocks.join(bases, F.col("source").eqNullSafe(F.col("_ss")) & (F.col("super") == F.col("_sb")))
+    blocks = blocks.select(F.col("source").alias("_bs"), F.col("block").alias("_b"), (F.col("t") + F.col("before")).alias("block_before"), (F.col("n") + F.col("place")).alias("block_place"))
     inside = Window.partitionBy("source", "block").orderBy("_key", "doc_id")
     before = F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = rows.withColumns({"_before": before, "_place": F.row_number().over(inside)})
-    met = inner.join(blocks, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("block") == F.col("_b")))
+    met = inner.drop("blocks").join(blocks, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("block") == F.col("_b")))
     partial = (F.col("block_before") + F.col("_before") < F.col("left")).cast("int")
     copies = F.when(F.col("n_tokens") == 0, F.lit(1)).otherwise(F.coalesce(F.col("epochs") + partial, F.lit(0)))
-    return met.select("doc_id", "source", "n_tokens", "_key", F.coalesce("weight", F.lit(0.0)).alias("weight"), copies.cast("int").alias("copies"), (F.col("block_place").cast("long") * (1 << 32) + F.col("_place")).alias("draw"))
+    return met.select("doc_id", "source", "n_tokens", "_key", F.coalesce("weight", F.lit(0.0)).alias("weight"), copies.cast("int").alias("copies"), (F.col("block_place") * (1 << 32) + F.col("_place")).alias("draw"))
 
 
 def mixed_documents(docs: DataFrame, **limits) -> DataFrame:

@@ -353,6 +353,33 @@ def test_a_tiny_or_null_source_lowers_no_other(spark, share, repeats):
     assert others[1] >= others[0] - 100
 
 
+def test_blocks_in_super_blocks_draw_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(mixing, "SUPER_BLOCKS", 4)
+    rows = [(i, " ".join("w" * (1 + i % 5)), ("hot" if i % 3 else f"s{i % 4}")) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, target_entropy=0.9, max_repeats=1.0, budget_share=0.5, fill=True).collect()
+    for source in {r["source"] for r in got}:
+        own = sorted((r for r in got if r["source"] == source), key=lambda r: r["draw"])
+        assert len({r["draw"] for r in own}) == len(own)
+        taken = [r["copies"] for r in own]
+        assert taken == sorted(taken, reverse=True)  # a prefix of the permuted order
+    drawn = sum(r["copies"] * r["n_tokens"] for r in got)
+    assert abs(drawn - 0.5 * sum(r["n_tokens"] for r in got)) <= 5 * 5
+
+
+def test_exponent_is_bisected_to_the_float(spark):
+    totals = spark.createDataFrame([("a", 5, 900_000), ("b", 5, 90_000), ("c", 5, 10_000)], "source string, docs long, tokens long")
+    found, _ = mixing.find_exponent(totals, target_entropy=0.8, max_repeats=100.0, budget=1e6)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        u = [x**a for x in (0.9, 0.09, 0.01)]
+        h = -sum(x / sum(u) * math.log(x / sum(u)) for x in u)
+        low, high = (a, high) if h >= 0.8 * math.log(3) else (low, a)
+    assert abs(found - low) < 1e-10
+
+
 def test_mixing_edges(odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r["copies"] == 1 for r in rows if r["n_tokens"] == 0)

@@ -42,7 +42,9 @@ def scratch(spark: SparkSession) -> str:
     """A new folder name in the shared folder that the cluster names in spark.checkpoint.dir; the application's
     folder is deleted when its driver ends."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = tempfile.mkdtemp(prefix="salesflow-scratch-")  # single machine: tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="salesflow-scratch-")  # one machine: tests
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base, True)
     own = f"{base.rstrip('/')}/salesflow/{spark.sparkContext.applicationId}"

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from salesflow.llm.common import saved, ship
 
 #: Objects of a last group, routing objects of an upper page.
-CELL, FANS = 4096, 1024
+CELL, FANS = 4096, 512
 #: Objects of a leaf page and routing objects of an inner page of a group's tree; queries of a block.
 LEAF, FANOUT, BLOCK = 128, 16, 256
 #: Rows that one copy of a page meets in one task.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds of the stream's contract.
@@ -113,6 +113,32 @@ def pipeline_metrics(runs: DataFrame) -> DataFrame:
     return runs.groupBy("pipeline", "status").agg(F.count(F.lit(1)).alias("runs"), F.sum("rows").alias("rows"))
 
 
+#: States of a run that has not ended.
+OPEN_STATES = ("running", "ingesting", "transforming", "publishing")
+
+
+def run_metrics(runs: DataFrame, checks: DataFrame, now: Column) -> DataFrame:
+    """One row for each pipeline: running, last_success_at (seconds), and of its last ended run last_run_success,
+    duration_seconds, rows and failed_checks. runs: pipeline, run_id, status, started_at, finished_at, rows; checks: run_id,
+    passed. Missing figures are 0."""
+    open_ = F.col("status").isin(*OPEN_STATES)
+    ended = F.when(~open_, F.struct("started_at", "run_id", "status", "finished_at", "rows"))
+    seconds = F.unix_seconds
+    totals = runs.groupBy("pipeline").agg(F.count_if(open_).alias("running"), F.max(F.when(F.col("status") == "success", seconds("finished_at"))).alias("last_success_at"), F.max(ended).alias("last"))
+    failed = checks.groupBy("run_id").agg(F.count_if(~F.col("passed")).alias("failed_checks")).withColumnRenamed("run_id", "_run")
+    met = totals.join(failed, F.col("last.run_id") == F.col("_run"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    duration = F.greatest(F.lit(0), seconds(F.coalesce("last.finished_at", now)) - seconds("last.started_at"))
+    return met.select("pipeline", "running", zero(F.col("last_success_at")).alias("last_success_at"), zero((F.col("last.status") == "success").cast("int")).alias("last_run_success"), zero(duration).alias("duration_seconds"), zero(F.col("last.rows")).alias("rows"), zero(F.col("failed_checks")).alias("failed_checks"))
+
+
+def quality_failed(runs: DataFrame, checks: DataFrame) -> DataFrame:
+    """Runs with the state quality_failed where one of their checks failed, unless they have succeeded."""
+    bad = checks.filter(~F.col("passed")).select(F.col("run_id").alias("_run")).distinct()
+    met = runs.join(bad, F.col("run_id") == F.col("_run"), "left")
+    return met.withColumn("status", F.when(F.col("_run").isNotNull() & (F.col("status") != "success"), "quality_failed").otherwise(F.col("status"))).drop("_run")
+
+
 def stream_health(batches: DataFrame, now: str) -> DataFrame:
     """query, verdict of the last batch: stuck, failed, stopped, lagging or healthy."""
     last = latest_of(batches, "query")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesflow.operators.merge import upsert
@@ -75,6 +75,15 @@ def log_gate(minutes: DataFrame, statuses: DataFrame, audit: DataFrame, start: s
     ])
 
 
+#: Checks that a log report passes before it is published.
+LOG_CHECKS = 8
+
+
+def artifact_gate(spark: SparkSession, markers: int, wanted: int = 2) -> DataFrame:
+    """LOG_DQ08: every staged part of a report has its completion marker."""
+    return spark.range(1).select(F.lit("LOG_DQ08_staged_markers").alias("check_name"), F.lit(float(markers - wanted)).alias("actual"), F.lit(markers == wanted).alias("passed"))
+
+
 def v1_gate(curated: DataFrame, raw: DataFrame, accepted: int) -> DataFrame:
     """The five checks of the first promotion pipeline."""
     grain = F.struct("order_id", "item_number", "promotion_id", "promotion_version")

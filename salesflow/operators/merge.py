@@ -108,9 +108,9 @@ def empty_history(source: DataFrame, natural: list[str], attributes: list[str],
     )
 
 
-def point_in_time(facts: DataFrame, history: DataFrame, natural: str, at: str, key: str) -> DataFrame:
-    """Facts with the key of the version valid at their time, 0 on a miss."""
-    spans = history.select(F.col(natural).alias("_natural"), F.col(key).alias("_key"), "effective_from", "effective_to")
+def point_in_time(facts: DataFrame, history: DataFrame, natural: str, at: str, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Facts with the key of the version valid at their time, 0 on a miss, and the version's columns to carry."""
+    spans = history.select(F.col(natural).alias("_natural"), F.col(key).alias("_key"), "effective_from", "effective_to", *carry)
     valid = (F.col(natural) == F.col("_natural")) & (F.col(at) >= F.col("effective_from")) & (F.col(at) < F.col("effective_to"))
     return facts.join(spans, valid, "left").withColumn(key, F.coalesce("_key", F.lit(0).cast("long"))).drop("_natural", "_key", "effective_from", "effective_to")
 

@@ -58,6 +58,14 @@ def apply_promotions(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     )
 
 
+def curated_extract(fact: DataFrame, products: DataFrame, dates: DataFrame) -> DataFrame:
+    """The sales that promotions apply to: items of known products (the UNKNOWN member has key 0, so its items are
+    dropped at the scan of the fact) with their product_id and purchase date, NULL if that day is not in the calendar."""
+    known = fact.filter("product_key <> 0").join(products.filter("product_key <> 0").select("product_key", "product_id"), "product_key")
+    days = dates.select(F.col("date_key").alias("purchase_date_key"), F.col("full_date").alias("purchase_date"))
+    return known.join(days, "purchase_date_key", "left").select("order_id", "item_number", "product_id", "purchase_date", F.col("price").alias("item_price"), "freight_value")
+
+
 def product_report(products: DataFrame, promotions: DataFrame) -> DataFrame:
     """Products with the latest version of their promotions, no date rule."""
     return products.join(latest_version(promotions).select("product_id", "promotion_id", "discount_type", "discount_value"), "product_id", "left").withColumn("promotion_id", F.coalesce("promotion_id", F.lit("NO_PROMOTION")))

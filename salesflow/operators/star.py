@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesflow.functions.scalar import date_key, days_between, hours_between, payment_group, status_group
+from salesflow.operators.merge import point_in_time, upsert
 
-#: Dimensions under this many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small(dimension: DataFrame) -> DataFrame:
-    """The dimension, marked for broadcast if a count shows it small."""
-    return F.broadcast(dimension) if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dimension
-
-
-def star_join(items: DataFrame, orders: DataFrame, customers: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Items with their order, customer, product and seller by left joins; `_found` flags show orphans.
-    Spark picks broadcast or shuffle for each dimension by its size."""
-    o = orders.withColumn("order_found", F.lit(True))
-    c = customers.withColumn("customer_found", F.lit(True))
-    p = products.withColumn("product_found", F.lit(True))
-    s = sellers.withColumn("seller_found", F.lit(True))
-    return items.join(o, "order_id", "left").join(c, "customer_id", "left").join(p, "product_id", "left").join(s, "seller_id", "left")
+def star_join(items: DataFrame, orders: DataFrame | None = None, customers: DataFrame | None = None, products: DataFrame | None = None, sellers: DataFrame | None = None) -> DataFrame:
+    """Items with those of their order, customer (by the order), product and seller that are given, by left joins;
+    `_found` flags show orphans. Spark picks broadcast or shuffle for each dimension by its size; a left join that no column
+    is read of is not dropped by it, so give only the dimensions that are used."""
+    joined = items
+    for rows, key, flag in ((orders, "order_id", "order_found"), (customers, "customer_id", "customer_found"), (products, "product_id", "product_found"), (sellers, "seller_id", "seller_found")):
+        if rows is not None:
+            joined = joined.join(rows.withColumn(flag, F.lit(True)), key, "left")
+    return joined
 
 
 def join_coverage(joined: DataFrame) -> DataFrame:
@@ -33,12 +28,11 @@ def join_coverage(joined: DataFrame) -> DataFrame:
 
 
 def curated(joined: DataFrame) -> DataFrame:
-    """The wide fact: defaults for orphans, gross amount, purchase date parts."""
-    text = lambda c: F.coalesce(F.col(c), F.lit("UNKNOWN")).alias(c)
-    return joined.select(
-        "order_id", "item_number", "product_id", "seller_id", "customer_id", text("order_status"), text("customer_state"), text("product_category"), text("seller_state"), "purchased_at",
-        "price", "freight_value", (F.col("price") + F.col("freight_value")).cast("decimal(18,2)").alias("gross_amount"), F.year("purchased_at").alias("purchase_year"), F.month("purchased_at").alias("purchase_month"),
-    )
+    """The wide fact of the joined dimensions: defaults for orphans, gross amount, purchase date parts."""
+    held = [c for c in ("order_id", "item_number", "product_id", "seller_id", "customer_id", "purchased_at", "price", "freight_value") if c in joined.columns]
+    texts = [F.coalesce(F.col(c), F.lit("UNKNOWN")).alias(c) for c in ("order_status", "customer_state", "product_category", "seller_state") if c in joined.columns]
+    parts = [F.year("purchased_at").alias("purchase_year"), F.month("purchased_at").alias("purchase_month")] if "purchased_at" in held else []
+    return joined.select(*held, *texts, (F.col("price") + F.col("freight_value")).cast("decimal(18,2)").alias("gross_amount"), *parts)
 
 
 def calendar(roles: DataFrame, column: str = "day") -> DataFrame:
@@ -119,3 +113,30 @@ def orphans(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     return child.join(parent.select(*keys), keys, "left_anti")
 
 
+def orphan_counts(relations: dict[str, tuple[DataFrame, DataFrame, str, str]]) -> DataFrame:
+    """relation, orphans for each named foreign key (child, parent, child's column, parent's column); a NULL key is an orphan."""
+    counts = [orphans(child.select(F.col(own).alias("k")), parent.select(F.col(other).alias("k")), ["k"]).agg(F.lit(name).alias("relation"), F.count(F.lit(1)).alias("orphans")) for name, (child, parent, own, other) in relations.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def fact_sales(items: DataFrame, orders: DataFrame, *, customers: DataFrame, products: DataFrame, sellers: DataFrame, locations: DataFrame, statuses: DataFrame) -> DataFrame:
+    """One row for each item with its seven keys, 0 where a dimension has no member: purchase and shipping dates, customer,
+    location (customer_id, location_key), product and seller versions valid at the purchase, order status.
+
+    Dimensions hold a natural key and their key; those with effective_from and effective_to are looked up at the purchase.
+    """
+    rows = items.join(orders.select("order_id", "customer_id", "order_status", "purchased_at"), "order_id")
+    for dimension, natural, key in ((customers, "customer_id", "customer_key"), (products, "product_id", "product_key"), (sellers, "seller_id", "seller_key"), (locations, "customer_id", "location_key"), (statuses, "order_status", "status_key")):
+        if "effective_from" in dimension.columns:
+            rows = point_in_time(rows, dimension, natural, "purchased_at", key)
+        else:
+            rows = rows.join(dimension.select(natural, key), natural, "left").withColumn(key, F.coalesce(key, F.lit(0).cast("long")))
+    day = lambda c: F.coalesce(date_key(F.to_date(c)), F.lit(0)).cast("int")
+    return rows.select("order_id", "item_number", day("purchased_at").alias("purchase_date_key"), day("shipping_limit_at").alias("shipping_limit_date_key"), "customer_key", "location_key", "product_key", "seller_key", "status_key", "price", "freight_value")
+
+
+def load_fact_sales(old: DataFrame | None, fact: DataFrame) -> DataFrame:
+    """The fact table after a load: an item loaded again replaces its row."""
+    return fact if old is None else upsert(old, fact, ["order_id", "item_number"])
+
+

@@ -18,10 +18,11 @@ dbl = lambda c: F.col(c).cast("double").alias(c)
 big = lambda c: F.col(c).cast("long").alias(c)
 
 
-def _curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _curated(spark: SparkSession, sf_dir: str, *dimensions: str) -> DataFrame:
+    """The curated fact with the named dimensions only, or with all."""
     d = domain
-    joined = star.star_join(d.items(spark, sf_dir), d.orders(spark, sf_dir).select("order_id", "customer_id", "order_status", "purchased_at"), d.customers(spark, sf_dir), d.products(spark, sf_dir), d.sellers(spark, sf_dir))
-    return star.curated(joined)
+    rows = {"orders": lambda: d.orders(spark, sf_dir).select("order_id", "customer_id", "order_status", "purchased_at"), "customers": lambda: d.customers(spark, sf_dir), "products": lambda: d.products(spark, sf_dir), "sellers": lambda: d.sellers(spark, sf_dir)}
+    return star.curated(star.star_join(d.items(spark, sf_dir), **{n: rows[n]() for n in dimensions or rows}))
 
 
 @query(f"""WITH {_FACT}, {CUSTOMERS} SELECT customer_state AS nation, count(*) AS lines, CAST(sum(price) AS DOUBLE) AS revenue
@@ -60,7 +61,7 @@ def j4_supplier_full_recon(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM fact f LEFT JOIN orders o ON f.order_id = o.o_orderkey LEFT JOIN customers c ON o.o_custkey = c.customer_id LEFT JOIN products USING (product_id) LEFT JOIN sellers USING (seller_id) GROUP BY ALL""")
 def j5_curated_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curated star join, summed by state and month."""
-    return _curated(spark, sf_dir).groupBy("customer_state", F.col("purchase_year").cast("long").alias("purchase_year"), F.col("purchase_month").cast("long").alias("purchase_month")).agg(F.count(F.lit(1)).alias("lines"), F.sum("gross_amount").cast("double").alias("gross"))
+    return _curated(spark, sf_dir, "orders", "customers").groupBy("customer_state", F.col("purchase_year").cast("long").alias("purchase_year"), F.col("purchase_month").cast("long").alias("purchase_month")).agg(F.count(F.lit(1)).alias("lines"), F.sum("gross_amount").cast("double").alias("gross"))
 
 
 @query("""SELECT CAST(r AS BIGINT) AS replica_id, count(*) AS rows, count(DISTINCT r || ':' || l_orderkey || ':' || l_linenumber) AS ids FROM lineitem, (SELECT unnest(range(0, 3)) AS r) GROUP BY 1""")
@@ -97,14 +98,14 @@ def a1_sales_metrics_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FACT}, {PRODUCTS} SELECT product_category, count(*) AS lines, CAST(sum(price + freight_value) AS DOUBLE) AS gross FROM fact JOIN products USING (product_id) GROUP BY 1")
 def a3_category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category summary through SQL; the DataFrame and RDD forms are compared with it in tests."""
-    return sales.category_summary_sql(_curated(spark, sf_dir)).select("product_category", "lines", dbl("gross"))
+    return sales.category_summary_sql(_curated(spark, sf_dir, "products")).select("product_category", "lines", dbl("gross"))
 
 
 @query(f"""WITH {_FACT} SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS lines, count(DISTINCT (product_id, seller_id)) AS items, CAST(sum(price) AS DOUBLE) AS item_value, CAST(sum(freight_value) AS DOUBLE) AS freight, CAST(sum(price + freight_value) AS DOUBLE) AS gross
 FROM fact JOIN orders ON order_id = o_orderkey GROUP BY 1""")
 def a4_monthly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, distinct items and values by month."""
-    rows = _curated(spark, sf_dir)
+    rows = _curated(spark, sf_dir, "orders")
     return rows.groupBy(F.date_format("purchased_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("lines"), F.countDistinct(F.struct("product_id", "seller_id")).alias("items"), F.sum("price").cast("double").alias("item_value"), F.sum("freight_value").cast("double").alias("freight"), F.sum("gross_amount").cast("double").alias("gross"))
 
 
@@ -120,7 +121,7 @@ WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) GROUP BY 1
 def a6_filter_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last year by state and category."""
     last = table(spark, sf_dir, "orders").agg(F.max(F.year("o_orderdate"))).first()[0]
-    rows = _curated(spark, sf_dir).filter((F.col("purchased_at") >= F.lit(f"{last}-01-01").cast("timestamp")) & (F.col("purchased_at") < F.lit(f"{last + 1}-01-01").cast("timestamp")))
+    rows = _curated(spark, sf_dir, "orders", "customers", "products").filter((F.col("purchased_at") >= F.lit(f"{last}-01-01").cast("timestamp")) & (F.col("purchased_at") < F.lit(f"{last + 1}-01-01").cast("timestamp")))
     return rows.groupBy("customer_state", "product_category").agg(F.count(F.lit(1)).alias("lines"), F.sum("gross_amount").cast("double").alias("gross"))
 
 

@@ -203,8 +203,17 @@ def t5_stream_append_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "service", big("status_code"), "requests")
 
 
-@query("""SELECT 'LOG_DQ01_minute_audit' AS check_name, 0::DOUBLE AS actual, true AS passed UNION ALL SELECT 'LOG_DQ02_status_audit', 0, true UNION ALL SELECT 'LOG_DQ03_request_reconciliation', -1, false UNION ALL SELECT 'LOG_DQ04_status_reconciliation', -1, false UNION ALL SELECT 'LOG_DQ05_unique_grain', 0, true
-UNION ALL SELECT 'LOG_DQ06_valid_domain', (SELECT count(*) FROM (SELECT DISTINCT date_trunc('minute', ts), user_id % 3 FROM events WHERE ts < TIMESTAMP '2024-01-02')), (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-02') = 0 UNION ALL SELECT 'LOG_DQ07_status_percentage', 0, true""")
+@query(f"""WITH {LOGS}, minutes AS (SELECT date_trunc('minute', event_time) AS m, service, count(*) AS n FROM logs GROUP BY 1, 2), statuses AS (SELECT date_trunc('minute', event_time) AS m, service, status_code, count(*) AS n FROM logs GROUP BY 1, 2, 3),
+audit AS (SELECT (SELECT count(*) FROM logs) + 1 AS source_count, (SELECT count(*) FROM minutes) AS minute_count, (SELECT count(*) FROM statuses) AS status_count),
+shares AS (SELECT m, service, sum(round(100.0 * s.n / g.n, 3)) AS p FROM statuses s JOIN minutes g USING (m, service) GROUP BY 1, 2),
+v AS (SELECT 'LOG_DQ01_minute_audit' AS check_name, (SELECT count(*) FROM minutes) - minute_count AS actual FROM audit
+UNION ALL SELECT 'LOG_DQ02_status_audit', (SELECT count(*) FROM statuses) - status_count FROM audit
+UNION ALL SELECT 'LOG_DQ03_request_reconciliation', (SELECT sum(n) FROM minutes) - source_count FROM audit
+UNION ALL SELECT 'LOG_DQ04_status_reconciliation', (SELECT sum(n) FROM statuses) - source_count FROM audit
+UNION ALL SELECT 'LOG_DQ05_unique_grain', (SELECT count(*) - count(DISTINCT (m, service)) FROM minutes) + (SELECT count(*) - count(DISTINCT (m, service, status_code)) FROM statuses)
+UNION ALL SELECT 'LOG_DQ06_valid_domain', (SELECT count(*) FROM minutes WHERE m < TIMESTAMP '2024-01-02' OR m >= TIMESTAMP '2030-01-01') + (SELECT count(*) FROM statuses WHERE status_code NOT BETWEEN 100 AND 599)
+UNION ALL SELECT 'LOG_DQ07_status_percentage', (SELECT count(*) FROM shares WHERE abs(p - 100) > 0.01))
+SELECT check_name, actual::DOUBLE AS actual, actual = 0 AS passed FROM v""")
 def q11_log_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log gate: the audit counts one event too many, and the window starts a day late."""
     events = domain.logs(spark, sf_dir)
@@ -213,7 +222,7 @@ def q11_log_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.log_gate(minutes, statuses, audit, "2024-01-02", "2030-01-01")
 
 
-@query(f"WITH {LOGS} SELECT count(*) AS minutes, CAST(0 AS BIGINT) AS differing FROM (SELECT DISTINCT date_trunc('minute', event_time), service FROM logs)")
+@query(f"WITH {LOGS} SELECT count(*) AS minutes, (SELECT count(*) FROM (SELECT m, service, sum(n) AS t FROM (SELECT date_trunc('minute', event_time) AS m, service, status_code, count(*) AS n FROM logs GROUP BY 1, 2, 3) GROUP BY 1, 2) x JOIN (SELECT date_trunc('minute', event_time) AS m, service, count(*) AS t FROM logs GROUP BY 1, 2) y USING (m, service) WHERE x.t <> y.t) AS differing FROM (SELECT DISTINCT date_trunc('minute', event_time), service FROM logs)")
 def a27_report_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of two reports agree."""
     events = domain.logs(spark, sf_dir)
@@ -230,6 +239,54 @@ def k17_window_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_window(old, staged, "o_orderdate", "1997-01-01", "1998-01-01").select("order_id", "state")
 
 
+@query(f"""WITH {LOGS}, kept AS (SELECT date_trunc('minute', event_time) AS m, service, count(*) AS n FROM logs GROUP BY 1, 2), bounds AS (SELECT date_trunc('day', min(event_time)) AS a, date_trunc('day', min(event_time)) + INTERVAL 10 DAY AS b, date_trunc('day', max(event_time)) + INTERVAL 1 DAY AS c FROM logs)
+SELECT strftime(m, '%Y-%m-%d %H:%M') AS minute_start, service, n AS request_count, 'published already published' AS outcomes, strftime(c, '%Y-%m-%d %H:%M') AS watermark FROM kept, bounds""")
+def k17_window_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both log reports published window by window, the first window twice: its second run changes nothing."""
+    from salesflow.sources.sinks import WindowReport
+
+    logs, report = domain.logs(spark, sf_dir), WindowReport(spark, shared_place(spark, "windows"), "minute_start")
+    first, last = _span(logs)
+    middle = spark.range(1).select(F.date_format(F.lit(first).cast("timestamp") + F.expr("INTERVAL 10 DAY"), "yyyy-MM-dd HH:mm:ss").alias("t")).first()["t"]
+    outcomes = []
+    for run, start, end in (("a", first, middle), ("a", first, middle), ("b", middle, last)):
+        own = logs.filter((F.col("event_time") >= F.lit(start).cast("timestamp")) & (F.col("event_time") < F.lit(end).cast("timestamp")))
+        staged = {"minutes": log_ops.minute_report(own), "statuses": log_ops.status_report(own)}
+        audited = {part: rows.count() for part, rows in staged.items()}
+        audit = own.agg(F.count(F.lit(1)).alias("source_count")).select("source_count", F.lit(audited["minutes"]).alias("minute_count"), F.lit(audited["statuses"]).alias("status_count"))
+        checks = gates.log_gate(staged["minutes"], staged["statuses"], audit, start, end).unionByName(gates.artifact_gate(spark, 2))
+        outcomes.append(report.publish(run, start, end, staged, audited, checks))
+    mark = F.lit(report.watermark()).cast("timestamp")
+    return report.read("minutes").select(text("minute_start"), "service", "request_count", F.lit(" ".join(outcomes)).alias("outcomes"), F.date_format(mark, "yyyy-MM-dd HH:mm").alias("watermark"))
+
+
+def _span(logs: DataFrame) -> tuple[str, str]:
+    """The first day of some logs, and the day after the last one."""
+    day = logs.agg(F.date_trunc("day", F.min("event_time")).alias("a"), (F.date_trunc("day", F.max("event_time")) + F.expr("INTERVAL 1 DAY")).alias("b"))
+    return tuple(day.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("a", "b"))).first())
+
+
+@query("""WITH runs AS (SELECT event_type AS pipeline, event_id AS run_id, CASE WHEN event_id % 5 = 0 THEN 'running' WHEN event_id % 3 = 0 THEN 'failed' ELSE 'success' END AS status, ts AS started_at, CASE WHEN event_id % 5 <> 0 THEN ts + to_seconds(CAST(event_id % 600 AS INT)) END AS finished_at, CAST(event_id AS BIGINT) AS rows FROM events),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY started_at DESC, run_id DESC) AS r FROM runs WHERE status <> 'running') WHERE r = 1)
+SELECT t.pipeline, running, last_success_at, CASE WHEN l.status = 'success' THEN 1 ELSE 0 END::BIGINT AS last_run_success, CAST(floor(epoch(l.finished_at)) - floor(epoch(l.started_at)) AS BIGINT) AS duration_seconds, l.rows, CASE WHEN l.run_id % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS failed_checks
+FROM (SELECT pipeline, count(*) FILTER (WHERE status = 'running') AS running, CAST(max(floor(epoch(finished_at))) FILTER (WHERE status = 'success') AS BIGINT) AS last_success_at FROM runs GROUP BY 1) t JOIN last l USING (pipeline)""")
+def c6_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of each pipeline: running, last success, and duration, rows and failed checks of its last ended run."""
+    k, events = F.col("event_id"), table(spark, sf_dir, "events")
+    finished = F.when(k % 5 != 0, F.col("ts") + F.make_interval(secs=(k % 600).cast("decimal(18,6)")))
+    runs = events.select(F.col("event_type").alias("pipeline"), k.alias("run_id"), F.when(k % 5 == 0, "running").when(k % 3 == 0, "failed").otherwise("success").alias("status"), F.col("ts").alias("started_at"), finished.alias("finished_at"), k.alias("rows"))
+    checks = events.select(k.alias("run_id"), F.explode(F.array((k % 4 != 0), F.lit(True))).alias("passed"))
+    return control.run_metrics(runs, checks, F.current_timestamp())
+
+
+@query("SELECT CASE WHEN event_id % 3 <> 0 AND event_id % 4 = 0 THEN 'quality_failed' WHEN event_id % 3 = 0 THEN 'success' ELSE 'running' END AS status, count(*) AS runs FROM events GROUP BY 1")
+def q12_quality_failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose checks failed leave the running state; a success stays."""
+    k, events = F.col("event_id"), table(spark, sf_dir, "events")
+    runs = events.select(k.alias("run_id"), F.when(k % 3 == 0, "success").otherwise("running").alias("status"))
+    return control.quality_failed(runs, events.select(k.alias("run_id"), (k % 4 != 0).alias("passed"))).groupBy("status").agg(F.count(F.lit(1)).alias("runs"))
+
+
 _HOURS = "SELECT event_type AS pipeline, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end FROM events GROUP BY ALL"
 
 

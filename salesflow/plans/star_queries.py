@@ -42,9 +42,7 @@ def j8_scd2_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts by the version valid at their time."""
     history = _history(spark, sf_dir)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("purchased_at"))
-    facts = merge.point_in_time(domain.items(spark, sf_dir).join(o, "order_id"), history, "product_id", "purchased_at", "product_key")
-    versions = history.select("product_key", "version_number")
-    rows = facts.join(versions, "product_key", "left")
+    rows = merge.point_in_time(domain.items(spark, sf_dir).join(o, "order_id"), history, "product_id", "purchased_at", "product_key", ("version_number",))
     return rows.groupBy(F.coalesce("version_number", F.lit(0)).cast("long").alias("version_number")).agg(F.count(F.lit(1)).alias("lines"), F.sum("price").cast("double").alias("revenue"))
 
 
@@ -120,6 +118,61 @@ def d11_fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.groupBy(key.alias("date_key")).agg(F.count(F.lit(1)).alias("lines"), F.sum("price").cast("double").alias("price"))
 
 
+_DENSE = "c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS customer_key, c_nationkey + 1 AS location_key FROM customer), s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS seller_key FROM supplier WHERE s_suppkey % 9 <> 0), t AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS status_key FROM (SELECT DISTINCT o_orderstatus FROM orders))"
+_DAY_KEY = lambda c: f"CAST(strftime({c}, '%Y%m%d') AS BIGINT)"
+
+
+def _fact(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    """The sales fact; every ninth seller has no member, prices of the products that _history drops stay with version 1."""
+    d = domain
+    o = d.orders(spark, sf_dir)
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), (F.col("c_nationkey") + 1).cast("long").alias("location_key"))
+    items = d.items(spark, sf_dir, numbered).join(o.select("order_id", F.col("estimated_at").alias("shipping_limit_at")), "order_id")
+    return star.fact_sales(
+        items, o, customers=merge.numbered(customers.select("customer_id"), ["customer_id"], "customer_key", 0), products=_history(spark, sf_dir), locations=customers,
+        sellers=merge.numbered(d.sellers(spark, sf_dir).filter("seller_id % 9 <> 0").select("seller_id"), ["seller_id"], "seller_key", 0), statuses=merge.numbered(star.dim_status(o).select("order_status"), ["order_status"], "status_key", 0),
+    )
+
+
+@query(f"""WITH {_DENSE} SELECT {_DAY_KEY('o_orderdate')} AS purchase_date_key, {_DAY_KEY('o_orderdate + to_days(15)')} AS shipping_limit_date_key, CAST(sum(customer_key) AS BIGINT) AS customer_keys, CAST(sum(location_key) AS BIGINT) AS location_keys, CAST(sum(coalesce(seller_key, 0)) AS BIGINT) AS seller_keys,
+count(*) FILTER (WHERE seller_key IS NULL) AS unknown_sellers, CAST(0 * count(*) AS BIGINT) AS unknown_products, CAST(sum(status_key) AS BIGINT) AS status_keys, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS price
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c ON o_custkey = c_custkey LEFT JOIN s ON l_suppkey = s_suppkey JOIN t USING (o_orderstatus) GROUP BY 1, 2""")
+def d11_fact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven keys of the sales fact, summed by day."""
+    total = lambda c: F.sum(c).cast("long").alias(f"{c}s")
+    missing = lambda c, name: F.count_if(F.col(c) == 0).alias(name)
+    return _fact(spark, sf_dir).groupBy(big("purchase_date_key"), big("shipping_limit_date_key")).agg(total("customer_key"), total("location_key"), total("seller_key"), missing("seller_key", "unknown_sellers"), missing("product_key", "unknown_products"), total("status_key"), F.sum("price").cast("double").alias("price"))
+
+
+@query("""SELECT count(*) AS items, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) + CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def d11_fact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second load of every fourth order, with dearer items, replaces their rows."""
+    fact = _fact(spark, sf_dir, numbered=True)
+    again = fact.filter("order_id % 4 = 0").withColumn("price", (F.col("price") + 1).cast("decimal(12,2)"))
+    return star.load_fact_sales(fact, again).agg(F.count(F.lit(1)).alias("items"), F.sum("price").cast("double").alias("price"))
+
+
+@query("""SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS purchase_date, count(*) AS items, CAST(sum(l_partkey) AS BIGINT) AS product_ids, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS item_price FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 9 <> 0 GROUP BY 1""")
+def m4_curated_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales that promotions apply to, without the items of the UNKNOWN product; every ninth product has no member."""
+    from salesflow.operators.promotions import curated_extract
+
+    members = merge.numbered(domain.products(spark, sf_dir).filter("product_id % 9 <> 0").select("product_id"), ["product_id"], "product_key", 0)
+    o = domain.orders(spark, sf_dir)
+    key = F.date_format("purchased_at", "yyyyMMdd").cast("int").alias("purchase_date_key")
+    fact = domain.items(spark, sf_dir).join(o.select("order_id", key), "order_id").join(members, "product_id", "left").drop("product_id").withColumn("product_key", F.coalesce("product_key", F.lit(0)))
+    rows = curated_extract(fact, merge.with_unknown(members, "product_key", product_id=0), star.calendar(star.date_roles(o, ["purchased_at"])))
+    return rows.groupBy(F.date_format("purchase_date", "yyyy-MM-dd").alias("purchase_date")).agg(F.count(F.lit(1)).alias("items"), F.sum("product_id").cast("long").alias("product_ids"), F.sum("item_price").cast("double").alias("item_price"))
+
+
+@query(f"WITH {PAYMENTS} SELECT 'status' AS dimension, o_orderstatus AS member, CASE WHEN o_orderstatus = 'delivered' THEN 1 ELSE 0 END AS flag FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'payment', payment_type, CASE WHEN payment_type IN ('credit_card', 'debit_card') THEN 1 ELSE 0 END FROM payments GROUP BY payment_type")
+def d3_small_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the status and payment dimensions, with a flag of each."""
+    status = star.dim_status(domain.orders(spark, sf_dir)).select(F.lit("status").alias("dimension"), F.col("order_status").alias("member"), F.col("is_completed").cast("int").alias("flag"))
+    kinds = star.dim_payment(domain.payments(spark, sf_dir)).select(F.lit("payment").alias("dimension"), F.col("payment_type").alias("member"), (F.col("payment_group") == "card").cast("int").alias("flag"))
+    return status.unionByName(kinds)
+
+
 @query(f"WITH {PAYMENTS} SELECT CASE WHEN payment_type IN ('credit_card', 'debit_card') THEN 'card' WHEN payment_type = 'boleto' THEN 'payment slip' ELSE 'voucher' END AS payment_group, count(*) AS payments, CAST(sum(payment_value) AS DOUBLE) AS value, CAST(sum(payment_installments) AS BIGINT) AS installments FROM payments GROUP BY 1")
 def d12_fact_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payments fact, summed by payment group."""
@@ -218,13 +271,25 @@ def q5_join_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.join_coverage(joined)
 
 
-@query("""SELECT CAST((SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0)) + (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 40 <> 0)) AS BIGINT) AS orphans""")
+@query("""SELECT 'orders_customers' AS relation, count(*) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 40 <> 0)
+UNION ALL SELECT 'items_orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0)
+UNION ALL SELECT 'items_products', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 30 <> 0)
+UNION ALL SELECT 'items_sellers', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 20 <> 0)
+UNION ALL SELECT 'payments_orders', count(*) FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 11 = 0) WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0)
+UNION ALL SELECT 'reviews_orders', count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 50 = 0""")
 def q6_orphan_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphans over foreign keys, summed."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    a = star.orphans(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), o.filter("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("k")), ["k"])
-    b = star.orphans(o.select(F.col("o_custkey").alias("k")), c.filter("c_custkey % 40 <> 0").select(F.col("c_custkey").alias("k")), ["k"])
-    return a.unionByName(b).agg(F.count(F.lit(1)).alias("orphans"))
+    """Orphans of six foreign keys over dimensions with missing members."""
+    d = domain
+    o, items = d.orders(spark, sf_dir), d.items(spark, sf_dir)
+    some = o.filter("order_id % 50 <> 0")
+    return star.orphan_counts({
+        "orders_customers": (o, d.customers(spark, sf_dir).filter("customer_id % 40 <> 0"), "customer_id", "customer_id"),
+        "items_orders": (items, some, "order_id", "order_id"),
+        "items_products": (items, d.products(spark, sf_dir).filter("product_id % 30 <> 0"), "product_id", "product_id"),
+        "items_sellers": (items, d.sellers(spark, sf_dir).filter("seller_id % 20 <> 0"), "seller_id", "seller_id"),
+        "payments_orders": (d.payments(spark, sf_dir), some, "order_id", "order_id"),
+        "reviews_orders": (d.reviews(spark, sf_dir), some, "order_id", "order_id"),
+    })
 
 
 @query("""SELECT 'quantity_positive' AS check_name, count(*) FILTER (WHERE NOT l_quantity > 0) AS violations FROM lineitem UNION ALL SELECT 'discount_below_5', count(*) FILTER (WHERE NOT l_discount < 0.05) FROM lineitem UNION ALL SELECT 'flag_is_letter', count(*) FILTER (WHERE NOT regexp_full_match(l_returnflag, '[A-Z]')) FROM lineitem""")

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.operators.gates import QualityError, require
+from salesflow.operators.gates import LOG_CHECKS, QualityError, require
 from salesflow.operators.merge import upsert
 
 
@@ -124,6 +124,56 @@ def replace_window(table: DataFrame, staged: DataFrame, column: str, start: str,
     return table.filter(~F.coalesce(inside, F.lit(False))).unionByName(staged.filter(inside))
 
 
+def markers(spark: SparkSession, staging: str, parts: tuple[str, ...] = ("minutes", "statuses")) -> int:
+    """How many staged parts have their completion marker."""
+    return sum(exists(spark, f"{staging}/{p}/_SUCCESS") for p in parts)
+
+
+class WindowReport:
+    """A report of several tables whose closed windows are replaced together. A version holds every table, the runs and the
+    watermark, so that one pointer publishes all of them at once."""
+
+    RUNS = "run_id string, window_start timestamp, window_end timestamp, rows long"
+
+    def __init__(self, spark: SparkSession, path: str, column: str):
+        self.spark, self.path, self.column = spark, path, column
+
+    def read(self, part: str) -> DataFrame | None:
+        """A published table, `runs`, or None if nothing is published."""
+        names = _pointers(self.spark, self.path)
+        return self.spark.read.parquet(f"{self.path}/versions/{names[-1].split('.')[1]}/{part}") if names else None
+
+    def watermark(self):
+        """The end of the windows published without a gap, None at first."""
+        found = self.read("watermark")
+        return None if found is None else found.first()["watermark"]
+
+    def publish(self, run_id: str, start: str, end: str, staged: dict[str, DataFrame], audited: dict[str, int], checks: DataFrame) -> str:
+        """Replace [start, end) of every table by its staged rows; 'already' if the run was published before. All checks must
+        have passed, and the rows written in the window must be as many as audited. A window that starts at or before the
+        watermark moves it forward; an old or distant one leaves it."""
+        runs = self.read("runs")
+        if runs is not None and not runs.filter(F.col("run_id") == run_id).isEmpty():
+            return "already"
+        require(checks, LOG_CHECKS)
+        version = uuid.uuid4().hex
+        place = f"{self.path}/versions/{version}"
+        inside = (F.col(self.column) >= F.lit(start).cast("timestamp")) & (F.col(self.column) < F.lit(end).cast("timestamp"))
+        for part, rows in staged.items():
+            old = self.read(part)
+            (rows.filter(inside) if old is None else replace_window(old, rows, self.column, start, end)).write.parquet(f"{place}/{part}")
+            if (n := self.spark.read.parquet(f"{place}/{part}").filter(inside).count()) != audited[part]:
+                raise QualityError(f"{n} rows of {part} written, {audited[part]} audited")
+        now = self.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(start).cast("timestamp").alias("window_start"), F.lit(end).cast("timestamp").alias("window_end"), F.lit(sum(audited.values())).cast("long").alias("rows"))
+        (now if runs is None else runs.unionByName(now)).coalesce(1).write.parquet(f"{place}/runs")
+        mark = F.lit(self.watermark())
+        new = F.col("window_end")
+        moved = F.when(mark.isNull(), new).when(F.col("window_start") <= mark, F.greatest(mark, new)).otherwise(mark)
+        now.select(moved.cast("timestamp").alias("watermark")).coalesce(1).write.parquet(f"{place}/watermark")
+        _point(self.spark, self.path, version)
+        return "published"
+
+
 def overwrite_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     """Replace only the partitions that `rows` has: a retried batch rewrites its own leaf. Rows are dealt by leaf
     first, so that each leaf is one file or few."""

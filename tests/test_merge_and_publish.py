@@ -171,3 +171,34 @@ def test_an_emptied_batch_leaves_nothing(spark, tmp_path):
     assert spark.read.parquet(path).groupBy("batch").count().orderBy("batch").collect() == [("b1", 2), ("b2", 6)]
     sinks.replace_batch(rows.limit(0), path, by, {"batch": "b1"})
     assert spark.read.parquet(path).count() == 6
+
+
+def test_window_report_publishes_all_tables_at_once(spark, tmp_path):
+    report, column = sinks.WindowReport(spark, str(tmp_path / "r"), "at"), "at"
+    rows = lambda *hours: spark.createDataFrame([(h,) for h in hours], "h int").selectExpr("timestamp'2026-07-01' + make_interval(0,0,0,0,h,0,0) AS at", "h")
+    good = spark.createDataFrame([(str(k), True) for k in range(8)], "check_name string, passed boolean")
+    window = lambda run, a, b, hours, n=None, checks=good: report.publish(run, f"2026-07-01 {a:02}:00", f"2026-07-01 {b:02}:00", {"x": rows(*hours), "y": rows(*hours)}, {"x": len(hours) if n is None else n, "y": len(hours)}, checks)
+    with pytest.raises(gates.QualityError):
+        window("a", 0, 4, [1, 2], n=3)
+    with pytest.raises(gates.QualityError):
+        window("a", 0, 4, [1, 2], checks=good.limit(7))
+    assert report.read("x") is None
+    assert window("a", 0, 4, [1, 2]) == "published" and window("a", 0, 4, [3]) == "already"
+    assert window("b", 4, 6, [5, 5]) == "published" and str(report.watermark())[11:13] == "06"
+    assert window("c", 0, 4, [0]) == "published" and window("d", 9, 11, [10]) == "published"
+    assert sorted(r["h"] for r in report.read("y").collect()) == [0, 5, 5, 10] and report.read("runs").count() == 4
+    assert str(report.watermark())[11:13] == "06"  # an old window and one beyond a gap leave it
+
+
+def test_markers(spark, tmp_path):
+    spark.range(1).write.parquet(f"{tmp_path}/s/minutes")
+    n = sinks.markers(spark, f"{tmp_path}/s")
+    assert n == 1 and not gates.artifact_gate(spark, n).first()["passed"] and gates.artifact_gate(spark, 2).first()["passed"]
+
+
+def test_reports_and_their_marker(spark, tmp_path):
+    path = str(tmp_path / "report")
+    sinks.write_report(spark.range(3), path)
+    assert spark.read.json(f"{path}/report").count() == 3 and spark.read.json(f"{path}/run_status").first()["run_status"] == "complete"
+    sinks.clear_reports(spark, path)
+    assert not sinks.exists(spark, f"{path}/report") and not sinks.exists(spark, f"{path}/run_status")

@@ -81,8 +81,10 @@ def features(text: str) -> list[float]:
 def _featured(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(x, pa.list_(pa.float64()))], [*columns, "x"])
+            for first, last in slices(batch):
+                part = batch.slice(first, last - first)
+                x = [features(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(x, pa.list_(pa.float64()))], [*columns, "x"])
 
     return run
 

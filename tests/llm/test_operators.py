@@ -450,6 +450,19 @@ def test_held_out_rows_by_crc(spark):
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_scores_are_sums_of_table_entries():
+    r = np.random.default_rng(9)
+    edges, coarse = [np.sort(r.normal(size=n)) for n in (3, 5, 1)], [np.sort(r.normal(size=2)) for _ in range(3)]
+    tables, double = [r.normal(size=len(e) + 1) for e in edges], {(0, 2): r.normal(size=(3, 3)), (1, 2): r.normal(size=(3, 3))}
+    x = np.concatenate([r.normal(size=(40, 3)), [[edges[0][1], edges[1][0], coarse[2][0]]]])  # one row lies on edges
+    bin_ = lambda cuts, v: sum(1 for c in cuts if c <= v)
+    got = quality.Model(edges, coarse, 0.3, tables, double).scores(x)
+    for row, score in zip(x, got):
+        total = 0.3 + sum(t[bin_(e, v)] for t, e, v in zip(tables, edges, row))
+        total += sum(t[bin_(coarse[a], row[a]), bin_(coarse[b], row[b])] for (a, b), t in double.items())
+        assert math.isclose(score, 1 / (1 + math.exp(-total)))
+
+
 @pytest.mark.parametrize("classify", [quality.classify, toxicity.classify])
 def test_classifier_edges(odd, labels, classify):
     for own in (labels, labels.limit(0)):
@@ -702,5 +715,8 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
     for docs in (odd, odd.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:4]:
             assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        pieces = corpus_pipeline.packing(spark, docs, "").collect()
+        assert sorted({str(r["doc_id"]) for r in pieces}) == sorted({str(r["doc_id"]) for r in docs.select("doc_id").collect()})
+        check_sequences(pieces, [r["length"] for r in pieces])
     exact = [r["doc_id"] for r in corpus_pipeline.exact(spark, odd, "").collect()]
     assert sorted(exact, key=str) == sorted([1, 3, 4, 5, 6, 7, None, 8, 9, 10, 11, 12], key=str)

@@ -301,7 +301,7 @@ def o2_latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select(F.col("o_orderkey").alias("order_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"))
 
 
-@query("SELECT count(*) AS rows, 6 AS columns, 0::BIGINT AS missing_cells FROM orders")
+@query("""SELECT count(*) AS rows, (SELECT count(*) FROM (DESCRIBE orders))::INT AS columns, CAST(6 * count(*) - count(o_orderkey) - count(o_custkey) - count(o_orderstatus) - count(o_totalprice) - count(o_orderdate) - count(o_orderpriority) AS BIGINT) AS missing_cells FROM orders""")
 def q13_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, columns and missing cells."""
     return sales.profile(table(spark, sf_dir, "orders"))

@@ -544,6 +544,50 @@ def test_runs_are_best_fit():
         assert 1 + max(s + (b - a - 1) // e for _, a, b, s, e, _ in runs) == len(gaps)
 
 
+def best_fit_gaps(lengths, capacity):
+    """The gaps that best fit leaves, longest first, piece by piece."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+            gaps.append(min(fit) - n)
+        else:
+            gaps.append(capacity - n)
+    return gaps
+
+
+@pytest.mark.parametrize("most, hot", [(100, 0), (40, 0), (9, 500), (100, 500)])
+def test_rounds_of_range_sweeps_are_best_fit(spark, most, hot):
+    r = random.Random(most + hot)
+    lengths = [r.randrange(1, most + 1) for _ in range(400)] + [most // 3] * hot
+    counts = spark.createDataFrame(sorted(Counter(lengths).items()), "length long, n long")
+    runs = packing.best_fit_rounds(counts, 100).collect()
+    ranks, places = defaultdict(list), defaultdict(list)
+    for length, first, last, sequence, each, offset in runs:
+        for rank in range(first, last):
+            ranks[length].append(rank)
+            at = rank - first
+            places[sequence + at // each].append((offset + at % each * length, length))
+    assert {n: sorted(k) for n, k in ranks.items()} == {n: list(range(k)) for n, k in Counter(lengths).items()}
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 100
+    assert len(places) == len(best_fit_gaps(lengths, 100))
+    assert sorted(places) == list(range(len(places)))
+
+
+def test_a_sweep_leaves_what_has_no_successor():
+    runs, pieces, gaps, number = packing.sweep([(9, 0, 2), (5, 0, 5)], [(6, 0, 1), (10, 1, 3)], 20)
+    assert pieces == [(5, 1, 5)] and number is None
+    assert sorted(runs) == [(5, 0, 1, 0, 1, 14), (9, 0, 2, 1, 1, 10)]
+    assert sorted(gaps) == [(1, 0, 1), (1, 1, 3)]
+    assert packing.class_bounds(2048)[:2] == [(1025, 2048), (513, 1024)] and packing.class_bounds(5) == [(3, 5), (2, 2), (1, 1)]
+
+
 def test_packing_edges(odd):
     rows = packing.pack(odd, queries.vocabulary("word_bpe_49k.json")).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in odd.collect()}

@@ -157,7 +157,7 @@ def learn_lexicons(sample: DataFrame, size: int, least_docs: int, least_odds: fl
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 5, remainder: int = 0, train_rows: int = 12_000, lexicon_size: int = 2_000, least_docs: int = 4, least_odds: float = 2.5, trees: int = 16, depth: int = 3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 5, remainder: int = 0, train_rows: int = 12_000, lexicon_size: int = 2_000, least_docs: int = 2, least_odds: float = 2.5, trees: int = 16, depth: int = 3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus, remainder).alias("held_out"), whole_text().alias("text"))
@@ -169,7 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulu
     if not both:  # too few rows of a kind to learn from
         score: Column = F.lit(prior)
         return rows.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
-    lexicons = learn_lexicons(sample.filter("part < 4"), lexicon_size, least_docs if n >= 1000 else 2, least_odds)
+    lexicons = learn_lexicons(sample.filter("part < 4"), lexicon_size, least_docs, least_odds)
     # trees learn from each fold with the lexicon of the other; calibration and scoring use the whole lexicon
     parts = [sample.filter(F.col("fold") == fold).mapInArrow(_featured(["part", "y"], lexicons[use]), "part long, y int, x array<double>") for fold, use in ((0, 1), (1, 0), (2, 2))]
     numbers = saved(parts[0].unionByName(parts[1]).unionByName(parts[2]))

@@ -450,6 +450,86 @@ def test_held_out_rows_by_crc(spark):
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_lexicon_features_against_a_plain_count(monkeypatch):
+    lexicon = {b"grobian": 5.0, b"4:zwie": 3.0, b"5:klotz": 2.5, b"lump": 4.5}
+    r = random.Random(12)
+    pool = ["Grobian", "gr0b1an", "zwiebel", "ZWIELICHT", "klotzig", "klotz", "lump", "l*ump", "LUMP!", "you", "your", "Dir", "plain", "word,", "caf\u00e9", "x9", "end.", "why?", "\n", "a;b:c", "12", "SHOUT"]
+    texts = ["", " ", "you", *(" ".join(r.choices(pool, k=r.randrange(1, 80))) for _ in range(120))]
+
+    def odds(word):
+        return max([lexicon.get(word, 0.0), *(lexicon.get(b"%d:" % n + word[:n], 0.0) for n in (4, 5) if len(word) > n)])
+
+    def plain(text):
+        data = text.encode()
+        words, run = [], b""
+        for byte in [*data.lower(), 32]:
+            if chr(byte).isascii() and not chr(byte).isalnum():
+                words += [run] if run else []
+                run = b""
+            else:
+                run += bytes([byte])
+        many, size, raw = len(words) or 1, len(data) or 1, data.split()
+        hits = [(i, odds(w)) for i, w in enumerate(words) if odds(w)]
+        second = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+        mixed = hidden = 0
+        for token in data.lower().split():
+            inner = [k for k in range(1, len(token) - 1) if token[k : k + 1] in [bytes([b]) for b in b"0123456789@$!|*"]]
+            letters = [k for k in range(len(token)) if chr(token[k]).isascii() and chr(token[k]).isalpha()]
+            if any(a + 1 < b and all(k in inner for k in range(a + 1, b)) for a in letters for b in letters if a < b):
+                shown = token.translate(bytes.maketrans(b"013457@$!|", b"oieastasil")).replace(b"*", b"")
+                if shown.isalpha():
+                    mixed += 1
+                    hidden += odds(shown) > 0
+        share = lambda found, of: found / of
+        return [
+            len(hits), share(len(hits), many), share(sum(o > 4 for _, o in hits), many), share(sum(words[i] not in lexicon for i, _ in hits), many), share(hidden, many),
+            min(60, sum(o for _, o in hits)), max((o for _, o in hits), default=0), share(len(second), many),
+            share(sum(any(abs(i - k) <= toxicity.NEAR for k in second) for i, _ in hits), many), share(sum(65 <= b <= 90 for b in data), size),
+            share(sum(len(w) > 2 and w.isupper() for w in raw), len(raw) or 1), share(sum(b in b"!?" for b in data), size), share(sum(b in b".,;:" for b in data), size), share(mixed, many), math.log(1 + len(words)),
+        ]
+
+    for remembered in (300_000, 0):
+        monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+        memory = {}
+        for text in texts:
+            got = toxicity.features(text, lexicon, memory)
+            assert len(got) == len(toxicity.FEATURES) and np.allclose(got, plain(text)), text
+
+
+def test_calibration_is_interpolated(spark):
+    at, value = [-2.0, -0.5, 0.0, 3.0], [0.1, 0.1, 0.6, 0.9]
+    xs = [-9.0, -2.0, -1.0, -0.5, -0.2, 0.0, 1.5, 3.0, 8.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", toxicity._between(F.col("x"), at, value).alias("y")).collect()
+    assert all(math.isclose(r["y"], np.interp(r["x"], at, value)) for r in rows)
+
+
+def test_boosting_steps_are_the_best_cuts():
+    r = np.random.default_rng(21)
+    worth = lambda g, h: g * g / (h + 1)
+    for n in (1, 2, 3, 7, 12):
+        g, h = r.normal(size=n), r.uniform(0.6, 2, size=n)
+        spans = [(0, n)]
+        for _ in range(2):  # greedy: the cut of most gain, in any span
+            cuts = [(worth(g[a:k].sum(), h[a:k].sum()) + worth(g[k:b].sum(), h[k:b].sum()) - worth(g[a:b].sum(), h[a:b].sum()), a, k, b) for a, b in spans for k in range(a + 1, b)]
+            if not cuts or max(cuts)[0] <= 1e-9:
+                break
+            _, a, k, b = max(cuts)
+            spans = [s for s in spans if s != (a, b)] + [(a, k), (k, b)]
+        wanted = np.zeros(n)
+        for a, b in spans:
+            wanted[a:b] = g[a:b].sum() / (h[a:b].sum() + 1)
+        assert np.allclose(quality._table_step(g, h), wanted)
+    for shape in ((2, 2), (3, 5), (6, 4)):
+        g, h = r.normal(size=shape), r.uniform(0.6, 2, size=shape)
+        quads = lambda i, j: [(rows, cols) for rows in (slice(0, i), slice(i, None)) for cols in (slice(0, j), slice(j, None))]
+        gain, i, j = max((sum(worth(g[q].sum(), h[q].sum()) for q in quads(i, j)), i, j) for i in range(1, shape[0]) for j in range(1, shape[1]))
+        wanted = np.zeros(shape)
+        for q in quads(i, j):
+            wanted[q] = g[q].sum() / (h[q].sum() + 1)
+        step, got = quality._pair_step(g, h)
+        assert np.allclose(step, wanted) and math.isclose(got, gain)
+
+
 def test_scores_are_sums_of_table_entries():
     r = np.random.default_rng(9)
     edges, coarse = [np.sort(r.normal(size=n)) for n in (3, 5, 1)], [np.sort(r.normal(size=2)) for _ in range(3)]

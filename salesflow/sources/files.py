@@ -30,7 +30,9 @@ def read_permissive_csv(spark: SparkSession, path: str, columns: list[str]) -> D
     """All-string rows; a malformed line is kept in _corrupt_record; _source_file names its file."""
     validate_header(spark, path, columns)
     schema = ", ".join(f"{c} string" for c in [*columns, "_corrupt_record"])
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
+    # with columns pruned, a reader that leaves some out would not see that a line has too many or too few cells
+    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False)
+    rows = reader.option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
     return rows.select("*", F.col("_metadata.file_path").alias("_source_file"))
 
 

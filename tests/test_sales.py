@@ -124,3 +124,34 @@ def test_layouts_are_united(spark, tmp_path):
     assert rows.count() == 5 and "extra" in rows.columns
     with pytest.raises(FileNotFoundError):
         files.read_layouts(spark, str(tmp_path / "raw"), ["absent"])
+
+
+def test_corrupt_lines_are_seen_whatever_columns_are_read(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("a,b,c\n1,2,3\n4,5,6,7\n8,9\n")
+    rows = files.read_permissive_csv(spark, str(tmp_path / "c.csv"), ["a", "b", "c"])
+    found = {r["a"]: r["bad"] for r in rows.select("a", F.col("_corrupt_record").isNotNull().alias("bad")).collect()}
+    assert found == {"1": False, "4": True, "8": True}
+    assert {r["b"] for r in rows.select("b").collect()} == {"2", "5", "9"}
+
+
+def test_small_source_helpers(spark, tmp_path):
+    from salesflow.operators.sales import has_duplicate_key
+    from salesflow.session import build_session
+    from salesflow.sources import feeds, sinks
+
+    assert build_session("tests", spark__sql__ansi__enabled="true").conf.get("spark.sql.session.timeZone") == "UTC"
+    assert feeds.kafka_options("h:1", "logs", "earliest", False) == {"kafka.bootstrap.servers": "h:1", "subscribe": "logs", "startingOffsets": "earliest", "failOnDataLoss": "false"}
+    days = spark.range(1).select(feeds.day_range("2024-02-28", "2024-03-01").alias("d")).collect()
+    assert [str(r["d"]) for r in days] == ["2024-02-28", "2024-02-29", "2024-03-01"]
+    rows = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k int, v string")
+    assert files.sample_head(rows, None).count() == 3 and files.sample_head(rows, 2).count() == 2
+    rows.write.parquet(str(tmp_path / "there"))
+    assert files.missing_tables(spark, str(tmp_path), ["there", "absent"]) == ["absent"]
+    rows.write.saveAsTable("analyzed")
+    sinks.analyze(spark, "analyzed")
+    assert "3 rows" in {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED analyzed").collect()}["Statistics"]
+    assert files.missing_tables(spark, str(tmp_path), ["analyzed"]) == []
+    with pytest.raises(FileExistsError):
+        for _ in range(2):
+            sinks.load(rows, str(tmp_path / "table"), "fail")
+    assert has_duplicate_key(rows, ["k"]) and not has_duplicate_key(rows, ["k", "v"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,7 +15,9 @@ from salesflow.plans.feed_queries import _DISCOUNT, _LATEST, _SALES, _discounted
 from salesflow.session import shared_place
 from salesflow.sources import feeds, files, sinks
 
-COUNT = F.count(F.lit(1))
+
+def _count(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def s4_clean_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw.write.option("header", True).csv(place)
     spec = files.TableSpec(("order_id",), integers=("item_number",), decimals=("price",), timestamps=("shipped_at",), renames={"item_no": "item_number"})
     rows = files.clean_table(files.read_format(spark, "csv", place), spec)
-    return rows.groupBy(F.col("item_number").cast("long").alias("item_number")).agg(COUNT.alias("rows"), F.sum("price").cast("double").alias("price"), F.count("shipped_at").alias("shipped"))
+    return rows.groupBy(F.col("item_number").cast("long").alias("item_number")).agg(_count("rows"), F.sum("price").cast("double").alias("price"), F.count("shipped_at").alias("shipped"))
 
 
 @query("SELECT o_orderkey AS order_id, o_orderstatus AS order_status FROM orders ORDER BY o_orderkey LIMIT 100")
@@ -69,7 +71,7 @@ def s6_format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows out of three formats, read by name."""
     place, rows = shared_place(spark, "formats"), _orders(spark, sf_dir)
     sinks.write_formats(rows, place)
-    parts = [files.read_format(spark, f, f"{place}/{f}", rows.schema).groupBy("order_status").agg(COUNT.alias("rows"), F.sum("total").cast("double").alias("total")).withColumn("format", F.lit(f)) for f in ("csv", "parquet", "orc")]
+    parts = [files.read_format(spark, f, f"{place}/{f}", rows.schema).groupBy("order_status").agg(_count("rows"), F.sum("total").cast("double").alias("total")).withColumn("format", F.lit(f)) for f in ("csv", "parquet", "orc")]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -78,7 +80,7 @@ def s7_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines of inferred types."""
     place = shared_place(spark, "json")
     table(spark, sf_dir, "events").select("event_id", "event_type", "user_id").write.json(place)
-    return files.read_json_lines(spark, place).groupBy("event_type").agg(COUNT.alias("events"), F.sum("event_id").alias("id_sum"), F.max("user_id").alias("last_user"))
+    return files.read_json_lines(spark, place).groupBy("event_type").agg(_count("events"), F.sum("event_id").alias("id_sum"), F.max("user_id").alias("last_user"))
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS customers, CAST(sum(c_custkey) AS BIGINT) AS key_sum FROM customer GROUP BY 1")
@@ -86,7 +88,7 @@ def s7_inferred_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV of inferred types."""
     place = shared_place(spark, "csv")
     table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").write.option("header", True).csv(place)
-    return files.read_csv_inferred(spark, place).groupBy(F.col("c_mktsegment").alias("segment")).agg(COUNT.alias("customers"), F.sum("c_custkey").alias("key_sum"))
+    return files.read_csv_inferred(spark, place).groupBy(F.col("c_mktsegment").alias("segment")).agg(_count("customers"), F.sum("c_custkey").alias("key_sum"))
 
 
 @query("SELECT o_orderstatus AS order_status, count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS with_priority FROM orders GROUP BY 1")
@@ -96,7 +98,7 @@ def s11_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.filter("order_id % 2 = 0").select("order_id", "order_status").repartition("order_status").write.partitionBy("order_status").parquet(f"{place}/new")
     rows.filter("order_id % 2 = 1").select("order_id", "order_status", "priority").write.parquet(f"{place}/old")
     both = files.read_layouts(spark, place, ["new/order_status=*", "old", "older"])
-    return both.groupBy("order_status").agg(COUNT.alias("rows"), F.count("priority").alias("with_priority"))
+    return both.groupBy("order_status").agg(_count("rows"), F.count("priority").alias("with_priority"))
 
 
 @query("SELECT 'orders' AS source, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders UNION ALL SELECT 'items', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem")
@@ -152,14 +154,14 @@ def k1_partitioned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     place, rows = shared_place(spark, "files"), _orders(spark, sf_dir).withColumn("order_year", F.year("order_date"))
     sinks.write_partitioned(rows, place, ["order_year", "order_status"])
     sinks.read_back(spark, place, rows.count())
-    parts = [files.read_format(spark, f, f"{place}/{f}").groupBy(F.col("order_year").cast("long").alias("order_year"), "order_status").agg(COUNT.alias("rows")).withColumn("format", F.lit(f)) for f in ("parquet", "orc")]
+    parts = [files.read_format(spark, f, f"{place}/{f}").groupBy(F.col("order_year").cast("long").alias("order_year"), "order_status").agg(_count("rows")).withColumn("format", F.lit(f)) for f in ("parquet", "orc")]
     return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT o_orderstatus AS order_status, count(*) AS orders, 'complete' AS run_status FROM orders GROUP BY 1")
 def k3_one_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report in one file and its completion marker; a stale one is dropped first."""
-    place, report = shared_place(spark, "report"), _orders(spark, sf_dir).groupBy("order_status").agg(COUNT.alias("orders"))
+    place, report = shared_place(spark, "report"), _orders(spark, sf_dir).groupBy("order_status").agg(_count("orders"))
     sinks.write_report(report.filter("orders < 0"), place)
     sinks.clear_reports(spark, place)
     sinks.write_report(report, place)
@@ -185,14 +187,14 @@ def k15_shrunk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in (0, 1):
         sinks.replace_batch(rows.filter(f"batch = {batch}"), place, by, {"batch": batch})
     sinks.replace_batch(rows.filter("batch = 0 AND order_id % 10 = 0 AND order_status <> 'F'"), place, by, {"batch": 0})
-    return spark.read.parquet(place).groupBy(F.col("batch").cast("long").alias("batch"), "order_status").agg(COUNT.alias("rows"))
+    return spark.read.parquet(place).groupBy(F.col("batch").cast("long").alias("batch"), "order_status").agg(_count("rows"))
 
 
 @query("SELECT o_orderkey AS order_id, o_orderstatus AS order_status FROM orders")
 def k16_gated_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot that replaces the table once its checks have passed; a run that accepted nothing changes nothing."""
     place, rows = shared_place(spark, "snapshot"), _orders(spark, sf_dir).select("order_id", "order_status")
-    figures = rows.agg(COUNT.alias("n"), F.countDistinct("order_id").alias("keys"), F.count_if(F.col("order_id").isNull()).alias("nulls"))
+    figures = rows.agg(_count("n"), F.countDistinct("order_id").alias("keys"), F.count_if(F.col("order_id").isNull()).alias("nulls"))
     checks = gates.as_checks(figures, [gates.zero("unique_key", F.col("n") - F.col("keys")), gates.zero("no_null_key", F.col("nulls"))])
     n = rows.count()
     sinks.publish_snapshot(rows, place, checks, n, n, 2)
@@ -223,7 +225,7 @@ def x3_refreshed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary table that a second run replaces."""
     place, rows = shared_place(spark, "summary"), _orders(spark, sf_dir)
     for part in (rows.filter("order_id % 2 = 0"), rows):
-        sinks.load(part.groupBy("priority").agg(COUNT.alias("orders"), F.sum("total").cast("double").alias("total")), place, "replace")
+        sinks.load(part.groupBy("priority").agg(_count("orders"), F.sum("total").cast("double").alias("total")), place, "replace")
     return sinks.published(spark, place)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesflow.llm import exact_dedup, jaccard_join, line_dedup, mixing, mtree, packing, quality, substring_dedup, token_output, toxicity
+from salesflow.llm import exact_dedup, jaccard_join, line_dedup, mixing, mtree, packing, quality, substring_dedup, token_output, toxicity, winnowing
 from salesflow.llm.common import scratch
 
 
@@ -62,6 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(winnowing.compare(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 #: The 64 white-space-free ends of a line, and A-Z lower-cased, as DuckDB says them.

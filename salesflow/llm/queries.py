@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesflow.llm import exact_dedup, jaccard_join, line_dedup, mixing, mtree, packing, quality, substring_dedup, token_output, toxicity, winnowing
+from salesflow.llm import exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, mtree, packing, quality, substring_dedup, token_output, toxicity, winnowing
 from salesflow.llm.common import scratch
 
 
@@ -62,6 +63,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", noisy))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(winnowing.compare(_table(spark, sf_dir, "documents")))
 
@@ -77,6 +83,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_fingerprints": op13_fingerprints,
 }
 
@@ -115,6 +122,15 @@ scores AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_z
   FROM vectors q JOIN vectors x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op12_hard_negatives": """
+WITH vectors AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), 'bool_and')),
+scores AS (SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, list_sum(list_transform(list_zip(a.v, x.v), lambda p: p[1]::HUGEINT * p[2]::HUGEINT))::BIGINT AS score
+  FROM vectors a JOIN vectors x ON a.vec_id % 100 = 0 AND a.vec_id <> x.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+negatives AS (SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10""",
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",

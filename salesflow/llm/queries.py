@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm import exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, mtree, packing, quality, substring_dedup, token_output, toxicity, winnowing
+from salesflow.llm import conversation_repair, exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, mtree, packing, quality, substring_dedup, token_output, toxicity, winnowing
 from salesflow.llm.common import scratch
 
 
@@ -63,6 +63,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(rows), rows)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", noisy))
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_fingerprints": op13_fingerprints,
 }

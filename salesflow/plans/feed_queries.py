@@ -245,7 +245,7 @@ def k17_window_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both log reports published window by window, the first window twice: its second run changes nothing."""
     from salesflow.sources.sinks import WindowReport
 
-    logs, report = domain.logs(spark, sf_dir), WindowReport(spark, shared_place(spark, "windows"), "minute_start")
+    logs, report = domain.logs(spark, sf_dir), WindowReport(spark, shared_place(spark, "windows"), "minute_start", pattern="yyyyMMdd")
     first, last = _span(logs)
     middle = spark.range(1).select(F.date_format(F.lit(first).cast("timestamp") + F.expr("INTERVAL 10 DAY"), "yyyy-MM-dd HH:mm:ss").alias("t")).first()["t"]
     outcomes = []

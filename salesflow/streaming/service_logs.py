@@ -6,17 +6,20 @@ invalid, as it has no stateful operator. A window is emitted once, after the wat
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from salesflow.operators import logs
 from salesflow.operators.control import check_generation, epoch_action, lineage_of
-from salesflow.sources.sinks import drop_partitions, exists, overwrite_partitions
+from salesflow.sources.commits import Commits
+from salesflow.sources.sinks import drop_partitions, overwrite_partitions
 
 
 def windowed(classified: DataFrame, delay: str = "1 minute", duration: str = "1 minute") -> DataFrame:
@@ -58,104 +61,147 @@ def run_until_done(queries: list[StreamingQuery], seconds: float | None = None)
                 q.stop()
 
 
-EPOCHS = "raw_count long, valid_count long, max_event_time timestamp, lag_seconds long, landed_at timestamp, status string, generation string, epoch long"
-GENERATIONS = "query string, checkpoint string, lineage string, status string, is_active boolean, generation string"
+EPOCHS = "generation string, epoch long, status string, landed_at timestamp, raw_count long, valid_count long, max_event_time timestamp, lag_seconds long"
 CONTRIBUTIONS = "minute_start timestamp, service string, request_count long, latency_sum long, max_latency_ms int, generation string, epoch long"
 RAW_LEAF = ["ingest_date", "ingest_hour", "rotation_5m", "generation", "epoch"]
+#: Records of ended epochs that the state of the control holds before they are written as one file of the record.
+RECENT = 64
 
 
-class Generations:
-    """The registry of generations, a row for each: its query and checkpoint, its lineage, and whether it is the active one."""
+class Control:
+    """The control of epochs and generations under one folder: a small state, replaced by one commit for each step.
+
+    The state holds each generation (query, checkpoint, lineage, status, is_active, first and last successful epoch), the epoch
+    that each has open, and the records of the last ended epochs. An epoch's success, its generation's activation, the end of
+    the old one and the lineage are one commit, so a crash is before or after all of them. As successful epochs have no
+    gaps, first and last say which they are; older records are rows of Parquet files that no step reads."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.commits = spark, path, Commits(spark, path)
 
-    def rows(self) -> DataFrame:
-        return self.spark.read.schema(GENERATIONS).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], GENERATIONS)
+    def state(self) -> dict:
+        return self.commits.last()[1] or {"generations": {}, "open": {}, "recent": [], "files": []}
 
-    def _known(self) -> dict[str, dict]:
-        """The registry has a row for each checkpoint ever used, a few."""
-        return {r["generation"]: r.asDict() for r in self.rows().collect()}
+    def update(self, change: Callable[[dict], None]) -> None:
+        """Commit the state as changed; on a race with another query the change is made again to the newer state."""
 
-    def write(self, row: dict) -> None:
-        names = [c.split()[0] for c in GENERATIONS.split(", ")]
-        overwrite_partitions(self.spark.createDataFrame([tuple(row[n] for n in names)], GENERATIONS).coalesce(1), self.path, ["generation"])
+        def changed(state: dict | None) -> dict:
+            state = state or {"generations": {}, "open": {}, "recent": [], "files": []}
+            change(state)
+            return state
 
-    def check(self, generation: str, query: str, checkpoint: str) -> None:
-        """Raise if the generation belongs to another query or checkpoint, or was superseded."""
-        check_generation(self._known(), generation, query, checkpoint)
+        self.commits.update(changed)
 
-    def activate(self, generation: str, query: str, checkpoint: str, epoch: int, active_last: Callable[[str], int]) -> None:
-        """Make a generation the active one of its query from its first successful epoch on; the old one is superseded. It
-        keeps the old one's lineage if it goes on where that stopped (active_last: last epoch of a generation)."""
-        known = self._known()
-        if known.get(generation, {}).get("is_active"):
-            return
-        old = next((g for g in known.values() if g["query"] == query and g["is_active"]), None)
-        lineage = lineage_of(generation, epoch, active_last(old["generation"]) if old else None, old["lineage"] if old else None)
-        self.write({"generation": generation, "query": query, "checkpoint": checkpoint, "lineage": lineage, "status": "active", "is_active": True})
-        if old:
-            self.write(old | {"status": "superseded", "is_active": False})
+    def last_success(self, generation: str) -> int:
+        return self.state()["generations"].get(generation, {}).get("last", -1)
 
-    def active_lineage(self, query: str) -> list[str]:
-        """Every generation in the lineage of the query's active one."""
-        known = [g for g in self._known().values() if g["query"] == query]
-        alive = {g["lineage"] for g in known if g["is_active"]}
-        return sorted(g["generation"] for g in known if g["lineage"] in alive)
+    def record(self, generation: str, epoch: int) -> dict | None:
+        """An epoch's record; of ended ones the last RECENT and more."""
+        state = self.state()
+        now = state["open"].get(generation)
+        if now and now["epoch"] == epoch:
+            return now
+        return next((r for r in reversed(state["recent"]) if (r["generation"], r["epoch"]) == (generation, epoch)), None)
 
+    def check(self, generation: str, query: str, checkpoint: str) -> None:
+        """Raise if the generation belongs to another query or checkpoint, or was superseded."""
+        check_generation(self.state()["generations"], generation, query, checkpoint)
 
-class EpochLog:
-    """The record of epochs of one generation: a row for each, replaced by its key."""
+    def reserve(self, generation: str, epoch: int) -> tuple[datetime, bool]:
+        """When the epoch landed, and whether it was tried before: a retry keeps the first attempt's time, so that the same
+        events are judged late."""
+        known, now = self.record(generation, epoch), datetime.now(timezone.utc)
+        landed = known["landed_at"] if known else now.timestamp()
+        self.update(lambda s: s["open"].update({generation: {"generation": generation, "epoch": epoch, "status": "running", "landed_at": landed}}))
+        return datetime.fromtimestamp(landed, timezone.utc), known is not None
+
+    def failed(self, generation: str, epoch: int) -> None:
+        def change(state: dict) -> None:
+            if (now := state["open"].get(generation)) and now["epoch"] == epoch:
+                now["status"] = "failed"
+
+        self.update(change)
+
+    def succeed(self, generation: str, query: str, checkpoint: str, epoch: int, stats: dict) -> None:
+        """One commit: the epoch's success, and from a generation's first one its activation; the old one of the query is
+        superseded, and its lineage goes on if the new one starts where it stopped."""
+
+        def change(state: dict) -> None:
+            known = state["generations"]
+            own = known.get(generation)
+            if not (own and own["is_active"]):
+                old = next((g for g in known.values() if g["query"] == query and g["is_active"]), None)
+                lineage = lineage_of(generation, epoch, old["last"] if old else None, old["lineage"] if old else None)
+                if old:
+                    old |= {"status": "superseded", "is_active": False}
+                known[generation] = own = {"query": query, "checkpoint": checkpoint, "lineage": lineage, "status": "active", "is_active": True, "first": epoch, "last": epoch}
+            own["last"] = epoch
+            opened = state["open"].pop(generation, {})
+            state["recent"].append(opened | stats | {"generation": generation, "epoch": epoch, "status": "success"})
+
+        self.update(change)
+        self._compact()
+
+    def _compact(self) -> None:
+        """Move the records of a full state into one file; a crash between leaves a file that no state names."""
+        done = self.state()["recent"]
+        if len(done) < 2 * RECENT:
+            return
+        place = f"records/{uuid.uuid4().hex}"
+        old = done[:-RECENT]
+        self._frame(old).coalesce(1).write.parquet(f"{self.path}/{place}")
 
-    def __init__(self, spark: SparkSession, path: str, generation: str):
-        self.spark, self.path, self.generation = spark, path, generation
+        def change(state: dict) -> None:
+            if state["recent"][: len(old)] == old:
+                state["recent"] = state["recent"][len(old) :]
+                state["files"].append(place)
 
-    def rows(self) -> DataFrame | None:
-        if not exists(self.spark, self.path):
-            return None
-        return self.spark.read.schema(EPOCHS).parquet(self.path).filter(F.col("generation") == self.generation)
+        self.update(change)
 
-    def last_success(self) -> int:
-        found = self.rows()
-        top = None if found is None else found.filter("status = 'success'").agg(F.max("epoch")).first()[0]
-        return -1 if top is None else top
+    def _frame(self, records: list[dict]) -> DataFrame:
+        names = [c.split()[0] for c in EPOCHS.split(", ")]
+        at = lambda r, n: datetime.fromtimestamp(r[n], timezone.utc) if n in ("landed_at", "max_event_time") and r.get(n) is not None else r.get(n)
+        return self.spark.createDataFrame([tuple(at(r, n) for n in names) for r in records], EPOCHS)
 
-    def read(self, epoch: int) -> Row | None:
-        found = self.rows()
-        return None if found is None else found.filter(F.col("epoch") == epoch).first()
+    def records(self) -> DataFrame:
+        """All records of epochs."""
+        state = self.state()
+        rows = self._frame(state["recent"] + list(state["open"].values()))
+        files = [f"{self.path}/{f}" for f in state["files"]]
+        return rows.unionByName(self.spark.read.schema(EPOCHS).parquet(*files)) if files else rows
 
-    def reserve(self, epoch: int) -> tuple[datetime, bool]:
-        """When the epoch landed, and whether it was tried before: a retry keeps the first attempt's time, so that the same
-        events are judged late."""
-        if (row := self.read(epoch)) and row["landed_at"]:
-            landed = row["landed_at"]
-        else:
-            landed = datetime.now(timezone.utc)
-        self.write(epoch, "running", landed)
-        return landed, row is not None
+    def active_lineage(self, query: str) -> list[str]:
+        """Every generation in the lineage of the query's active one."""
+        known = {n: g for n, g in self.state()["generations"].items() if g["query"] == query}
+        alive = {g["lineage"] for g in known.values() if g["is_active"]}
+        return sorted(n for n, g in known.items() if g["lineage"] in alive)
 
-    def write(self, epoch: int, status: str, landed: datetime, stats: Row | None = None) -> None:
-        figures = (stats["raw_count"], stats["valid_count"], stats["max_event_time"], stats["lag_seconds"]) if stats else (0, 0, None, None)
-        row = self.spark.createDataFrame([(*figures, landed, status, self.generation, epoch)], EPOCHS)
-        overwrite_partitions(row.coalesce(1), self.path, ["generation", "epoch"])
+    def done(self, generations: list[str]) -> Column:
+        """Whether a row's (generation, epoch) is a successful one of the given generations: ranges, which prune folders."""
+        known = self.state()["generations"]
+        ranges = [(F.col("generation") == n) & F.col("epoch").between(known[n]["first"], known[n]["last"]) for n in generations if n in known]
+        return reduce(lambda a, b: a | b, ranges, F.lit(False))
 
 
 def epoch_writer(
     spark: SparkSession, base: str, generation: str, *, query: str = "service_logs", checkpoint: str | None = None, max_delay_seconds: int = 120, fail: Callable[[str, int], None] | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch of the second contract: reserve, raw rows, contribution, success, activation. A retry judges events by
-    the time of the first attempt and replaces all that its epoch wrote before, so a crash between steps and a replay
-    end in the same tables; a finished epoch is skipped. fail(step, epoch) lets tests break a step."""
-    record, registry = EpochLog(spark, f"{base}/control/epochs", generation), Generations(spark, f"{base}/control/generations")
+    """foreachBatch of the second contract: reserve, raw rows, contribution, and one commit of success and activation. A retry
+    judges events by the time of the first attempt and replaces all that its epoch wrote before, so a crash between steps
+    and a replay end in the same tables; a finished epoch is skipped. fail(step, epoch) lets tests break a step."""
+    control = Control(spark, f"{base}/control")
     checkpoint = checkpoint or f"{base}/checkpoints/{generation}"
     own = {"generation": generation}
+    fail = fail or (lambda step, epoch: None)
 
     def process(batch: DataFrame, epoch: int) -> None:
-        registry.check(generation, query, checkpoint)
-        known = record.read(epoch)
-        if epoch_action(epoch, record.last_success(), known["status"] if known else None) == "replay":
+        control.check(generation, query, checkpoint)
+        known = control.record(generation, epoch)
+        if epoch_action(epoch, control.last_success(generation), known["status"] if known else None) == "replay":
             return
-        landed, again = record.reserve(epoch)
+        fail("start", epoch)
+        landed, again = control.reserve(generation, epoch)
+        fail("reserved", epoch)
         numbers = {"generation": F.lit(generation), "epoch": F.lit(epoch).cast("long")}
         classified = logs.classify_v2(batch, max_delay_seconds, F.lit(landed)).withColumns(numbers).persist()
         try:
@@ -163,17 +209,16 @@ def epoch_writer(
                 for table, by in (("raw", RAW_LEAF), ("contributions", ["generation", "epoch"])):
                     drop_partitions(spark, f"{base}/{table}", by, own | {"epoch": epoch})
             overwrite_partitions(classified, f"{base}/raw", RAW_LEAF)
-            if fail:
-                fail("raw", epoch)
+            fail("raw", epoch)
             part = logs.partials(classified.filter("is_valid")).withColumns(numbers)
             overwrite_partitions(part, f"{base}/contributions", ["generation", "epoch"])
-            if fail:
-                fail("contributions", epoch)
-            stats = logs.ingestion_lag(logs.batch_stats(classified), F.current_timestamp()).first()
-            record.write(epoch, "success", landed, stats)
-            registry.activate(generation, query, checkpoint, epoch, lambda g: EpochLog(spark, record.path, g).last_success())
-        except BaseException:
-            record.write(epoch, "failed", landed)
+            fail("contributions", epoch)
+            stats = logs.ingestion_lag(logs.batch_stats(classified), F.current_timestamp()).withColumn("max_event_time", F.unix_micros("max_event_time") / 1e6)
+            stats = stats.select("raw_count", "valid_count", "max_event_time", "lag_seconds").first().asDict()
+            control.succeed(generation, query, checkpoint, epoch, stats)
+            fail("succeeded", epoch)
+        except Exception:
+            control.failed(generation, epoch)
             raise
         finally:
             classified.unpersist()
@@ -190,7 +235,6 @@ def start_epochs(source: DataFrame, base: str, generation: str, *, every: str |
 
 def live_report(spark: SparkSession, base: str, generations: list[str] | None = None, query: str = "service_logs") -> DataFrame:
     """The live report over the contributions of successful epochs of the given generations, or of the query's active lineage."""
-    if generations is None:
-        generations = Generations(spark, f"{base}/control/generations").active_lineage(query)
-    done = spark.read.schema(EPOCHS).parquet(f"{base}/control/epochs").filter("status = 'success'").filter(F.col("generation").isin(generations)).select("generation", "epoch")
-    return logs.live_view(spark.read.schema(CONTRIBUTIONS).parquet(f"{base}/contributions").join(done, ["generation", "epoch"], "left_semi"))
+    control = Control(spark, f"{base}/control")
+    generations = control.active_lineage(query) if generations is None else generations
+    return logs.live_view(spark.read.schema(CONTRIBUTIONS).parquet(f"{base}/contributions").filter(control.done(generations)))

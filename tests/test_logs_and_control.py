@@ -164,7 +164,7 @@ def test_a_retry_judges_events_by_the_first_attempt(spark, tmp_path, monkeypatch
     Clock.at = now + timedelta(minutes=7)
     process(batch, 0)
     assert [(r["request_count"], r["avg_latency_ms"]) for r in service_logs.live_report(spark, base).collect()] == [(1, 10.0)]
-    record = service_logs.EpochLog(spark, f"{base}/control/epochs", "g").read(0)
+    record = service_logs.Control(spark, f"{base}/control").record("g", 0)
     assert (record["status"], record["raw_count"], record["valid_count"]) == ("success", 2, 1) and record["lag_seconds"] > 0
     assert spark.read.parquet(f"{base}/raw").count() == 2
 
@@ -183,3 +183,68 @@ def test_generations_are_registered_and_superseded(spark, tmp_path):
         first(epoch_batch(spark, times[2]), 1)
     service_logs.epoch_writer(spark, base, "g3", **late)(epoch_batch(spark, times[3]), 0)  # starts anew
     assert [str(r["minute_start"])[11:16] for r in service_logs.live_report(spark, base).collect()] == ["10:03"]
+
+
+class Killed(BaseException):
+    """The process ends: nothing after it runs."""
+
+
+@pytest.mark.parametrize("step", ["start", "reserved", "raw", "contributions", "succeeded"])
+@pytest.mark.parametrize("first", [True, False])
+def test_a_kill_between_any_two_writes_leaves_a_whole_report(spark, tmp_path, step, first):
+    """A new generation that starts its own lineage, or goes on with the old one, is killed in its first epoch."""
+    base, times, late = str(tmp_path), [f"2026-07-01T10:0{k}:00Z" for k in range(3)], {"max_delay_seconds": 10**9}
+    service_logs.epoch_writer(spark, base, "g1", **late)(epoch_batch(spark, times[0]), 0)
+    epoch, killed = 0 if first else 1, []
+
+    def fail(at, number):
+        if at == step and not killed:
+            killed.append(at)
+            raise Killed
+
+    minutes = lambda: sorted(str(r["minute_start"])[14:16] for r in service_logs.live_report(spark, base).collect())
+    wanted = ["01"] if first else ["00", "01"]
+    with pytest.raises(Killed):
+        service_logs.epoch_writer(spark, base, "g2", fail=fail, **late)(epoch_batch(spark, times[1]), epoch)
+    assert minutes() == (wanted if step == "succeeded" else ["00"])
+    again = service_logs.epoch_writer(spark, base, "g2", **late)
+    again(epoch_batch(spark, times[1]), epoch)
+    assert minutes() == wanted
+    again(epoch_batch(spark, times[2]), epoch + 1)
+    assert minutes() == [*wanted, "02"]
+    states = service_logs.Control(spark, f"{base}/control").state()["generations"]
+    assert [g for g, v in states.items() if v["is_active"]] == ["g2"]
+
+
+def test_records_are_compacted_and_no_step_lists_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(service_logs, "RECENT", 3)
+    control = service_logs.Control(spark, str(tmp_path / "control"))
+    for epoch in range(20):
+        control.reserve("g", epoch)
+        control.succeed("g", "q", "c", epoch, {"raw_count": epoch})
+    rows = control.records()
+    assert sorted((r["epoch"], r["raw_count"], r["status"]) for r in rows.collect()) == [(k, k, "success") for k in range(20)]
+    state = control.state()
+    assert len(state["recent"]) < 6 and control.last_success("g") == 19 and len(state["files"]) >= 4
+    monkeypatch.setattr(type(spark), "read", property(lambda self: pytest.fail("a step reads files of records")))
+    assert control.last_success("g") == 19 and control.record("g", 19)["raw_count"] == 19
+    control.reserve("g", 20)
+    assert len(control.commits.numbers()) <= 3
+
+
+def test_two_queries_share_a_control(spark, tmp_path):
+    """Both race for the same commit; the loser makes its change again."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "control")
+
+    def run(query):
+        control = service_logs.Control(spark, path)
+        for epoch in range(6):
+            control.reserve(query, epoch)
+            control.succeed(query, query, "c" + query, epoch, {"raw_count": 1})
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(run, ["a", "b", "c"]))
+    state = service_logs.Control(spark, path).state()
+    assert {g: v["last"] for g, v in state["generations"].items()} == {"a": 5, "b": 5, "c": 5} and len(state["recent"]) == 18

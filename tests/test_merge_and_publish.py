@@ -134,19 +134,118 @@ def test_jdbc_round_trip(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 4 and sorted(r["k"] for r in rows.collect()) == list(range(50))
 
 
-def test_a_crash_before_the_pointer_leaves_the_old_table(spark, tmp_path, monkeypatch):
+def test_a_crash_before_the_commit_leaves_the_old_table(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     sinks.load(spark.range(3).selectExpr("id"), path, "replace")
-    point = sinks._point
-    monkeypatch.setattr(sinks, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    add = sinks.Commits.add
+    monkeypatch.setattr(sinks.Commits, "add", lambda *a: (_ for _ in ()).throw(OSError("lost")))
     with pytest.raises(OSError):
         sinks.load(spark.range(9).selectExpr("id"), path, "append")
     assert sinks.published(spark, path).count() == 3
-    monkeypatch.setattr(sinks, "_point", point)
+    monkeypatch.setattr(sinks.Commits, "add", add)
     for n in (5, 7, 9):
         sinks.load(spark.range(2).selectExpr("id"), path, "append")
         assert sinks.published(spark, path).count() == n
-    assert len(sinks._pointers(spark, path)) == 2
+    assert len(sinks.Commits(spark, f"{path}/commits").numbers()) == 3
+
+
+def test_a_second_writer_of_a_version_fails(spark, tmp_path):
+    from salesflow.sources.commits import Conflict
+
+    path = str(tmp_path / "t")
+    sinks.load(spark.range(3).selectExpr("id"), path, "replace")
+    one, two = sinks.Published(spark, path), sinks.Published(spark, path)
+    one.append(spark.range(3, 5).selectExpr("id"))
+    two.append(spark.range(10, 20).selectExpr("id"))
+    one.commit()
+    with pytest.raises(Conflict):
+        two.commit()
+    assert sorted(r["id"] for r in sinks.published(spark, path).collect()) == [0, 1, 2, 3, 4]
+    work = sinks.Transaction(spark, path)
+    work.delete("id = 0")
+    sinks.load(spark.range(7, 8).selectExpr("id"), path, "append")
+    with pytest.raises(Conflict):
+        work.commit()
+    assert sinks.published(spark, path).count() == 6
+
+
+def test_many_writers_publish_one_version_each(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from salesflow.sources.commits import Commits, Conflict
+
+    log = Commits(spark, str(tmp_path / "c"))
+
+    def add(k):
+        try:
+            log.add(7, {"writer": k})
+            return k
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [k for k in pool.map(add, range(16)) if k is not None]
+    assert len(won) == 1 and log.last() == (7, {"writer": won[0]})
+
+
+def files_of(path):
+    return {str(p.relative_to(path)) for p in path.rglob("*.parquet")}
+
+
+def test_a_window_writes_its_partitions_only(spark, tmp_path):
+    """A thousand closed 5-minute windows are there; one more run writes the files of its own window."""
+    report = sinks.WindowReport(spark, str(tmp_path / "r"), "at", pattern="yyyyMMddHHmm")
+    good = spark.createDataFrame([(str(k), True) for k in range(8)], "check_name string, passed boolean")
+    rows = lambda a, n: spark.range(a, a + n).selectExpr("timestamp'2026-07-01' + make_interval(0,0,0,0,0,cast(id * 5 as int),0) AS at", "id")
+    assert report.publish("all", "2026-07-01 00:00", "2026-07-04 11:20", {"x": rows(0, 1000), "y": rows(0, 1000)}, {"x": 1000, "y": 1000}, good) == "published"
+    before = files_of(tmp_path / "r/data/x")
+    assert report.publish("one", "2026-07-02 00:00", "2026-07-02 00:05", {"x": rows(288, 1).withColumn("id", F.lit(-1)), "y": rows(288, 1)}, {"x": 1, "y": 1}, good) == "published"
+    new = files_of(tmp_path / "r/data/x") - before
+    assert len(new) == 1 and all("_slot=202607020000" in f for f in new)
+    assert report.read("x").agg(F.count("id"), F.sum("id")).first() == (1000, 999 * 500 - 288 - 1)
+    state = sinks.Published(spark, str(tmp_path / "r")).state["tables"]["x"]["folders"]
+    assert len(state) == 1000
+
+
+def test_append_merge_and_dml_keep_untouched_folders(spark, tmp_path):
+    path, at = str(tmp_path / "t"), tmp_path / "t/data/rows"
+    rows = spark.range(40).selectExpr("id", "concat('p +%', id % 4) AS part", "'old' AS v")
+    sinks.load(rows, path, "replace", by=["part"])
+    first = files_of(at)
+    sinks.load(spark.range(100, 104).selectExpr("id", "'p +%1' AS part", "'new' AS v"), path, "append")
+    second = files_of(at)
+    assert first < second and len({f.split("/")[1] for f in second - first}) == 1
+    sinks.load(spark.range(2, 3).selectExpr("id", "'p +%2' AS part", "'merged' AS v"), path, "merge", ["id"])
+    state = set(sinks.Published(spark, path).folders())
+    assert sum(f.rsplit("/", 1)[0] in state for f in first) == len([f for f in first if not f.split("/")[1].endswith("2")])
+    work = sinks.Transaction(spark, path)
+    work.update("id = 3", v="'changed'")
+    work.delete("v = 'changed' OR id = 103")
+    work.insert(spark.range(7, 8).selectExpr("-id AS id", "'p +%0' AS part", "'new' AS v"))
+    work.update("id = -7", v="'late'")
+    work.commit()
+    now = set(sinks.Published(spark, path).folders())
+    assert any(f.endswith("0") for f in now & state)  # the partition of -7 keeps its old folder
+    got = {r["id"]: r["v"] for r in sinks.published(spark, path).collect()}
+    assert got == {**{k: "old" for k in range(40) if k not in (2, 3)}, **{k: "new" for k in range(100, 103)}, 2: "merged", -7: "late"}
+
+
+def test_old_versions_are_cleaned(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(8):
+        sinks.load(spark.range(n + 1).selectExpr("id"), path, "replace")
+    assert len(list((tmp_path / "t/data/rows").iterdir())) == 3 and sinks.published(spark, path).count() == 8
+    for n in range(40):
+        sinks.Published(spark, path).append(spark.range(1).selectExpr("id"))  # never committed: stays out of sight
+    assert sinks.published(spark, path).count() == 8
+
+
+def test_many_appends_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MOST_FOLDERS", 3)
+    path = str(tmp_path / "t")
+    for n in range(9):
+        sinks.load(spark.range(n, n + 1).selectExpr("id"), path, "append")
+    assert len(sinks.Published(spark, path).folders()) <= 4 and sorted(r["id"] for r in sinks.published(spark, path).collect()) == list(range(9))
 
 
 def test_numbers_are_dense_under_adaptive_coalescing(spark):

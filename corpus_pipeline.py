@@ -19,6 +19,11 @@ from salesflow.llm.quality import keep_good
 from salesflow.llm.queries import vocabulary
 
 
+#: Parameters of the mixing stage: tokens drawn as a part of all, passes over a source at most, and the entropy of the weights as a
+#: part of that of equal ones.
+BUDGET_SHARE, MAX_REPEATS, TARGET_ENTROPY = 0.8, 2.0, 0.98
+
+
 def _columns(docs: DataFrame) -> list[Column]:
     return [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
 
@@ -49,9 +54,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to tempered source weights; no source is passed more than once, and one that is
-    used up lowers no other. A null source is a source; empty texts are kept once; repeated rows count each."""
-    return mixed_documents(docs, target_entropy=0.98, max_repeats=1.0, fill=True)
+    """Documents drawn to source weights tempered to TARGET_ENTROPY, BUDGET_SHARE of the corpus' tokens in all: of a large
+    source a part, of a small one up to MAX_REPEATS passes (a row for each copy); a source at that limit lowers no other.
+    A null source is a source; empty texts are kept once; repeated rows count each."""
+    return mixed_documents(docs, target_entropy=TARGET_ENTROPY, max_repeats=MAX_REPEATS, budget_share=BUDGET_SHARE, fill=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -844,3 +844,41 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
         check_sequences(pieces, [r["length"] for r in pieces])
     exact = [r["doc_id"] for r in corpus_pipeline.exact(spark, odd, "").collect()]
     assert sorted(exact, key=str) == sorted([1, 3, 4, 5, 6, 7, None, 8, 9, 10, 11, 12], key=str)
+
+
+def test_the_mixing_stage_draws_its_budgets(spark):
+    """Kept tokens of each source are its budget within one document; large sources lose documents, small ones come twice."""
+    import corpus_pipeline as p
+
+    rows = [(i, "w " * (1 + i % 7), "hot" if i % 3 == 0 else f"s{i % 23}") for i in range(3000)] + [(9000 + i, "w w", "tiny") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = p.mixing(spark, docs, "").collect()
+    size: dict = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    whole = sum(size.values())
+
+    def weights(a):
+        u = {s: (n / whole) ** a for s, n in size.items()}
+        return {s: x / sum(u.values()) for s, x in u.items()}
+
+    entropy = lambda w: -sum(x * math.log(x) for x in w.values())
+    low, high = 0.0, 1.0
+    for _ in range(80):
+        a = (low + high) / 2
+        low, high = (a, high) if entropy(weights(a)) >= p.TARGET_ENTROPY * math.log(len(size)) else (low, a)
+    share, clipped = weights(low), set()
+    while True:  # sources over their passes are clipped, the others share what is freed
+        free = p.BUDGET_SHARE * whole - sum(p.MAX_REPEATS * size[s] for s in clipped)
+        rest = sum(w for s, w in share.items() if s not in clipped)
+        budget = {s: p.MAX_REPEATS * size[s] if s in clipped else free * w / rest for s, w in share.items()}
+        if not (over := {s for s in budget if budget[s] > p.MAX_REPEATS * size[s]}):
+            break
+        clipped |= over
+    drawn = {s: sum(len(r["text"].split()) for r in out if r["source"] == s) for s in size}
+    assert all(abs(drawn[s] - budget[s]) <= 7 + 1 for s in size)
+    times = {}
+    for r in out:
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+    assert drawn["tiny"] == 2 * size["tiny"] and max(times.values()) == 2
+    assert len({r["doc_id"] for r in out if r["source"] == "hot"}) < 0.8 * sum(s == "hot" for _, _, s in rows)

@@ -95,11 +95,12 @@ def held_out(modulus: int, remainder: int, doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, train_rows: int) -> DataFrame:
-    """At most `train_rows` rows (h, y, text) to learn from: smallest hashed doc_id first."""
+    """At most `train_rows` rows (h, y, text) to learn from: smallest hashed doc_id first; of repeated rows of a doc_id the smallest
+    text, once."""
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(modulus, remainder)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     picked = usable.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id", F.lit(17))).orderBy("h", "doc_id").limit(train_rows)
     # at most train_rows rows of three numbers: a proven bound
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(picked), "doc_id").select("h", "y", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "h", "y").agg(F.min("text").alias("text")).select("h", "y", "text")
 
 
 # ---------------------------------------------------------------- fitting

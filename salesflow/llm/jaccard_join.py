@@ -481,6 +481,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     sets = texts.mapInArrow(_sets(k, True), "doc_id long, n long, s1 long, s2 long, hashes binary")
     # repeated rows of a doc_id are alike here or belong to another class
     sets = saved(sets.join(classes.select(F.col("cid"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("cid")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).select("cid", "n", "hashes"))
+    if not own.filter("n_rows > 1 AND doc_id IS NOT NULL").isEmpty():  # repeated rows: one set for each class
+        sets = saved(sets.dropDuplicates(["cid"]))
     sizes = {r["n"]: r["c"] for r in sets.filter(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     merged, links, n_sets, r = sets.withColumn("component", F.col("cid")), None, sets.count(), 0
     while True:

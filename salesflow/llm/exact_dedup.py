@@ -109,7 +109,8 @@ def _compare(docs: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
     own = texts.join(named, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("sha")))
     rows = saved(_chunks(own, "doc_id", "sha", "rep_doc", "rep_sha", "salts", "f1", "f2", chunk=chunk))
     is_rep = F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("sha") == F.col("rep_sha"))
-    reps = rows.filter(is_rep).select(F.col("rep_doc").alias("r"), F.col("rep_sha").alias("rs"), F.col("c").alias("rc"), F.col("chunk").alias("rep_chunk"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("rsalt"))
+    # repeated rows of a representative are one, so that a member's chunks meet one each
+    reps = rows.filter(is_rep).dropDuplicates(["rep_doc", "rep_sha", "c"]).select(F.col("rep_doc").alias("r"), F.col("rep_sha").alias("rs"), F.col("c").alias("rc"), F.col("chunk").alias("rep_chunk"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("rsalt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "sha"), F.col("salts")).cast("int"))
     met = salted.join(reps, F.col("rep_doc").eqNullSafe(F.col("r")) & (F.col("rep_sha") == F.col("rs")) & (F.col("c") == F.col("rc")) & (F.col("salt") == F.col("rsalt")))
     return met.groupBy("doc_id", "sha", "rep_doc", "rep_sha", "n_bytes", "f1", "f2").agg(F.bool_and(F.col("chunk") == F.col("rep_chunk")).alias("same"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Seconds of the stream's contract.
 LATENESS, SETTLEMENT, HEARTBEAT, STUCK, LAG = 120, 180, 90, 120, 60
+#: Fixed value: how much of a failure's text is kept.
+FAILURE_CHARS = 4000
 #: The longest gaps that one scheduled run may fill.
 LONGEST_GAP = {"promotions": timedelta(days=31), "logs": timedelta(days=7)}
 
@@ -139,10 +141,11 @@ def quality_failed(runs: DataFrame, checks: DataFrame) -> DataFrame:
     return met.withColumn("status", F.when(F.col("_run").isNotNull() & (F.col("status") != "success"), "quality_failed").otherwise(F.col("status"))).drop("_run")
 
 
-def stream_health(batches: DataFrame, now: str) -> DataFrame:
+def stream_health(batches: DataFrame, now: str | Column) -> DataFrame:
     """query, verdict of the last batch: stuck, failed, stopped, lagging or healthy."""
     last = latest_of(batches, "query")
-    age = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds("updated_at")
+    at = now if isinstance(now, Column) else F.lit(now)
+    age = F.unix_seconds(at.cast("timestamp")) - F.unix_seconds("updated_at")
     verdict = (
         F.when((F.col("status") == "running") & (age > STUCK), "stuck").when(~F.col("status").isin("success", "running"), "failed").when(age > HEARTBEAT, "stopped").when(F.col("lag_seconds") > LAG, "lagging").otherwise("healthy")
     )

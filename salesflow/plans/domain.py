@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from salesflow.sources.commits import fs_of
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -30,6 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else rows
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    """A given table's files as a stream, be it one file or a folder of part files; zone-less times are read as UTC."""
+    place = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(place).schema
+    fs, at = fs_of(spark, place)
+    reader = spark.readStream.schema(schema).options(**options)
+    rows = reader.parquet(place) if fs.getFileStatus(at).isDirectory() else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    times = [f.name for f in schema if f.dataType.simpleString() == "timestamp_ntz"]
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else rows
+
+
 def money(column: str):
     return F.col(column).cast("decimal(12,2)")
 

@@ -72,14 +72,15 @@ def m5_incremental_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Promotion records as text, broken by key, every 29th twice."""
+    """Promotion records as text, broken by key, every 29th again on a second page."""
     k = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(
         k.alias("record_index"), F.when(k % 31 != 0, F.concat(F.lit("p"), k)).alias("promotion_id"), k.cast("string").alias("product_id"), F.lit("sale").alias("promotion_name"), F.when(k % 7 == 0, "gift").otherwise("percentage").alias("discount_type"),
         F.when(k % 11 == 0, "150").when(k % 13 == 0, "-5").when(k % 17 == 0, "ten").otherwise("10").alias("discount_value"), F.lit("2026-01-01T00:00:00Z").alias("starts_at"), F.when(k % 19 == 0, "2025-01-01T00:00:00Z").otherwise("2026-02-01T00:00:00Z").alias("ends_at"),
         F.when(k % 23 != 0, "active").alias("status"), F.lit("1").alias("version"), F.lit("2026-01-01T00:00:00Z").alias("updated_at"),
     )
-    return rows.unionByName(rows.filter("record_index % 29 = 0").withColumn("record_index", F.col("record_index") + 10_000_000))
+    first, again = rows.withColumn("page", F.lit(1)), rows.filter("record_index % 29 = 0").withColumn("page", F.lit(2))
+    return first.unionByName(again)
 
 
 _REASONS = """concat_ws('; ', CASE WHEN k % 31 = 0 THEN 'promotion_id is required' END, CASE WHEN k % 7 = 0 THEN 'discount_type is unknown' END, CASE WHEN k % 13 = 0 AND k % 11 <> 0 THEN 'discount_value is negative' END, CASE WHEN k % 11 = 0 AND k % 7 <> 0 THEN 'percentage is over 100' END,
@@ -89,7 +90,7 @@ _REASONS = """concat_ws('; ', CASE WHEN k % 31 = 0 THEN 'promotion_id is require
 @query(f"SELECT {_REASONS} AS reason, count(*) AS rows FROM (SELECT p_partkey AS k FROM part) GROUP BY 1")
 def q2_promotion_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons of the promotion contract."""
-    rows = _records(spark, sf_dir).filter("record_index < 10000000").withColumn("reason", all_reasons(promotion_rules(2)))
+    rows = _records(spark, sf_dir).filter("page = 1").withColumn("reason", all_reasons(promotion_rules(2)))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -127,12 +128,11 @@ def a16_requests_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOGS} SELECT strftime(date_trunc('minute', event_time), '%Y-%m-%d %H:%M') AS minute_start, service, count(*) AS request_count, round(sum(latency_ms)::DOUBLE / count(*), 3) AS avg_latency_ms, CAST(max(latency_ms) AS BIGINT) AS max_latency_ms FROM logs GROUP BY 1, 2")
 def a17_live_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four epochs' partials, one of them written twice, merged: as one pass over all events."""
-    events = domain.logs(spark, sf_dir)
-    held = None
-    for epoch in (0, 1, 2, 2, 3):
-        part = log_ops.partials(events.filter(F.col("event_id") % 4 == epoch)).withColumn("epoch", F.lit(epoch))
-        held = part if held is None else merge.upsert(held, part, ["epoch", "minute_start", "service"])
+    """Four epochs' partials, of one that was written twice the last attempt, merged: as one pass over all events."""
+    tries = F.when(F.col("event_id") % 4 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    events = domain.logs(spark, sf_dir).withColumns({"epoch": F.col("event_id") % 4, "attempt": F.explode(tries)})
+    parts = log_ops.partials(events, "epoch", "attempt")
+    held = parts.groupBy("epoch", "minute_start", "service").agg(F.max_by(F.struct(*log_ops.PARTIAL), "attempt").alias("p")).select("epoch", "minute_start", "service", "p.*")
     return log_ops.live_view(held).select(text("minute_start"), "service", "request_count", "avg_latency_ms", big("max_latency_ms"))
 
 
@@ -186,14 +186,11 @@ def t4_window_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LOGS}, closed AS (SELECT date_trunc('minute', max(event_time) - INTERVAL 60 SECOND) AS mark, max(event_time) - INTERVAL 60 SECOND AS watermark FROM logs)
 SELECT strftime(date_trunc('day', event_time), '%Y-%m-%d %H:%M') AS window_start, service, CAST(status_code AS BIGINT) AS status_code, count(*) AS requests FROM logs WHERE date_trunc('day', event_time) + INTERVAL 1 DAY <= (SELECT watermark FROM closed) GROUP BY 1, 2, 3""")
 def t5_stream_append_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream's windowed report in append mode: windows that the watermark has passed. The events table is read as a
-    file stream, all available once, and the emitted windows are read back."""
+    """A stream's windowed report in append mode: windows that the watermark has passed. The files of the events table are a
+    stream, all available once, and the emitted windows are read back."""
     from salesflow.streaming.service_logs import windowed
 
-    base = shared_place(spark, "stream")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # a file is a batch of the stream; the table's file is named by its folder and a glob
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    base, source = shared_place(spark, "stream"), domain.table_stream(spark, sf_dir, "events")
     kind = F.col("event_type")
     status = F.when(kind == "error", 500).when(kind == "signup", 201).when(kind == "click", 302).otherwise(200)
     typed = source.select(F.col("ts").cast("timestamp").alias("event_time"), F.concat(F.lit("svc"), F.col("user_id") % 3).alias("service"), status.alias("status_code"), F.floor(F.abs("value")).cast("int").alias("latency_ms"), F.lit(True).alias("is_valid"), F.lit(None).cast("string").alias("rejection_reason"))
@@ -337,7 +334,7 @@ SELECT query, CASE WHEN event_id % 3 = 0 AND floor(epoch(now))::BIGINT - floor(e
 def c8_stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on each query's last batch."""
     events = table(spark, sf_dir, "events")
-    now = events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("n")).first()["n"]
+    now = events.select(F.date_trunc("second", F.max("ts"))).scalar()
     k = F.col("event_id")
     batches = events.select(F.concat("event_type", "user_id").alias("query"), k.alias("batch_id"), F.col("ts").alias("updated_at"), F.when(k % 3 == 0, "running").when(k % 3 == 1, "failed").otherwise("success").alias("status"), (k % 100).alias("lag_seconds"))
     return control.stream_health(batches, now)
@@ -380,9 +377,9 @@ def t10_epoch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two epochs, the second of which breaks after its raw write and is tried again, and a replay: each event counts once."""
     from salesflow.streaming.service_logs import epoch_writer, live_report
 
-    # an epoch's events arrive together: its raw rows fall into one leaf of five minutes
-    arrived = F.timestamp_seconds(F.lit(1_767_225_600) + 600 * (F.col("offset") % 2))
-    base, raw = shared_place(spark, "epochs"), domain.raw_logs(spark, sf_dir).withColumn("timestamp", arrived)
+    # events keep their order and distances of arrival, sixty times as dense: a month falls into 144 leaves of five minutes
+    dense = F.timestamp_seconds(F.unix_micros("timestamp") / 60e6)
+    base, raw = shared_place(spark, "epochs"), domain.raw_logs(spark, sf_dir).withColumn("timestamp", dense)
     broken = []
 
     def fail(step: str, epoch: int) -> None:

@@ -8,6 +8,7 @@ faster, so a crash or a lost race leaves the old table. Parquet cannot overwrite
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -292,10 +293,23 @@ class WindowReport:
         return "published"
 
 
+@contextmanager
+def _many_leaves(spark: SparkSession):
+    """Small rows of many leaves are still dealt to all tasks: opening files is the work."""
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def overwrite_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     """Replace only the partitions that `rows` has: a retried batch rewrites its own leaf. Rows are dealt by leaf first, so that
     a leaf is one file or few; a large leaf is split between tasks."""
-    rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    with _many_leaves(rows.sparkSession):
+        rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def drop_partitions(spark: SparkSession, path: str, by: list[str], values: dict) -> None:
@@ -384,11 +398,30 @@ class Transaction:
         return self.table.read().count()
 
 
+def write_rejected(rows: DataFrame, path: str) -> DataFrame:
+    """Rejected rows with their reasons as a dataset of its own; what was written."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def plan_text(frame: DataFrame) -> str:
     """The physical plan, as text for a report."""
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-def analyze(spark: SparkSession, table: str) -> None:
-    """Collect a catalog table's statistics for the optimizer."""
-    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+def save_table(rows: DataFrame, table: str, by: list[str] | None = None) -> None:
+    """A managed catalog table, partitioned if wanted, in place of an older one."""
+    writer = rows.write.mode("overwrite").format("parquet")
+    (writer.partitionBy(*by) if by else writer).saveAsTable(table)
+
+
+def analyze(spark: SparkSession, table: str, histograms: bool = False) -> None:
+    """Collect a catalog table's statistics for the optimizer; with histograms of its columns too, for filters on
+    skewed columns. The optimizer uses them where spark.sql.cbo.enabled is on (join order: spark.sql.cbo.joinReorder.enabled)."""
+    key = "spark.sql.statistics.histogram.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(histograms).lower())
+    try:
+        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+    finally:
+        spark.conf.set(key, old)

@@ -29,6 +29,12 @@ def windowed(classified: DataFrame, delay: str = "1 minute", duration: str = "1
     return report.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "service", "status_code", "requests", "avg_latency_ms", "max_latency_ms", "is_error")
 
 
+def deduplicated(events: DataFrame, delay: str = "2 minutes") -> DataFrame:
+    """Each event_id once, across batches: the ids are state until the watermark, `delay` behind the latest event, has passed
+    them, and a repeat that comes later than that is a late event. Rows without an id are kept out."""
+    return events.filter("event_id IS NOT NULL").withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def trigger(every: str | None) -> dict:
     """Options of a trigger: processing time, or all that is available once."""
     return {"processingTime": every} if every else {"availableNow": True}

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ SLICE_CHARS = 4_000_000
 
 _SHIPPED: dict[str, str] = {}
 _SCRATCH: set[str] = set()
+_MADE: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,10 +66,33 @@ def _remove(spark: SparkSession, path: str) -> None:
 def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table that several later steps read, cutting its lineage; survives lost executors."""
     path = scratch(df.sparkSession)
+    for names in _MADE:
+        names.append(path)
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def made() -> Iterator[list[str]]:
+    """Paths of the tables that are saved meanwhile."""
+    names: list[str] = []
+    _MADE.append(names)
+    try:
+        yield names
+    finally:
+        _MADE[:] = [m for m in _MADE if m is not names]
+
+
+def drop(spark: SparkSession, paths: list[str], unless: DataFrame | None = None) -> list[str]:
+    """Delete saved tables, but for those whose files a frame still reads; these are returned."""
+    read = unless.inputFiles() if unless is not None and paths else []
+    kept = [p for p in paths if any(p.rsplit("/", 1)[1] in f for f in read)]
+    for path in paths:
+        if path not in kept:
+            _remove(spark, path)
+    return kept
+
+
 def whole_text(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

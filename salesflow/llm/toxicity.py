@@ -191,10 +191,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulu
 
 
 def _between(x: Column, at: list[float], value: list[float]) -> Column:
-    """Linear interpolation between the steps of the calibration; the ends stay flat."""
-    out = F.lit(value[0])
-    for k in range(len(at) - 1):
-        wide = at[k + 1] - at[k]
-        inside = F.lit(value[k]) + (x - at[k]) * ((value[k + 1] - value[k]) / wide if wide else 0.0)
-        out = F.when(x > at[k], F.when(x < at[k + 1], inside).otherwise(F.lit(value[k + 1]))).otherwise(out)
-    return out
+    """Linear interpolation between the steps of the calibration; the ends stay flat. The step is found by counting the
+    boundaries below x, in one array."""
+    slope = [(value[k + 1] - value[k]) / (at[k + 1] - at[k]) if at[k + 1] > at[k] else 0.0 for k in range(len(at) - 1)] + [0.0]
+    below = F.size(F.filter(F.lit(at), lambda b: b < x))
+    k = F.greatest(F.lit(1), below)
+    inside = F.element_at(F.lit(value), k) + (x - F.element_at(F.lit(at), k)) * F.element_at(F.lit(slope), k)
+    return F.when(below == 0, F.lit(value[0])).otherwise(inside)

@@ -113,3 +113,15 @@ def test_long_near_copies_cost_in_proportion():
     start = time.monotonic()
     ax, bx, _, _, same = substring_dedup.align(x, np.array(y, np.uint64), xs, ys)
     assert time.monotonic() - start < 20 and same == sum(ax <= i < bx for i in kept)
+
+
+def test_calibration_interpolates_between_steps(spark):
+    import numpy as np
+
+    from salesflow.llm.toxicity import _between
+
+    at, value = [-2.0, -1.0, -1.0, 0.5, 3.0], [0.1, 0.1, 0.4, 0.7, 0.9]
+    xs = [-9.0, -2.0, -1.5, -1.0, -0.2, 0.5, 2.0, 3.0, 8.0]
+    got = [r["y"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(_between(F.col("x"), at, value).alias("y")).collect()]
+    want = [0.1 if x <= -1.0 else float(np.interp(x, at[2:], value[2:])) for x in xs]
+    assert np.allclose(got, want)

@@ -128,6 +128,31 @@ scores AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_z
   FROM vectors q JOIN vectors x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE crcs AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+said AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ord(x)::BIGINT) AS bytes FROM conversations),
+hashed AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS k FROM said, crcs),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS i FROM hashed WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), i) AS r, count(*) OVER (PARTITION BY conv_id) AS m FROM damaged),
+marked AS (SELECT *, left(role, 1) AS kind, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY r) AS next_kind, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM placed),
+steps AS (SELECT *, blank OR again AS gone, CAST(NOT blank AND NOT again AND cut AS INT) AS t,
+  CASE kind WHEN 's' THEN [1, NULL, NULL, NULL] WHEN 'u' THEN [2, 2, NULL, 2] WHEN 'a' THEN [NULL, NULL, 3, NULL] ELSE [NULL, NULL, NULL, NULL]::INT[] END AS keep FROM marked),
+back(conv_id, r, c) AS (SELECT DISTINCT conv_id, m + 1, [0, 4, 2, 0] FROM steps UNION ALL
+  SELECT conv_id, r, [least(g[1], 2 + least(g[3], 2 + g[4])), least(g[2], 2 + least(g[3], 2 + g[4])), least(g[3], 2 + g[4]), least(g[4], 2 + g[3])]
+  FROM (SELECT b.conv_id, s.r, list_transform([1, 2, 3, 4], lambda x: least(3 + c[x], CASE WHEN gone THEN 1000000000 ELSE t + least(2 + c[CASE WHEN x = 3 THEN 4 ELSE 3 END], coalesce(c[keep[x] + 1], 1000000000)) END)) AS g
+        FROM back b JOIN steps s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.r = b.r - 1)),
+walk(conv_id, r, st, audit, lines) AS (SELECT DISTINCT conv_id, 1::BIGINT, 0, '', []::VARCHAR[] FROM steps UNION ALL
+  SELECT conv_id, CASE WHEN op = 'I' THEN r ELSE r + 1 END, CASE op WHEN 'D' THEN st WHEN 'K' THEN kept ELSE go END, audit || op,
+    CASE op WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, named || ':') WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, named || ':' || text) END
+  FROM (SELECT w.*, s.role, s.text, keep[st + 1] AS kept, CASE WHEN st = 2 THEN 3 ELSE 2 END AS go, CASE WHEN st = 2 THEN 'assistant' ELSE 'user' END AS named,
+          CASE WHEN s.r IS NOT NULL AND 3 + z.c[st + 1] = b.c[st + 1] THEN 'D' WHEN 2 + b.c[CASE WHEN st = 2 THEN 4 ELSE 3 END] = b.c[st + 1] THEN 'I' WHEN NOT gone AND t + z.c[keep[st + 1] + 1] = b.c[st + 1] THEN 'K' ELSE 'R' END AS op
+        FROM walk w JOIN back b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.r = w.r LEFT JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.r = w.r
+        LEFT JOIN back z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.r = w.r + 1 WHERE NOT (s.r IS NULL AND st IN (0, 3)))),
+ended AS (SELECT conv_id, audit, array_to_string(lines, chr(10)) AS repaired FROM walk w WHERE st IN (0, 3) AND r = (SELECT max(r) FROM back b WHERE b.conv_id IS NOT DISTINCT FROM w.conv_id)),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND again) AS duplicate, sum(t) AS truncated,
+  count(*) FILTER (WHERE next_kind IS NOT NULL AND kind || next_kind NOT IN ('su', 'ua', 'au')) AS illegal FROM steps GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM i.conv_id AND b.r = 1 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id""",
     "op12_hard_negatives": """
 WITH vectors AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), 'bool_and')),

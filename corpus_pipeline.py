@@ -5,7 +5,8 @@ the columns of documents.
 A stage's own tables lie in the shared folder until the next stage begins, so its result is to be written before that.
 
 Defined results of every stage: a null text counts as empty; empty tables give empty tables; extra columns are kept,
-whatever their names (packing drops them); repeated rows and a null doc_id are said at each stage."""
+whatever their names (packing drops them); a very long text is one row of its task in each stage; ties are broken by doc_id, in
+mixing by keyed hashes of doc_id and text; repeated rows and a null doc_id are said at each stage."""
 
 from __future__ import annotations
 

@@ -20,7 +20,8 @@ pairs, and no link between different components is lost. Blocks of one component
 
 Defined results: null or empty text has an empty set and no link; rows repeated under one doc_id with the
 same set are one document, with other sets one for each set; a null doc_id links with nothing and has a
-null component; extra columns are ignored; no rows give no rows.
+null component; equal sizes and scores need no order, as every link counts; a very long text is one set in its task, of as many
+hashes as it has shingles; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations

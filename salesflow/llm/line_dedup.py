@@ -11,7 +11,9 @@ whose measured size is under `broadcast_bytes` is read by every task; a larger o
 sharded and documents' hashes are routed to the shards, one row per document and shard.
 
 Defined results: null text is one empty line, which stays; repeated rows of a doc_id are one
-document; a null doc_id counts as larger than all others; extra columns are ignored.
+document; a null doc_id counts as larger than all others; of rows that hold a line the smallest doc_id keeps it, with all its
+copies inside that row; a very long text is split in its task, its lines' hashes leave it in one row for each shard; extra
+columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ document is scored from its whole text; labels, lang, source and doc_id are no i
 
 Defined results: null text scores as empty text; without labels of both kinds every score is the
 smoothed share of label 1; rows with a null doc_id are scored and held out; repeated rows are scored
-each; extra columns are ignored.
+each, and count once in the sample; equal hashes of the sample go by doc_id; a very long text is scored whole in its task; no
+rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ The dictionary is trained on the first SAMPLE_BYTES of the serialized ids of `di
 smallest hashed doc_id: a documented, bounded fit that changes sizes only, never what is read back.
 
 Defined results: null text is empty (its end id alone); a null doc_id comes first; repeated rows are
-written each; extra columns are ignored; without rows there are no segments.
+written each, in the order of their text's hash; a very long text is encoded whole in its task and is one frame; extra columns
+are ignored; without rows there are no segments.
 """
 
 from __future__ import annotations

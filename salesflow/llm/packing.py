@@ -17,8 +17,8 @@ no gap at all holds it. Counting lengths, ranking the pieces of a length (a hot
 gathers it) and placing every piece by its rank are Spark jobs over all pieces.
 
 Defined results: null text is empty (its end id alone); repeated rows are packed each; extra columns
-are ignored; pieces of equal length are alike and go by doc_id, text and place; a null doc_id comes first among them; a very long
-text is encoded whole in its task and cut; no rows give no sequences.
+are ignored; pieces of equal length are alike, and which of them takes which place is by the order in which tasks hold them; a null
+doc_id is an id like others; a very long text is encoded whole in its task and cut; no rows give no sequences.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from salesflow.operators import gates, inspection, sales
 from salesflow.operators import logs as log_ops
 from salesflow.plans import domain
 from salesflow.plans.analytics import _SALES_SQL, _curated, _sales
-from salesflow.plans.domain import LOGS, PROMOTIONS, money, query, table
+from salesflow.plans.domain import CUSTOMERS, LOGS, PROMOTIONS, money, query, table
 from salesflow.plans.feed_queries import _DISCOUNT, _FIRST, _LATEST, _REASONS, _SALES, _discounted, _records
 from salesflow.plans.source_queries import PAGE, _count, _orders, _pages
 from salesflow.session import shared_place
@@ -209,15 +209,76 @@ def k6_rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.write_rejected(rejected, shared_place(spark, "rejected")).filter("rejection_reason <> ''").agg(_count("rejected"))
 
 
-@query(f"""WITH {_SALES_SQL} SELECT 'category' AS by_what, category AS member, count(DISTINCT order_id) AS orders, count(DISTINCT customer_id) AS customers, CAST(sum(quantity) AS BIGINT) AS units_sold, CAST(sum(line_amount) AS DOUBLE) AS revenue, CAST(floor(sum(line_amount) * 100 / count(*) + 0.5) / 100 AS DOUBLE) AS average_line_amount FROM sale GROUP BY category
-UNION ALL SELECT 'customer group', CAST(customer_id % 10 AS VARCHAR), count(DISTINCT order_id), count(DISTINCT customer_id), CAST(sum(quantity) AS BIGINT), CAST(sum(line_amount) AS DOUBLE), CAST(floor(sum(line_amount) * 100 / count(*) + 0.5) / 100 AS DOUBLE) FROM sale GROUP BY customer_id % 10""")
+_SUMMARY = """SELECT '{name}' AS by_what, {column} AS member, count(DISTINCT order_id) AS orders, count(DISTINCT customer_id) AS customers, CAST(sum(quantity) AS BIGINT) AS units_sold, CAST(sum(line_amount) AS DOUBLE) AS revenue, CAST(floor(sum(line_amount) * 100 / count(*) + 0.5) / 100 AS DOUBLE) AS average_line_amount FROM met GROUP BY {column}"""
+
+
+@query(f"WITH {_SALES_SQL}, {CUSTOMERS}, met AS (SELECT sale.*, region, strftime(order_date, '%Y-%m-%d') AS day FROM sale JOIN customers USING (customer_id)) " + " UNION ALL ".join(_SUMMARY.format(name=n, column=c) for n, c in (("category", "category"), ("region", "region"), ("day", "day"))))
 def a1_sales_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All five sales metrics, the mean too, by category and by group of customers."""
+    """All five sales metrics, the mean too, by category, region and day."""
+    rows = _sales(spark, sf_dir).join(domain.customers(spark, sf_dir).select("customer_id", "region"), "customer_id").withColumn("day", F.col("order_date").cast("string"))
+    parts = [sales.sales_summary(rows, c).withColumnRenamed(c, "member").withColumn("by_what", F.lit(c)) for c in ("category", "region", "day")]
+    return reduce(DataFrame.unionByName, parts).select("by_what", "member", "orders", "customers", "units_sold", F.col("revenue").cast("double"), F.col("average_line_amount").cast("double"))
+
+
+@query(f"WITH {_SALES_SQL} SELECT w.part, count(DISTINCT order_id) AS orders, count(DISTINCT customer_id) AS customers, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units_sold, CAST(coalesce(sum(line_amount), 0) AS DOUBLE) AS revenue FROM (VALUES ('all'), ('none')) w(part) LEFT JOIN sale ON part = 'all' GROUP BY 1")
+def a2_sales_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all sales, and of none: zeros."""
     rows = _sales(spark, sf_dir)
-    by = {"category": F.col("category"), "customer group": (F.col("customer_id") % 10).cast("string")}
-    names = ["by_what", "member", "orders", "customers", "units_sold"]
-    parts = [sales.sales_summary(rows.withColumn("member", c), "member").withColumn("by_what", F.lit(name)) for name, c in by.items()]
-    return reduce(DataFrame.unionByName, parts).select(*names, F.col("revenue").cast("double"), F.col("average_line_amount").cast("double"))
+    parts = (sales.sales_totals(rows).withColumn("part", F.lit("all")), sales.sales_totals(rows.filter("quantity < 0")).withColumn("part", F.lit("none")))
+    return reduce(DataFrame.unionByName, parts).withColumn("revenue", F.col("revenue").cast("double"))
+
+
+@query("SELECT 'order' AS key, count(*) > count(DISTINCT o_orderkey) AS repeated FROM orders UNION ALL SELECT 'customer', count(*) > count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'customer and day', count(*) > count(DISTINCT (o_custkey, CAST(o_orderdate AS DATE))) FROM orders")
+def a11_duplicate_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether keys are repeated; each probe ends at the first repeat."""
+    o = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    found = [(name, sales.has_duplicate_key(o, keys)) for name, keys in (("order", ["o_orderkey"]), ("customer", ["o_custkey"]), ("customer and day", ["o_custkey", "day"]))]
+    return spark.createDataFrame(found, "key string, repeated boolean")
+
+
+@query("SELECT CAST(greatest(1, ceil(floor(1073741824 * 1.08) / floor(n * (mean + 42)))) AS BIGINT) AS copies FROM (SELECT count(*) AS n, avg(length(concat_ws(',', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority))) + 1 AS mean FROM orders)")
+def a25_copies_for_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many copies of the orders make a gibibyte, from their mean row size."""
+    n = sales.copies_for(_orders(spark, sf_dir).select("order_id", "order_status", "priority"), 1 << 30)
+    return spark.createDataFrame([(n,)], "copies long")
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d') AS ingest_date, strftime(ts, '%H') AS ingest_hour, strftime(to_timestamp(floor(epoch(ts) / 300) * 300) AT TIME ZONE 'UTC', '%Y%m%dT%H%MZ') AS rotation_5m, count(*) AS events FROM events GROUP BY 1, 2, 3""")
+def t13_rotation_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw hierarchy's day, hour and 5-minute slot of every event, by its arrival."""
+    rows = log_ops.classify_v2(domain.raw_logs(spark, sf_dir), 120, F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return rows.groupBy("ingest_date", "ingest_hour", "rotation_5m").agg(_count("events"))
+
+
+@query(f"SELECT service, CAST(greatest(0, epoch(TIMESTAMP '2024-02-01') - floor(epoch(min(ts)))) AS BIGINT) AS lag_seconds FROM (SELECT ts, 'svc' || user_id % 3 AS service, {_FIRST} AS reason FROM (SELECT ts, user_id, event_id AS k FROM events)) WHERE reason IS NULL GROUP BY 1")
+def t14_ingestion_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds from the oldest valid event of each service to a commit."""
+    rows, at = log_ops.classify_v1(domain.raw_logs(spark, sf_dir)), F.lit("2024-02-01").cast("timestamp")
+    lags = [log_ops.ingestion_lag(log_ops.batch_stats(rows.filter(F.col("service") == s)), at).select(F.lit(s).alias("service"), F.col("lag_seconds").cast("long")) for s in ("svc0", "svc1", "svc2")]
+    return reduce(DataFrame.unionByName, lags)
+
+
+@query("SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, true AS sizes_agree, 'absent' AS missing FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
+def s16_file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a dataset that has one for each status, and the tables that a base lacks."""
+    place, rows = shared_place(spark, "metrics"), _orders(spark, sf_dir)
+    rows.repartition("order_status").write.partitionBy("order_status").parquet(f"{place}/orders")
+    met = files.file_metrics(spark, f"{place}/orders")
+    lacking = ",".join(files.missing_tables(spark, place, ["orders", "absent"]))
+    total = spark.read.parquet(f"{place}/orders").agg(_count("rows"))
+    agree = (F.col("smallest") > 0) & (F.col("smallest") <= F.col("largest")) & (F.col("bytes") >= F.col("largest")) & (F.col("bytes") <= F.col("largest") * F.col("files"))
+    return met.crossJoin(total).select("files", "rows", agree.alias("sizes_agree"), F.lit(lacking).alias("missing"))
+
+
+@query(f"""SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute_start, service, count(*) AS request_count FROM (SELECT ts, 'svc' || user_id % 3 AS service, event_id AS k, {_FIRST} AS reason FROM (SELECT ts, user_id, event_id, event_id AS k FROM events)) WHERE reason IS NULL AND k % 3 <> 0 GROUP BY date_trunc('minute', ts), service""")
+def t12_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three generations of one query: the second starts its own lineage, the third goes on with it; the live report
+    counts the last two."""
+    dense = F.timestamp_seconds(F.unix_micros("timestamp") / 60e6)
+    base, raw = shared_place(spark, "generations"), domain.raw_logs(spark, sf_dir).withColumn("timestamp", dense)
+    for k, (generation, epoch) in enumerate((("g1", 0), ("g2", 0), ("g3", 1))):
+        service_logs.epoch_writer(spark, base, generation, max_delay_seconds=100 * 366 * 86_400)(raw.filter(F.col("offset") % 3 == k), epoch)
+    return service_logs.live_report(spark, base).select(F.date_format("minute_start", "yyyy-MM-dd HH:mm").alias("minute_start"), "service", "request_count")
 
 
 @query("WITH r AS (SELECT o_orderkey % 500 AS a, o_orderdate AS b, o_custkey % 3 AS c, o_orderstatus AS d, o_orderpriority AS e FROM orders UNION ALL SELECT o_orderkey % 500, o_orderdate, o_custkey % 3, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 4 = 0) SELECT count(*) AS source_rows, count(DISTINCT (a, b, c, d, e)) AS kept FROM r")

@@ -89,6 +89,7 @@ def bad_status() -> Column:
 
 def log_rules_v1() -> list[Rule]:
     """First contract: one prioritised reason; raw_json holds the event as it came."""
+    # fixed values: the reasons and their order
     return [
         Rule("malformed_json", F.col("raw_json").isNull() | F.get_json_object("raw_json", "$").isNull()),
         Rule("invalid_or_missing_ts", F.col("event_time").isNull()),

@@ -23,6 +23,9 @@ def zero(name: str, actual: Column) -> tuple[str, Column, Column]:
     return name, actual, actual == 0
 
 
+# The names of the checks in the gates below.
+
+
 def raw_gate(raw: DataFrame, audit: DataFrame, start: str, end: str, threshold: float) -> DataFrame:
     """DQ01-DQ06 over raw promotions (is_valid, status, updated_at) and one audit row (raw_count, accepted_count, rejected_count)."""
     at = F.col("updated_at")

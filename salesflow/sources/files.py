@@ -54,7 +54,7 @@ class TableSpec:
     renames: dict[str, str] = field(default_factory=dict)
 
 
-#: The raw tables of the retail source.
+#: The raw tables of the retail source, their columns' names (two misspelt there) and roles.
 TABLES = {
     "customers": TableSpec(("customer_id",)),
     "geolocation": TableSpec(("geolocation_zip_code_prefix",), doubles=("geolocation_lat", "geolocation_lng")),

@@ -31,6 +31,23 @@ def next_window(start: datetime, end: datetime, watermark: datetime | None, sche
     return watermark, end
 
 
+def planned_windows(requests: DataFrame, marks: DataFrame, longest: timedelta) -> DataFrame:
+    """The rule of `next_window` for many runs at once: requests (pipeline, window_start, window_end, scheduled), one a pipeline, against
+    marks (pipeline, watermark). pipeline, window_start, window_end and error, of which either the window or the error is NULL."""
+    start, end, mark = F.col("window_start"), F.col("window_end"), F.col("watermark")
+    follows = F.col("scheduled") & mark.isNotNull()
+    gap = F.lit(longest.total_seconds()).cast("long")
+    error = F.when(follows & (mark >= end), "no new window").when(follows & (F.unix_micros(end) - F.unix_micros(mark) > gap * 1_000_000), "gap too long")
+    rows = requests.join(marks, "pipeline", "left").select("pipeline", F.when(follows, mark).otherwise(start).alias("a"), end.alias("b"), error.alias("error"))
+    return rows.select("pipeline", *(F.when(F.col("error").isNull(), F.col(c)).alias(name) for c, name in (("a", "window_start"), ("b", "window_end"))), "error")
+
+
+def rows_due(source: DataFrame, planned: DataFrame, at: str) -> DataFrame:
+    """The source's rows of each pipeline's planned half-open window; an erroneous run reads none."""
+    windows = planned.filter("error IS NULL").select("pipeline", F.col("window_start").alias("_from"), F.col("window_end").alias("_until"))
+    return source.join(windows, "pipeline").filter((F.col(at) >= F.col("_from")) & (F.col(at) < F.col("_until"))).drop("_from", "_until")
+
+
 def settled_until(as_of: datetime, settlement: int = SETTLEMENT, lateness: int = LATENESS, interval: int = 30) -> datetime:
     """The end of what is settled: the 5-minute slot of as_of less the settlement."""
     if settlement < lateness + interval:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -425,3 +426,12 @@ def analyze(spark: SparkSession, table: str, histograms: bool = False) -> None:
         spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
     finally:
         spark.conf.set(key, old)
+
+
+def column_statistics(spark: SparkSession, table: str) -> DataFrame:
+    """column_name, rows, nulls, least, greatest (texts; NULL where none is kept) of an analyzed table, from the catalog."""
+    whole = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Statistics'")
+    rows = whole.select(F.regexp_extract("data_type", r"(\d+) rows", 1).cast("long").alias("rows"))
+    figure = lambda name, out: F.max(F.when(F.col("info_name") == name, F.nullif(F.col("info_value"), F.lit("NULL")))).alias(out)
+    columns = [spark.sql(f"DESCRIBE EXTENDED {table} `{c}`").agg(F.lit(c).alias("column_name"), figure("num_nulls", "nulls"), figure("min", "least"), figure("max", "greatest")) for c in spark.table(table).columns]
+    return reduce(DataFrame.unionByName, columns).withColumn("nulls", F.col("nulls").cast("long")).crossJoin(rows)

@@ -248,3 +248,42 @@ def test_two_queries_share_a_control(spark, tmp_path):
         list(pool.map(run, ["a", "b", "c"]))
     state = service_logs.Control(spark, path).state()
     assert {g: v["last"] for g, v in state["generations"].items()} == {"a": 5, "b": 5, "c": 5} and len(state["recent"]) == 18
+
+
+def test_planned_windows_follow_the_rule_for_one_run(spark):
+    at = lambda d, h=0: datetime(2026, 1, d, h, tzinfo=timezone.utc)
+    longest, runs = timedelta(days=7), []
+    for k, (mark, scheduled) in enumerate((m, s) for m in (None, at(1), at(4, 23), at(5), at(11), at(12), at(13)) for s in (True, False)):
+        runs.append((f"p{k}", at(11), at(12), scheduled, mark))
+    requests = spark.createDataFrame([r[:4] for r in runs], "pipeline string, window_start timestamp, window_end timestamp, scheduled boolean")
+    marks = spark.createDataFrame([(r[0], r[4]) for r in runs if r[4]], "pipeline string, watermark timestamp")
+    planned = control.planned_windows(requests, marks, longest)
+    got = {r.pipeline: r for r in planned.select("pipeline", F.unix_seconds("window_start").alias("a"), F.unix_seconds("window_end").alias("b"), "error").collect()}
+    assert len(got) == len(runs)
+    for name, start, end, scheduled, mark in runs:
+        try:
+            a, b = control.next_window(start, end, mark, scheduled, longest)
+            assert (got[name].a, got[name].b, got[name].error) == (int(a.timestamp()), int(b.timestamp()), None)
+        except control.ContractError as broken:
+            assert got[name].a is None and got[name].b is None
+            assert got[name].error == ("no new window" if "no new window" in str(broken) else "gap too long")
+
+
+def test_rows_due_are_half_open_and_none_of_a_broken_run(spark):
+    planned = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP '2026-01-01', TIMESTAMP '2026-01-02', NULL), ('b', NULL, NULL, 'gap too long') t(pipeline, window_start, window_end, error)")
+    source = spark.sql("SELECT p AS pipeline, t AS at FROM VALUES ('a'), ('b'), ('c') x(p), VALUES (TIMESTAMP '2025-12-31 23:59:59'), (TIMESTAMP '2026-01-01'), (TIMESTAMP '2026-01-01 23:59:59'), (TIMESTAMP '2026-01-02') y(t)")
+    rows = control.rows_due(source, planned, "at")
+    assert rows.columns == ["pipeline", "at"]
+    assert sorted((r.pipeline, r.at.day, r.at.hour) for r in rows.collect()) == [("a", 1, 0), ("a", 1, 23)]
+
+
+def test_column_statistics_of_odd_columns(spark):
+    from salesflow.sources import sinks
+
+    try:
+        sinks.save_table(spark.sql("SELECT id, CAST(NULL AS INT) AS `none at all`, IF(id % 2 = 0, 'x', NULL) AS t FROM range(10)"), "odd_columns")
+        sinks.analyze(spark, "odd_columns")
+        rows = {r.column_name: (r.rows, r.nulls, r.least, r.greatest) for r in sinks.column_statistics(spark, "odd_columns").collect()}
+        assert rows == {"id": (10, 0, "0", "9"), "none at all": (10, 10, None, None), "t": (10, 5, None, None)}
+    finally:
+        spark.sql("DROP TABLE IF EXISTS odd_columns")

@@ -11,9 +11,10 @@ never lowers another's documents, or the whole budget is lowered until no source
 drawn tokens keep the weights. With `fill`, one pass and the whole corpus as budget, everything is drawn.
 
 The weights are realised exactly, with a token budget per source, as block permutations: a
-source's documents lie in blocks by keyed hash; each epoch permutes the blocks; whole epochs give
-whole copies, and the last, partial epoch takes documents along the permuted order while the
-source's remaining budget is not used up (the document that crosses the budget is taken).
+source's documents lie in blocks by keyed hash; whole epochs give whole copies, and the last, partial epoch
+takes documents along the permuted order while the source's remaining budget is not used up (the document that
+crosses the budget is taken). `epoch_rows` deals the copies to epochs, each with a permutation of the blocks of its
+own; `reached` says what shares, passes and entropy the drawn tokens have.
 Blocks lie in super-blocks: running sums go over a source's super-blocks, over the blocks of one, then inside a
 block, so that no task sees a whole source.
 
@@ -156,3 +157,31 @@ def mixed_documents(docs: DataFrame, **limits) -> DataFrame:
     drawn = mix(held, **limits).filter("copies > 0")
     times = drawn.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
     return times.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def epoch_rows(mixed: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of `mix`, one for each copy, with epoch (from 0) and turn: along (epoch, turn, draw) each epoch of a source reads
+    its blocks in a permutation of its own, and each block as a whole. Rows without copies go; columns of these names are replaced.
+
+    A keyed hash of the block and the epoch is the turn, so no window or shuffle is needed to permute.
+    """
+    rows = mixed.drop("epoch", "turn").filter("copies > 0")
+    copies = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    block = F.shiftright(F.col("draw"), 32)  # the block's place in the order of `draw`
+    return copies.withColumn("turn", F.xxhash64("source", block, "epoch", F.lit(seed)))
+
+
+def reached(mixed: DataFrame) -> DataFrame:
+    """What was drawn, a row for each source with tokens: source, weight, tokens, drawn, passes (drawn by tokens), share (of all
+    drawn tokens) and entropy (of all shares, as a part of that of equal ones; the same in each row, 1 for a single source).
+
+    With `fill` and clipped sources the entropy may miss the target; here it is what came of it. Nothing drawn: share and entropy NULL.
+    """
+    sums = mixed.groupBy("source").agg(F.max("weight").alias("weight"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("drawn")).filter("tokens > 0")
+    # -sum(p log p) over p = d / D is log D - sum(d log d) / D: one aggregation over the sources
+    d = F.col("drawn").cast("double")
+    part = F.when(d > 0, d * F.log(F.when(d > 0, d))).otherwise(0.0)
+    whole = sums.agg(F.sum(d).alias("_all"), F.sum(part).alias("_part"), F.count(F.lit(1)).alias("_n"))
+    found = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.try_divide(F.log("_all") - F.try_divide("_part", "_all"), F.log("_n")))
+    entropy = F.when(F.col("_all") > 0, found)
+    return sums.crossJoin(whole).select("source", "weight", "tokens", "drawn", (d / F.col("tokens")).alias("passes"), F.try_divide(d, F.col("_all")).alias("share"), entropy.alias("entropy"))

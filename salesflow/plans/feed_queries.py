@@ -317,11 +317,11 @@ def c6_pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.pipeline_metrics(control.run_states(_run_events(spark, sf_dir)))
 
 
-@query("""WITH m AS (SELECT event_type || user_id AS pipeline, count(*) FILTER (WHERE event_id % 3 = 0) AS failed_checks, CAST(epoch(max(ts)) AS BIGINT) AS last_at, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1), n AS (SELECT CAST(epoch(max(ts)) AS BIGINT) AS now FROM events)
+@query("""WITH m AS (SELECT event_type || user_id AS pipeline, count(*) FILTER (WHERE event_id % 3 = 0) AS failed_checks, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_at, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1), n AS (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) AS now FROM events)
 SELECT pipeline, 'PipelineDataQualityFailed' AS alert FROM m WHERE failed_checks > 0 UNION ALL SELECT pipeline, 'PipelineStale' FROM m, n WHERE now - last_at > 93600 UNION ALL SELECT pipeline, 'LogStreamStopped' FROM m, n WHERE now - last_at > 75 UNION ALL SELECT pipeline, 'LogReportStale' FROM m, n WHERE now - last_at > 420
 UNION ALL SELECT pipeline, 'LogIngestionDelayExceeded' FROM m WHERE n > 60 UNION ALL SELECT pipeline, 'PipelineLastRunFailed' FROM m WHERE n % 2 = 0""")
 def c9_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts as rows of conditions that hold."""
+    """Alerts as rows of conditions that hold; times are whole Unix seconds, fractions cut."""
     events = table(spark, sf_dir, "events")
     now = events.agg(F.unix_seconds(F.max("ts")).alias("now"))
     at = F.unix_seconds(F.max("ts"))

@@ -287,3 +287,17 @@ def test_column_statistics_of_odd_columns(spark):
         assert rows == {"id": (10, 0, "0", "9"), "none at all": (10, 10, None, None), "t": (10, 5, None, None)}
     finally:
         spark.sql("DROP TABLE IF EXISTS odd_columns")
+
+
+def test_alerts_take_whole_seconds(spark, tmp_path):
+    """A last event 75.1 seconds before now is not over 75 whole seconds, though both round to 76 apart."""
+    import duckdb
+    from parity import assert_parity, connect
+
+    from salesflow.plans.registry import ORACLE_SQL, QUERIES
+
+    duckdb.sql(f"""COPY (SELECT * FROM (VALUES (1, TIMESTAMP '2024-01-01 00:01:15.6', 1, 'view'), (2, TIMESTAMP '2024-01-01 00:00:00.4', 2, 'view'), (3, TIMESTAMP '2023-12-31 23:59:59.9', 3, 'view'))
+        t(event_id, ts, user_id, event_type)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    found = {tuple(r) for r in QUERIES["c9_alerts"](spark, str(tmp_path)).collect()}
+    assert ("view2", "LogStreamStopped") not in found and ("view3", "LogStreamStopped") in found
+    assert_parity(spark, connect(str(tmp_path)), QUERIES["c9_alerts"], ORACLE_SQL["c9_alerts"], str(tmp_path))

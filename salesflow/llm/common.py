@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from pathlib import Path
 
@@ -93,6 +93,14 @@ def drop(spark: SparkSession, paths: list[str], unless: DataFrame | None = None)
     return kept
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The made frame as a saved table, without the tables that were saved on the way to it."""
+    with made() as tables:
+        out = saved(make())
+    drop(out.sparkSession, tables, out)
+    return out
+
+
 def whole_text(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import saved
+from salesflow.llm.common import drop, made, saved
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -24,14 +24,19 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node of links (a, b) reaches.
 
-    Each round writes its links to the shared folder, so a lost executor costs one round at most.
+    Each round writes its links to the shared folder, so a lost executor costs one round at most; those of the round
+    before it are deleted.
     Nodes' minima are combined in each task before the shuffle and large stars meet them in a join
     that Spark can split, so a hot node does not land in one task.
     """
-    now = saved(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    with made() as tables:
+        now = saved(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
-        now = saved(_star(_star(now, True), False))
+        before = tables
+        with made() as tables:
+            now = saved(_star(_star(now, True), False))
+        drop(links.sparkSession, before)
         # stable once every node has one link, to a node that has none
         new = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == new:

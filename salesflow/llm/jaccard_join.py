@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import saved, ship, slices, whole_text
+from salesflow.llm.common import drop, made, saved, settled, ship, slices, whole_text
 from salesflow.llm.components import components
 from salesflow.llm.shingles import mixed, shingle_sets
 
@@ -313,14 +313,17 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _index(sets: DataFrame, rule: Rule, boundary: int) -> DataFrame:
     """The inverted lists (h, cid, n, component) of each set's rarest shingles: two linked sets of different
     components share one of them."""
-    elements = saved(sets.filter(F.col("n") >= rule.least(boundary + 1)).mapInArrow(_explode, "h long, cid long, n long, component long"))
-    # a shingle of one component only pairs nothing
-    lists = elements.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("h", "df")
-    per_set = Window.partitionBy("cid")
-    ranked = elements.join(lists, "h").withColumns({"at": F.row_number().over(per_set.orderBy("df", "h")), "c": F.count(F.lit(1)).over(per_set)})
-    # of its n shingles a set shares at most these c with other components: fewer than any partner needs, and it
-    # leaves; of n - least + 1 shingles in an order that puts the others first, c - least + 1 are shared
-    return saved(ranked.filter(F.col("at") <= F.col("c") - F.ceil(F.col("n") * rule.num / rule.den) + 1).select("h", "cid", "n", "component"))
+    def shared() -> DataFrame:
+        elements = saved(sets.filter(F.col("n") >= rule.least(boundary + 1)).mapInArrow(_explode, "h long, cid long, n long, component long"))
+        # a shingle of one component only pairs nothing
+        lists = elements.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("h", "df")
+        per_set = Window.partitionBy("cid")
+        ranked = elements.join(lists, "h").withColumns({"at": F.row_number().over(per_set.orderBy("df", "h")), "c": F.count(F.lit(1)).over(per_set)})
+        # of its n shingles a set shares at most these c with other components: fewer than any partner needs, and it
+        # leaves; of n - least + 1 shingles in an order that puts the others first, c - least + 1 are shared
+        return ranked.filter(F.col("at") <= F.col("c") - F.ceil(F.col("n") * rule.num / rule.den) + 1).select("h", "cid", "n", "component")
+
+    return settled(shared)
 
 
 def _units(index: DataFrame) -> DataFrame:
@@ -448,13 +451,16 @@ def _prefixes(rule: Rule):
 def _reached(merged: DataFrame, rule: Rule) -> tuple[DataFrame, float]:
     """The sets of components that may link to another component, and the mean length of the lists
     of shingles that components share."""
-    rows = saved(merged.mapInArrow(_prefixes(rule), "h long, component long").distinct())
-    lists = saved(rows.groupBy("h").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1"))
-    known = rows.join(lists, "h").groupBy("component").agg(F.count(F.lit(1)).alias("known"))
-    wanted = merged.groupBy("component").agg(F.min(_least_known(rule)).alias("wanted"))
-    open_ones = known.join(wanted, "component").filter("known >= wanted").select("component")
-    length = lists.agg(F.coalesce(F.avg("comps"), F.lit(1.0))).first()[0]
-    return saved(merged.join(open_ones, "component").select("cid", "n", "hashes", "component")), length
+    with made() as tables:
+        rows = saved(merged.mapInArrow(_prefixes(rule), "h long, component long").distinct())
+        lists = saved(rows.groupBy("h").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1"))
+        known = rows.join(lists, "h").groupBy("component").agg(F.count(F.lit(1)).alias("known"))
+        wanted = merged.groupBy("component").agg(F.min(_least_known(rule)).alias("wanted"))
+        open_ones = known.join(wanted, "component").filter("known >= wanted").select("component")
+        length = lists.agg(F.coalesce(F.avg("comps"), F.lit(1.0))).first()[0]
+        reached = saved(merged.join(open_ones, "component").select("cid", "n", "hashes", "component"))
+    drop(merged.sparkSession, tables, reached)
+    return reached, length
 
 
 def _least_known(rule: Rule):
@@ -467,39 +473,53 @@ def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    ship(docs.sparkSession)
-    rule = Rule(num, den)
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = every.filter("doc_id IS NOT NULL")
-    own = saved(every.mapInArrow(_sets(k, False), "doc_id long, n long, s1 long, s2 long").groupBy("doc_id", "n", "s1", "s2").agg(F.count(F.lit(1)).alias("n_rows")))
-    classes = saved(own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n")))
+def _classes_joined(rows: DataFrame, classes: DataFrame, repeated: bool, rule: Rule, k: int) -> DataFrame:
+    """node, component of the linked classes. A step's tables are deleted as soon as the next one is written."""
+    spark = rows.sparkSession
     # classes that can link: enough of their prefix is known to others
     known = _known(rows.select("text"), rule, k)
     able = classes.join(known, F.col("s1") == F.col("g")).filter(F.col("known") >= _least_known(rule)).select("cid")
     texts = rows.join(able, F.col("doc_id") == F.col("cid")).select("doc_id", "text")
     sets = texts.mapInArrow(_sets(k, True), "doc_id long, n long, s1 long, s2 long, hashes binary")
     # repeated rows of a doc_id are alike here or belong to another class
-    sets = saved(sets.join(classes.select(F.col("cid"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("cid")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).select("cid", "n", "hashes"))
-    if not own.filter("n_rows > 1 AND doc_id IS NOT NULL").isEmpty():  # repeated rows: one set for each class
-        sets = saved(sets.dropDuplicates(["cid"]))
+    sets_of_rows = sets.join(classes.select(F.col("cid"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("cid")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).select("cid", "n", "hashes")
+    # repeated rows: one set for each class
+    with made() as own:
+        sets = settled(lambda: saved(sets_of_rows).dropDuplicates(["cid"])) if repeated else saved(sets_of_rows)
     sizes = {r["n"]: r["c"] for r in sets.filter(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     merged, links, n_sets, r = sets.withColumn("component", F.col("cid")), None, sets.count(), 0
+    held: list[str] = []  # the tables of links and merged
     while True:
-        fresh = saved(_pivot_links(merged, rule, list(range(r * PIVOT_HASHES, (r + 1) * PIVOT_HASHES))))
-        if not (n := fresh.count()):
-            break
-        links = fresh if links is None else saved(links.unionByName(fresh))
-        merged, r = saved(_labelled(sets, links)), r + 1
+        with made() as tables:
+            fresh = settled(lambda: _pivot_links(merged, rule, list(range(r * PIVOT_HASHES, (r + 1) * PIVOT_HASHES))))
+            if not (n := fresh.count()):
+                break
+            both = fresh if links is None else saved(links.unionByName(fresh))
+            merged = settled(lambda: _labelled(sets, both))
+        drop(spark, held)
+        links, r, held = both, r + 1, tables
         if n < WORTHWHILE * n_sets:
             break
     if links is None:
-        links = sets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+        links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     reached, list_length = _reached(merged, rule)
     boundary = choose_boundary(sizes, list_length, rule)
-    links = links.unionByName(_light_links(merged, rule, boundary)).unionByName(_list_links(reached, rule, boundary))
-    found = components(saved(links))
+    light = settled(lambda: _light_links(merged, rule, boundary))
+    drop(spark, own + held, links)
+    links = links.unionByName(light).unionByName(settled(lambda: _list_links(reached, rule, boundary)))
+    return components(links)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    ship(docs.sparkSession)
+    rule = Rule(num, den)
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = every.filter("doc_id IS NOT NULL")
+    own = saved(every.mapInArrow(_sets(k, False), "doc_id long, n long, s1 long, s2 long").groupBy("doc_id", "n", "s1", "s2").agg(F.count(F.lit(1)).alias("n_rows")))
+    classes = saved(own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n")))
+    repeated = not own.filter("n_rows > 1 AND doc_id IS NOT NULL").isEmpty()
+    found = settled(lambda: _classes_joined(rows, classes, repeated, rule, k))
     labels = classes.join(found, F.col("cid") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cid").alias("component_id"))
     labelled = own.join(labels, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

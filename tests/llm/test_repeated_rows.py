@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesflow.llm import exact_dedup, jaccard_join, quality, substring_dedup
+from salesflow.llm.common import made
+from salesflow.llm.jaccard_join import near_duplicates
 
 TEXT = " ".join(f"w{i * 7 % 101}" for i in range(90))
 
@@ -125,3 +127,15 @@ def test_calibration_interpolates_between_steps(spark):
     got = [r["y"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(_between(F.col("x"), at, value).alias("y")).collect()]
     want = [0.1 if x <= -1.0 else float(np.interp(x, at[2:], value[2:])) for x in xs]
     assert np.allclose(got, want)
+
+
+def test_near_duplicates_leave_three_tables(spark):
+    """Only the tables that the result reads stay in the shared folder: documents' sets, classes, components."""
+    text = lambda *w: " ".join(f"w{k}" for k in range(30) if k not in w)
+    rows = [(1, text()), (2, text(29)), (3, text(0)), (4, "a b c d e f"), (5, "a b c d e f g"), (6, None), (7, text())]
+    with made() as tables:
+        found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        fs = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in tables]
+        left = [p for p in fs if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)]
+    assert len(tables) > 10 and len(left) == 3
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 1)]

@@ -14,10 +14,15 @@ def star_join(items: DataFrame, orders: DataFrame | None = None, customers: Data
     """Items with those of their order, customer (by the order), product and seller that are given, by left joins;
     `_found` flags show orphans. Spark picks broadcast or shuffle for each dimension by its size; a left join that no column
     is read of is not dropped by it, so give only the dimensions that are used."""
+    dimensions = [(rows, key, flag) for rows, key, flag in ((orders, "order_id", "order_found"), (products, "product_id", "product_found"), (sellers, "seller_id", "seller_found")) if rows is not None]
     joined = items
-    for rows, key, flag in ((orders, "order_id", "order_found"), (customers, "customer_id", "customer_found"), (products, "product_id", "product_found"), (sellers, "seller_id", "seller_found")):
-        if rows is not None:
-            joined = joined.join(rows.withColumn(flag, F.lit(True)), key, "left")
+    for rows, key, flag in dimensions:
+        rows = rows.withColumn(flag, F.lit(True))
+        if key == "order_id" and customers is not None:  # orders are fewer than items, which then move once for both
+            rows = rows.join(customers.withColumn("customer_found", F.lit(True)), "customer_id", "left")
+        joined = joined.join(rows, key, "left")
+    if orders is None and customers is not None:
+        joined = joined.join(customers.withColumn("customer_found", F.lit(True)), "customer_id", "left")
     return joined
 
 
@@ -119,18 +124,26 @@ def orphan_counts(relations: dict[str, tuple[DataFrame, DataFrame, str, str]]) -
     return reduce(DataFrame.unionByName, counts)
 
 
+def _with_key(rows: DataFrame, dimension: DataFrame, natural: str, key: str) -> DataFrame:
+    """Rows with a dimension's key, 0 where it has no member; of one with validity the version at the purchase."""
+    if "effective_from" in dimension.columns:
+        return point_in_time(rows, dimension, natural, "purchased_at", key)
+    return rows.join(dimension.select(natural, key), natural, "left").withColumn(key, F.coalesce(key, F.lit(0).cast("long")))
+
+
 def fact_sales(items: DataFrame, orders: DataFrame, *, customers: DataFrame, products: DataFrame, sellers: DataFrame, locations: DataFrame, statuses: DataFrame) -> DataFrame:
     """One row for each item with its seven keys, 0 where a dimension has no member: purchase and shipping dates, customer,
     location (customer_id, location_key), product and seller versions valid at the purchase, order status.
 
     Dimensions hold a natural key and their key; those with effective_from and effective_to are looked up at the purchase.
     """
-    rows = items.join(orders.select("order_id", "customer_id", "order_status", "purchased_at"), "order_id")
-    for dimension, natural, key in ((customers, "customer_id", "customer_key"), (products, "product_id", "product_key"), (sellers, "seller_id", "seller_key"), (locations, "customer_id", "location_key"), (statuses, "order_status", "status_key")):
-        if "effective_from" in dimension.columns:
-            rows = point_in_time(rows, dimension, natural, "purchased_at", key)
-        else:
-            rows = rows.join(dimension.select(natural, key), natural, "left").withColumn(key, F.coalesce(key, F.lit(0).cast("long")))
+    found = orders.select("order_id", "customer_id", "order_status", "purchased_at")
+    # what hangs on the order is looked up for orders, which are fewer than items
+    for dimension, natural, key in ((customers, "customer_id", "customer_key"), (locations, "customer_id", "location_key"), (statuses, "order_status", "status_key")):
+        found = _with_key(found, dimension, natural, key)
+    rows = items.join(found.drop("customer_id", "order_status"), "order_id")
+    for dimension, natural, key in ((products, "product_id", "product_key"), (sellers, "seller_id", "seller_key")):
+        rows = _with_key(rows, dimension, natural, key)
     day = lambda c: F.coalesce(date_key(F.to_date(c)), F.lit(0)).cast("int")
     return rows.select("order_id", "item_number", day("purchased_at").alias("purchase_date_key"), day("shipping_limit_at").alias("shipping_limit_date_key"), "customer_key", "location_key", "product_key", "seller_key", "status_key", "price", "freight_value")
 

@@ -61,7 +61,8 @@ def items(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame
     if not numbered:
         return rows.select(*own, F.col("l_linenumber").alias("item_number"))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    return rows.select(*own, F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("item_number"))
+    # numbered before columns are renamed: each column moves once, and a filter of orders is applied before the shuffle
+    return rows.withColumn("item_number", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))).select(*own, "item_number")
 
 
 ORDERS = """retail_orders AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS order_status, o_orderdate AS purchased_at,

@@ -301,3 +301,12 @@ def test_alerts_take_whole_seconds(spark, tmp_path):
     found = {tuple(r) for r in QUERIES["c9_alerts"](spark, str(tmp_path)).collect()}
     assert ("view2", "LogStreamStopped") not in found and ("view3", "LogStreamStopped") in found
     assert_parity(spark, connect(str(tmp_path)), QUERIES["c9_alerts"], ORACLE_SQL["c9_alerts"], str(tmp_path))
+
+
+def test_a_message_is_parsed_once(spark):
+    rows = raw(spark, EVENT % 5, "not-json", None)
+    for classified in (logs.classify_v1(rows), logs.classify_v2(rows)):
+        for part in (classified.filter("is_valid"), classified.filter("NOT is_valid")):
+            assert part._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+        assert classified.count() == 3
+    assert [r["is_valid"] for r in logs.classify_v1(rows).collect()] == [True, False, False]

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from salesflow.llm.common import drop, made, saved
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Links (a, b): every neighbour above (large) or below (small) a node moves to its smallest one."""
+def _large_star(links: DataFrame) -> DataFrame:
+    """Every neighbour above a node moves to the node's smallest one."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    kept = both if large else both.filter("b < a")
-    least = kept.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    met = kept.join(least, "a")
-    if large:
-        moved = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return moved.filter("a != b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """A node and every neighbour below it (all are, in links with b < a) move to its smallest one."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    moved = F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+    return links.join(least, "a").select(moved).filter("a != b").distinct()
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none."""
+    ends = F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"))))
+    nodes = links.select(ends).groupBy("node").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("links"))
+    return not nodes.filter("up > 0 AND links > 1").agg(F.count(F.lit(1))).first()[0]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,17 +37,11 @@ def components(links: DataFrame) -> DataFrame:
     Nodes' minima are combined in each task before the shuffle and large stars meet them in a join
     that Spark can split, so a hot node does not land in one task.
     """
-    with made() as tables:
-        now = saved(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    now, tables = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), []
     while True:
         before = tables
         with made() as tables:
-            now = saved(_star(_star(now, True), False))
+            now = saved(_small_star(_large_star(now)))
         drop(links.sparkSession, before)
-        # stable once every node has one link, to a node that has none
-        new = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if mark == new:
-            break
-        mark = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -468,9 +468,9 @@ def _least_known(rule: Rule):
     return F.floor(F.ceil(F.col("n") * rule.num / rule.den) / 8) + 1
 
 
-def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links).withColumnRenamed("node", "cid")
-    return sets.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """The sets with their components; found: node, component of those that have a link."""
+    return sets.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
 def _classes_joined(rows: DataFrame, classes: DataFrame, repeated: bool, rule: Rule, k: int) -> DataFrame:
@@ -492,16 +492,18 @@ def _classes_joined(rows: DataFrame, classes: DataFrame, repeated: bool, rule: R
     while True:
         with made() as tables:
             fresh = settled(lambda: _pivot_links(merged, rule, list(range(r * PIVOT_HASHES, (r + 1) * PIVOT_HASHES))))
-            if not (n := fresh.count()):
-                break
-            both = fresh if links is None else saved(links.unionByName(fresh))
-            merged = settled(lambda: _labelled(sets, both))
-        drop(spark, held)
-        links, r, held = both, r + 1, tables
-        if n < WORTHWHILE * n_sets:
+        n = fresh.count()
+        both = fresh if links is None else links.unionByName(fresh)
+        if n < max(1, WORTHWHILE * n_sets):  # too few for another labelling: the last step joins them
+            links, held = both, held + tables
             break
-    if links is None:
-        links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+        with made() as stars:
+            found = components(both)
+            merged = saved(_labelled(sets, found))
+        # each set's link to its component stands for all links so far
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        drop(spark, held + tables)
+        r, held = r + 1, stars
     reached, list_length = _reached(merged, rule)
     boundary = choose_boundary(sizes, list_length, rule)
     light = settled(lambda: _light_links(merged, rule, boundary))

@@ -1,9 +1,11 @@
 """Tables whose rows are repeated many times: the same results, and work that grows with the rows, not with their square."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from salesflow.llm import exact_dedup, jaccard_join, quality, substring_dedup
+from salesflow.llm import common, components, exact_dedup, jaccard_join, quality, substring_dedup
 from salesflow.llm.common import made
 from salesflow.llm.jaccard_join import near_duplicates
 
@@ -139,3 +141,23 @@ def test_near_duplicates_leave_three_tables(spark):
         left = [p for p in fs if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)]
     assert len(tables) > 10 and len(left) == 3
     assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 1)]
+
+
+def test_components_write_one_table_for_each_round(spark, monkeypatch):
+    """Links that are stars already are seen to be settled after one round; nothing else is written."""
+    written = []
+    monkeypatch.setattr(components, "saved", lambda df: written.append(1) or common.saved(df))
+    stars = spark.createDataFrame([(x, 10 * (x // 10)) for x in range(1000)], "a long, b long")
+    assert {tuple(x) for x in components.components(stars).collect()} == {(x, 10 * (x // 10)) for x in range(1000) if x % 10}
+    assert len(written) == 1
+
+
+def test_components_of_chains_loops_and_repeated_links(spark):
+    r = random.Random(3)
+    links = [(x, x + 1) for x in range(0, 40)] + [(x, x) for x in range(50, 60)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(200)] * 2
+    least = {x: x for pair in links for x in pair}
+    for _ in range(60):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    found = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted((x, c) for x, c in least.items() if x != c)

@@ -3,22 +3,24 @@
 Seeds are k-word windows chosen by winnowing, so that any exact run of k + window - 1 words holds one;
 the n-th occurrence of a seed in a document is a seed of its own, so repetitive passages keep
 their order, and also anchors to the source's first occurrence, so that further copies of a passage
-inside a document are found. Parts of a passage may first occur in different documents, so windows of a
-passage's least length are winnowed as long seeds too: any exact run of min_words + LONG_WINDOW - 1 words
-holds one, and so meets a document that holds min_words of it in one piece. Each seed's first holder (smallest doc_id) is its source: every other holder gets one
+inside a document are found. Each seed's first holder (smallest doc_id) is its source: every other holder gets one
 anchor to it, never one for every pair of holders. A document's anchors with one source are
 chained: the best order-preserving chain under gap costs linear in the skipped words of both
 sides, with a Fenwick tree for prefix maxima. Chains long enough are aligned word by word: ends are
 extended, and the longest common subsequence of both sides gives their identity. A chain under the wanted
 identity is split at its largest gap, and each part is aligned by itself.
 
+Parts of a passage may first occur in different documents, so exact runs have a second step. Probes are windows of a little over half
+of `min_words`, winnowed so that any run of min_words words holds one. Around shared probes whose surroundings no found
+passage covers, every run of min_words words meets its own first holder, and runs that touch on a diagonal are one passage.
+
 Bounds: pre-aggregation leaves one row for a seed and task before the shuffle; anchors of a document
-are at most two for each of its seeds and long seeds; a source asked for many passages is read once for ASKED of them.
+are at most two for each of its seeds; the second step's runs are at most its words; texts are shuffled twice, compressed; a source asked for many passages is read once for ASKED of them.
 
 Recall of changed passages, measured by a test over planted pairs (one word changed every k words): at least 0.9 from identity
 0.95 at 100 words on; at 60 words 35 of 40 at 0.97; below that seeds thin out (0.90: about half at 100 words, a quarter at 60), and with
 a word changed every 8 words or fewer none is found. `identity` is the least that a found passage must have, not one
-from which all are found. Exact runs of min_words + LONG_WINDOW - 1 words are found surely.
+from which all are found. Exact runs of min_words words are found surely, by a first holder or inside a found passage.
 
 Defined results: null or short texts have no passage; rows repeated under one doc_id are one document, of different texts the
 smallest; of equal chains the one met first in (source, position) order counts; a very long text is cut where it is read, and a
@@ -40,8 +42,8 @@ from salesflow.llm.shingles import each_text, mixed, powers, windows, winnowed
 
 #: Words of a seed, and windows of which one seed is chosen.
 SEED_WORDS, WINDOW = 8, 12
-#: Windows of a passage's least length of which one is chosen as a long seed.
-LONG_WINDOW = 8
+#: Words of a bucket in which passages and probes meet.
+BUCKET = 1024
 #: Gain of a seed in a chain, and cost of each word skipped on either side.
 SEED_GAIN, GAP_COST = 8.0, 0.1
 #: Passages that one copy of a source's text answers.
@@ -84,27 +86,34 @@ def seeds(words: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarra
     return h, at
 
 
-def long_seeds(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the windows of `length` words that winnowing over LONG_WINDOW chooses."""
+def grams_of(words: np.ndarray, length: int) -> np.ndarray:
+    """The hash of each run of `length` words, in order, at the same cost for every length."""
     n = len(words) - length + 1
-    if n <= 0 or length <= SEED_WORDS:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
     power, back = powers(len(words))
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * power[: len(words)], dtype=np.uint64, out=sums[1:])
-    grams = mixed((sums[length:] - sums[:-length]) * back[:n] ^ np.uint64(length))
-    at = winnowed(grams, LONG_WINDOW)
-    # in periodic text one window overlaps itself: the first of them is enough, seeds keep the order
-    order = np.lexsort((at, grams[at]))
-    ranked, places = grams[at][order], at[order]
-    keep = np.ones(len(at), bool)
-    keep[order[1:]] = (ranked[1:] != ranked[:-1]) | (np.diff(places) >= length)
-    at = at[keep]
+    return mixed((sums[length:] - sums[:-length]) * back[:n] ^ np.uint64(length))
+
+
+def probe_words(min_words: int) -> int:
+    """Words of a probe; one is chosen of each min_words - probe_words + 1."""
+    return min(min_words, max(SEED_WORDS + 1, min_words // 2 + 2))
+
+
+def long_seeds(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the probes: each run of `min_words` words holds one, the same wherever it occurs."""
+    if len(words) < min_words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    length = probe_words(min_words)
+    grams = grams_of(words, length)
+    at = winnowed(grams, min_words - length + 1)
     return grams[at], at
 
 
 def _seed_rows(combine: bool, length: int):
-    """(h, doc, at) of seeds and long seeds, at: four times the place of the first word, one more for a long seed;
+    """(h, doc, at) of seeds and probes, at: four times the place of the first word, one more for a probe;
     combined: each hash once for what a task holds, at its first place, two more if another document there has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,20 +266,56 @@ def _chains(least: int):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they travel: compressed, as they are most of what is shuffled."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        for start, end in slices(batch):
+            part = batch.slice(start, end - start)
+            raw = [x.as_buffer() for x in part.column("text").cast(pa.large_binary())]
+            packed = pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("target"), packed, pa.array([x.size for x in raw], pa.int64())], ["target", "packed", "size"])
+
+
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, dict]]:
+    """The word hashes of each packed text, and its other columns."""
+    codec = pa.Codec("zstd")
+    for row in batch.to_pylist():
+        text = codec.decompress(row["packed"], row["size"], asbytes=True) if row["size"] else b""
+        array = pa.Array.from_buffers(pa.large_string(), 1, pa.array([text], pa.large_binary()).buffers())
+        yield next(each_text(array)), row
+
+
 def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word hashes that each request asks of its text, with MARGIN words around them."""
+    names, types = ["chain", "side", "lo", "words"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     for batch in batches:
         out: list[tuple] = []
-        for start, end in slices(batch):
-            part = batch.slice(start, end - start)
-            for words, asks in zip(each_text(part.column("text")), part.column("asks").to_pylist()):
-                for r in asks:
-                    lo, hi = max(0, r["first"] - MARGIN), min(len(words), r["last"] + SEED_WORDS + MARGIN)
-                    out.append((r["chain"], r["side"], lo, words[lo:hi].tobytes()))
-        names, types = ["chain", "side", "lo", "words"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        for words, row in _asked(batch):
+            for r in row["asks"]:
+                lo, hi = max(0, r["first"] - MARGIN), min(len(words), r["last"] + SEED_WORDS + MARGIN)
+                out.append((r["chain"], r["side"], lo, words[lo:hi].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, types)], names)
 
 
+def _around(min_words: int):
+    """(w, doc, pos): the runs of `min_words` words that hold one of the probes asked of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = min_words - probe_words(min_words)
+        for batch in batches:
+            for words, row in _asked(batch):
+                h, at = long_seeds(words, min_words)
+                at = at[np.isin(h.view(np.int64), np.array(row["asks"], np.int64))]
+                grams = grams_of(words, min_words)
+                pos = np.unique((at[:, None] - np.arange(back + 1)).ravel())
+                pos = pos[(pos >= 0) & (pos < len(grams))]
+                doc = np.full(len(pos), row["target"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[pos].view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int64))], ["w", "doc", "pos"])
+
+    return run
+
+
 def common_words(x: np.ndarray, y: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel over the words of x."""
     if np.array_equal(x, y):
@@ -362,10 +407,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     dealt = rows.mapInArrow(_seed_rows(True, min_words), form).repartition("h").sortWithinPartitions("h", "doc", "at")
     sources = dealt.mapInArrow(_sources, "h long, source long, rpos long")
     # a very common seed has many holders: Spark splits its side of this join, as both sides are shuffled for it
-    met = rows.mapInArrow(_seed_rows(False, min_words), form).join(sources, "h").filter("doc != source")
-    # a long seed anchors with both ends
-    ends = F.explode(F.when(F.col("at") % 2 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(min_words - SEED_WORDS)))).alias("on")
-    anchors = met.select("doc", "source", F.shiftright("at", 2).alias("pos"), "rpos", ends).select("doc", "source", (F.col("pos") + F.col("on")).alias("pos"), (F.col("rpos") + F.col("on")).alias("rpos"))
+    met = saved(rows.mapInArrow(_seed_rows(False, min_words), form).join(sources, "h").filter("doc != source"))
+    anchors = met.filter("at % 2 = 0").select("doc", "source", F.shiftright("at", 2).alias("pos"), "rpos")
     dealt = anchors.repartition("doc").sortWithinPartitions("doc", "source", "pos", "rpos")
     least = min_words - 2 * (WINDOW - 1)
     chains = dealt.mapInArrow(_chains(least), "doc long, source long, a0 long, a1 long, b0 long, b1 long, anchors binary").distinct()
@@ -376,10 +419,65 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     parts = asks.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("parts"))
     dealt = asks.join(parts, "target").withColumn("part", F.pmod(F.xxhash64("chain", "side"), F.col("parts")))
     grouped = dealt.groupBy("target", "part").agg(F.collect_list(F.struct("chain", "side", "first", "last")).alias("asks"))
-    one = rows.withColumnRenamed("doc_id", "target")
-    cut = saved(one.join(grouped, "target").select("text", "asks").mapInArrow(_slice, "chain long, side int, lo long, words binary"))
+    one = rows.withColumnRenamed("doc_id", "target").mapInArrow(_packed, "target long, packed binary, size long")
+    cut = saved(one.join(grouped, "target").select("packed", "size", "asks").mapInArrow(_slice, "chain long, side int, lo long, words binary"))
     x = cut.filter("side = 0").select("chain", F.col("lo").alias("x_lo"), F.col("words").alias("x"))
     y = cut.filter("side = 1").select("chain", F.col("lo").alias("y_lo"), F.col("words").alias("y"))
     both = chains.join(x, "chain").join(y, "chain")
     found = both.mapInArrow(_align(min_words, identity), "doc_id long, start_word long, end_word long, source_doc long, source_start long, source_end long, identity double")
-    return found.distinct()
+    found = saved(found.distinct())
+    return found.unionByName(_exact_runs(one, met, found, min_words)).distinct()
+
+
+def _exact_runs(texts: DataFrame, met: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """The exact runs of `min_words` words or more that no passage found so far covers, whatever documents their parts first
+    occur in: all runs of that length around the probes whose surroundings are not covered are met by their first holder."""
+    back = min_words - probe_words(min_words)
+    held = met.filter("at % 2 = 1").select("h", "doc", "source", F.shiftright("at", 2).alias("pos"))
+    first = F.greatest(F.col("pos") - back, F.lit(0))
+    bucket = lambda x: F.floor(x / BUCKET)
+    spans = found.select(F.col("doc_id").alias("doc"), "start_word", "end_word", F.explode(F.sequence(bucket(F.col("start_word")), bucket(F.col("end_word")))).alias("bucket"))
+    covered = (F.col("start_word") <= F.col("first")) & (F.col("end_word") >= F.col("pos") + min_words)
+    left = held.select("h", "doc", "pos", first.alias("first"), bucket(F.col("pos")).alias("bucket"))
+    left = left.join(spans.withColumnsRenamed({"doc": "to", "bucket": "at"}), (F.col("doc") == F.col("to")) & (F.col("bucket") == F.col("at")) & covered, "left_anti")
+    wanted = held.join(left.select("h").distinct(), "h")
+    asks = wanted.select(F.col("doc").alias("target"), "h").unionByName(wanted.select(F.col("source").alias("target"), "h"))
+    grouped = asks.groupBy("target").agg(F.collect_set("h").alias("asks"))
+    runs = saved(texts.join(grouped, "target").mapInArrow(_around(min_words), "w long, doc long, pos long"))
+    holders = runs.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("lo"), F.max("doc").alias("last")).filter("lo.doc < last")
+    hits = runs.join(holders.select("w", "lo"), "w").filter("doc != lo.doc").select("doc", F.col("lo.doc").alias("source"), "pos", F.col("lo.pos").alias("rpos"))
+    hits = hits.repartition("doc").withColumn("diagonal", F.col("pos") - F.col("rpos")).sortWithinPartitions("doc", "source", "diagonal", "pos")
+    return hits.mapInArrow(_joined(min_words), "doc_id long, start_word long, end_word long, source_doc long, source_start long, source_end long, identity double")
+
+
+def _joined(min_words: int):
+    """Rows come sorted by (doc, source, diagonal, pos): runs that touch on a diagonal are one passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start_word", "end_word", "source_doc", "source_start", "source_end", "identity"]
+
+        def told(firsts: np.ndarray, lasts: np.ndarray) -> pa.RecordBatch:
+            doc, source, diagonal, start = firsts.T
+            end = lasts[:, 3] + min_words
+            columns = [doc, start, end, source, start - diagonal, end - diagonal, np.ones(len(doc))]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+
+        held: np.ndarray | None = None  # the first and last row of the open passage
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy() for c in ("doc", "source", "diagonal", "pos")], 1)
+            if not len(rows):
+                continue
+            if held is not None:
+                rows = np.concatenate([held, rows])
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1) | (rows[1:, 3] - rows[:-1, 3] > min_words)
+            if held is not None:
+                fresh[1] = False  # the open passage, however long
+            begin = np.flatnonzero(fresh)
+            firsts, lasts = rows[begin], rows[np.append(begin[1:] - 1, len(rows) - 1)]
+            held = np.stack([firsts[-1], lasts[-1]])
+            yield told(firsts[:-1], lasts[:-1])
+        if held is not None:
+            yield told(held[:1], held[1:])
+
+    return run

@@ -101,6 +101,32 @@ def test_passages_whose_parts_first_occur_elsewhere_are_found(spark):
         assert any(d == 4 and source == 3 and a <= 40 and 40 + m + n <= b for d, a, b, source in found), (k, found)
 
 
+def test_shortest_exact_runs_whose_parts_first_occur_elsewhere_are_found(spark):
+    for k, (m, n) in enumerate([(25, 25), (27, 24), (26, 30)]):
+        parts = [prose(600 + 10 * k, m), prose(601 + 10 * k, n)]
+        x, y = parts
+        own = [prose(2000 + 20 * k + j, 40) for j in range(10)]
+        # every part, and every overlap short of the run, is held by an earlier document
+        words = f"{x} {y}".split()
+        pieces = [f"{own[8]} {' '.join(words[:-1])} {own[9]}", f"{own[9]} {' '.join(words[1:])} {own[8]}"] if m + n == 50 else []
+        found = _found(spark, f"{own[0]} {x} {own[1]}", f"{own[2]} {y} {own[3]}", *pieces, f"{own[4]} {x} {y} {own[5]}", f"{own[6]} {x} {y} {own[7]}")
+        last = 4 + len(pieces)
+        assert any(d == last and a <= 40 and 40 + m + n <= b for d, a, b, _ in found), (k, found)
+
+
+def test_every_run_of_the_least_length_holds_a_long_seed():
+    r = np.random.default_rng(9)
+    for shared in (r.integers(0, 2**63, 50).astype(np.uint64), np.tile(r.integers(0, 2**63, 3).astype(np.uint64), 17)[:50]):
+        for _ in range(100):
+            both = []
+            for _ in range(2):
+                before = int(r.integers(0, 40))
+                words = np.concatenate([r.integers(0, 2**63, before), shared, r.integers(0, 2**63, int(r.integers(0, 40)))]).astype(np.uint64)
+                h, at = substring_dedup.long_seeds(words, 50)
+                both.append(set(zip(h.tolist(), (at - before).tolist())))
+            assert both[0] & both[1]
+
+
 def test_every_long_exact_run_holds_a_long_seed():
     r = np.random.default_rng(8)
     shared = r.integers(0, 2**63, 57).astype(np.uint64)

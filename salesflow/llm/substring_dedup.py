@@ -436,10 +436,11 @@ def _exact_runs(texts: DataFrame, met: DataFrame, found: DataFrame, min_words: i
     held = met.filter("at % 2 = 1").select("h", "doc", "source", F.shiftright("at", 2).alias("pos"))
     first = F.greatest(F.col("pos") - back, F.lit(0))
     bucket = lambda x: F.floor(x / BUCKET)
-    spans = found.select(F.col("doc_id").alias("doc"), "start_word", "end_word", F.explode(F.sequence(bucket(F.col("start_word")), bucket(F.col("end_word")))).alias("bucket"))
+    spans = found.select(F.col("doc_id").alias("doc"), "start_word", "end_word", F.col("source_doc").alias("of"), F.col("source_start").alias("since"), F.col("source_end").alias("until"), F.explode(F.sequence(bucket(F.col("start_word")), bucket(F.col("end_word")))).alias("bucket"))
     covered = (F.col("start_word") <= F.col("first")) & (F.col("end_word") >= F.col("pos") + min_words)
     left = held.select("h", "doc", "pos", first.alias("first"), bucket(F.col("pos")).alias("bucket"))
-    left = left.join(spans.withColumnsRenamed({"doc": "to", "bucket": "at"}), (F.col("doc") == F.col("to")) & (F.col("bucket") == F.col("at")) & covered, "left_anti")
+    spans = spans.withColumnsRenamed({"doc": "to", "bucket": "at"})
+    left = left.join(spans, (F.col("doc") == F.col("to")) & (F.col("bucket") == F.col("at")) & covered, "left_anti")
     wanted = held.join(left.select("h").distinct(), "h")
     asks = wanted.select(F.col("doc").alias("target"), "h").unionByName(wanted.select(F.col("source").alias("target"), "h"))
     grouped = asks.groupBy("target").agg(F.collect_set("h").alias("asks"))
@@ -447,7 +448,12 @@ def _exact_runs(texts: DataFrame, met: DataFrame, found: DataFrame, min_words: i
     holders = runs.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("lo"), F.max("doc").alias("last")).filter("lo.doc < last")
     hits = runs.join(holders.select("w", "lo"), "w").filter("doc != lo.doc").select("doc", F.col("lo.doc").alias("source"), "pos", F.col("lo.pos").alias("rpos"))
     hits = hits.repartition("doc").withColumn("diagonal", F.col("pos") - F.col("rpos")).sortWithinPartitions("doc", "source", "diagonal", "pos")
-    return hits.mapInArrow(_joined(min_words), "doc_id long, start_word long, end_word long, source_doc long, source_start long, source_end long, identity double")
+    joined = hits.mapInArrow(_joined(min_words), "doc_id long, start_word long, end_word long, source_doc long, source_start long, source_end long, identity double")
+    # a run inside a passage with the same source, on both sides, says nothing new
+    inside = (F.col("start_word") <= F.col("first")) & (F.col("end_word") >= F.col("last")) & (F.col("since") <= F.col("source_start")) & (F.col("until") >= F.col("source_end"))
+    fresh = joined.withColumnsRenamed({"start_word": "first", "end_word": "last"}).withColumn("bucket", bucket(F.col("first")))
+    fresh = fresh.join(spans, (F.col("doc_id") == F.col("to")) & (F.col("source_doc") == F.col("of")) & (F.col("bucket") == F.col("at")) & inside, "left_anti")
+    return fresh.drop("bucket").withColumnsRenamed({"first": "start_word", "last": "end_word"})
 
 
 def _joined(min_words: int):

@@ -114,6 +114,12 @@ def test_shortest_exact_runs_whose_parts_first_occur_elsewhere_are_found(spark):
         assert any(d == last and a <= 40 and 40 + m + n <= b for d, a, b, _ in found), (k, found)
 
 
+def test_exact_runs_inside_a_found_passage_are_not_told_again(spark):
+    x, y = prose(2300, 300), prose(2301, 60)
+    found = _found(spark, f"{prose(2302, 40)} {x} {prose(2303, 40)}", f"{prose(2304, 40)} {y} {prose(2305, 40)}", f"{prose(2306, 40)} {x} {prose(2307, 40)} {y} {prose(2308, 40)}")
+    assert sorted((a, b) for d, a, b, _ in found if d == 3) == [(40, 340), (380, 440)], found
+
+
 def test_every_run_of_the_least_length_holds_a_long_seed():
     r = np.random.default_rng(9)
     for shared in (r.integers(0, 2**63, 50).astype(np.uint64), np.tile(r.integers(0, 2**63, 3).astype(np.uint64), 17)[:50]):

@@ -21,6 +21,9 @@ WHITE = " \t\n\x0b\x0c\r"
 #: Characters of text that a Python task handles at once.
 SLICE_CHARS = 4_000_000
 
+#: Rows that a Python task sends at once.
+SENT_ROWS = 1 << 16
+
 _SHIPPED: dict[str, str] = {}
 _SCRATCH: set[str] = set()
 _MADE: list[list[str]] = []
@@ -127,3 +130,7 @@ def slices(batch, column: str = "text"):
         first = last
 
 
+def in_parts(batch):
+    """An Arrow batch as batches of SENT_ROWS at most: the executor holds the one it is sent whole, outside its heap."""
+    for first in range(0, batch.num_rows, SENT_ROWS):
+        yield batch.slice(first, SENT_ROWS)

@@ -16,7 +16,7 @@ from array import array
 #: Words that a worker remembers (about 200 MB); later ones are encoded again each time.
 MAX_WORDS = 900_000
 
-_ENCODERS: dict[str, "PieceEncoder"] = {}
+_ENCODERS: dict[tuple[str, int], "PieceEncoder"] = {}
 #: Characters whose classes, lower case and NFC form are alike in Python and in the library.
 _PLAIN = re.compile("[\t\n\x20-\x7e\xa1-\xff]*").fullmatch
 #: The word patterns that the two vocabulary files define, with the letters (L) and
@@ -39,14 +39,14 @@ _LOWER_FORM = (
 class Words(dict):
     """Ids of words; a missing word is encoded, and remembered while there is room."""
 
-    def __init__(self, model, byte_map: dict[int, str]):
+    def __init__(self, model, byte_map: dict[int, str], most: int):
         super().__init__()
-        self.model, self.byte_map = model, byte_map
+        self.model, self.byte_map, self.most = model, byte_map, most
 
     def __missing__(self, word: str) -> bytes:
         mapped = word.encode().decode("latin-1").translate(self.byte_map)
         ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        if len(self) < MAX_WORDS:
+        if len(self) < self.most:
             self[word] = ids
         return ids
 
@@ -54,7 +54,7 @@ class Words(dict):
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as the library does without special tokens around a text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MAX_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -73,7 +73,7 @@ class PieceEncoder:
         # the byte map of both vocabularies: visible Latin-1 stays, the rest follows from 256 on
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.words = Words(self.library.model, {b: chr(256 + i) for i, b in enumerate(hidden)})
+        self.words = Words(self.library.model, {b: chr(256 + i) for i, b in enumerate(hidden)}, most)
 
     def whole(self, text: str) -> bytes:
         """Ids of one text by the library alone."""
@@ -86,8 +86,9 @@ class PieceEncoder:
         return b"".join(map(self.words.__getitem__, self.cut(text.lower() if self.lower else text)))
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most: int = MAX_WORDS) -> PieceEncoder:
+    """The worker's encoder for a vocabulary file, which remembers `most` words; it lives as long as the worker, so also while
+    the worker runs tasks of other steps."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = PieceEncoder(path, most)
+    return _ENCODERS[path, most]

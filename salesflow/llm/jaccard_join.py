@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import drop, made, saved, settled, ship, slices, whole_text
+from salesflow.llm.common import drop, in_parts, made, saved, settled, ship, slices, whole_text
 from salesflow.llm.components import components
 from salesflow.llm.shingles import mixed, shingle_sets
 
@@ -138,10 +138,10 @@ def _send(rule: Rule, k: int):
             held.append((np.full(len(part), group, np.int64).view(np.uint64), part))
             many += len(part)
             if many >= HELD:
-                yield told()
+                yield from in_parts(told())
                 held, many = [], 0
         if held:
-            yield told()
+            yield from in_parts(told())
 
     return run
 
@@ -303,11 +303,12 @@ def choose_boundary(sizes: dict[int, int], list_length: float, rule: Rule) -> in
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("hashes")]
-        if sets:
+        for first, last in slices(batch, "hashes"):
+            rows = batch.slice(first, last - first)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("hashes")]
             many = [len(x) for x in sets]
-            rest = [pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("cid", "n", "component")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *rest], ["h", "cid", "n", "component"])
+            rest = [pa.array(np.repeat(rows.column(c).to_numpy(), many)) for c in ("cid", "n", "component")]
+            yield from in_parts(pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *rest], ["h", "cid", "n", "component"]))
 
 
 def _index(sets: DataFrame, rule: Rule, boundary: int) -> DataFrame:

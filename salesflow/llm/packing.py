@@ -40,6 +40,9 @@ from salesflow.llm.encode import encoder
 
 _PIECE = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
 
+#: Words that a worker remembers: it may run the other stages of a pipeline beside them.
+WORDS = 150_000
+
 #: Ranges of sizes that are swept by themselves, and how many of them the next sweep joins.
 RANGES = 16
 JOINED = 4
@@ -54,7 +57,7 @@ def _cut(tokenizer: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
+        library, part, seen = encoder(tokenizer, WORDS), TaskContext.get().partitionId(), {}
         for batch in batches:
             for first, last in slices(batch):
                 rows, out = batch.slice(first, last - first), []
